@@ -37,6 +37,10 @@ class Document:
     def words(self) -> list[bytes]:
         return self.text.split()
 
+    @cached_property
+    def decoded(self) -> list[str]:
+        return [w.decode("utf-8", "replace") for w in self.words]
+
     @cached_property
     def word_chars(self) -> int:
         solid = self.text.translate(None, WHITE)
@@ -80,14 +84,12 @@ class Rule(NamedTuple):
 
 def shouted(d: Document) -> bool:
     """More than three in ten words are upper case, of those with letters that have a case, or end in two exclamation marks."""
-    text = d.text.decode("utf-8", "replace").split()
-    return 10 * sum((len(w) > 1 and w.isupper()) or w.endswith("!!") for w in text) > 3 * len(text)
+    return 10 * sum((len(w) > 1 and w.isupper()) or w.endswith("!!") for w in d.decoded) > 3 * len(d.words)
 
 
 def without_letters(d: Document) -> bool:
     """Fewer than three in ten words have a letter."""
-    text = d.text.decode("utf-8", "replace").split()
-    return 10 * sum(any(map(str.isalpha, w)) for w in text) < 3 * len(text)
+    return 10 * sum(any(map(str.isalpha, w)) for w in d.decoded) < 3 * len(d.words)
 
 
 def stuttered(d: Document) -> bool:
