@@ -25,10 +25,8 @@ from pyspark.sql import functions as F
 from spanwise.llm import common
 
 CAPACITY = 2048
-#: Rows that are numbered together in one window group, on average.
-RANK_GROUP = 20_000
-#: Entries a task's cache of words may hold before it starts anew.
-CACHE = 400_000
+#: Words a Python worker remembers, over all its tasks, before it starts anew.
+CACHE = 800_000
 
 
 class WordEncoder(dict):
@@ -78,6 +76,16 @@ class WordEncoder(dict):
         return ids
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """This worker's encoder for a tokenizer; the next task finds its words again."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def pieces(
     docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1
 ) -> DataFrame:
@@ -90,8 +98,7 @@ def pieces(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encode = WordEncoder(tokenizer)
-        get = encode.__getitem__
+        get = encoder(tokenizer).__getitem__
         for batch in batches:
             rows, starts, lengths, totals, crcs, ids, n_ids = [], [], [], [], [], [], 0
             for i, text in enumerate(common.utf8(batch.column(1))):
@@ -178,7 +185,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, length_col: str = "length")
     if bad := [x for x in counted if x is None or not 1 <= x <= capacity]:
         raise ValueError(f"lengths outside 1..{capacity}: {bad[:5]}")
     plan = plan_rows(shortest_pack_first(counted, capacity))
-    salts = max(1, math.ceil(max(counted.values(), default=0) / RANK_GROUP))
+    salts = max(1, math.isqrt(max(counted.values(), default=0)))  # of one length, as many groups as rows in each
     salted = table.withColumn("__salt", F.pmod(F.xxhash64("__item"), F.lit(salts)))
     before = Window.partitionBy(length_col).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     group = salted.groupBy(length_col, "__salt").agg(F.count("*").alias("__n"))
