@@ -1,12 +1,12 @@
 """A hashed maximum-entropy language model over word classes, and exact word counts beside it.
 
 A word's class is a hash of its last two bytes, which tell much about language and kind of word. The model predicts
-a class from the three classes before it by features for each of them, that is the n-gram and skip features, and for
-each two of them; feature weights live in a hashed table. A word's probability is that of its class times its share
-of the class's counts, with one more for words never seen.
+a class from the three words before, by their classes in a coarser division: features for each of them, that is the
+n-gram and skip features, and for each two of them; feature weights live in a hashed table. A word's probability is that
+of its class times its share of the class's counts, with one more for words never seen.
 
-What training needs of the corpus is the histogram of (three classes, next class). It is counted over all training
-text and, with 32 classes, has a million cells at any input size. Each round the cells' partitions compute their part
+What training needs of the corpus is the histogram of (three coarse classes, next class). It is counted over all
+training text and has 32^3 * 128 cells, four million, at any input size. Each round the cells' partitions compute their part
 of the gradient and the driver adds the parts, which have the size of the weight table.
 
 Counts of single words grow with the corpus and stay distributed. Words with at least one in FREQUENT of all tokens
@@ -26,14 +26,16 @@ from pyspark.sql import functions as F
 
 from spanwise.llm import common, words
 
-CLASSES, ORDER = 32, 3
-CONTEXTS = CLASSES**ORDER
-TABLE_BITS = 18
+#: Classes that are predicted, coarse classes that predict, and how many words back the model looks.
+CLASSES, COARSE, ORDER = 128, 32, 3
+CONTEXTS = COARSE**ORDER
+TABLE_BITS = 19
 ROUNDS, RATE = 30, 0.25
 #: Variance of the Gaussian prior on weights, which keeps rare features from being learnt by heart.
 PRIOR = 0.5
 FREQUENT = 1 << 20
-SHARDS = 12
+#: Parts of the gradient, and contexts that are looked at together.
+SHARDS, STEP = 12, 1024
 #: Distinct words a task gathers before it passes them on.
 GATHER = 1 << 20
 END = 0  # hash and class of the end of a text
@@ -53,12 +55,13 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     hash_, class_ = np.full(bound[-1], END, np.uint64), np.zeros(bound[-1], np.int64)
     hash_[at], class_[at] = h, cls
     place = np.arange(bound[-1]) - np.repeat(bound[:-1], many + 1)
+    coarse = np.where(class_ == END, END, 1 + class_ % (COARSE - 1))
     context = np.zeros(bound[-1], np.int64)
     for back in range(1, ORDER + 1):
-        before = np.zeros_like(class_)
-        before[back:] = class_[:-back]
+        before = np.zeros_like(coarse)
+        before[back:] = coarse[:-back]
         before[place < back] = END
-        context = context * CLASSES + before
+        context = context * COARSE + before
     return hash_, class_, context, bound
 
 
@@ -66,7 +69,7 @@ def gather(docs: DataFrame, text_col: str, held_col: str) -> DataFrame:
     """(kind, key, class, n): how often each word (kind 0) and each cell of context and class (kind 1) is in training text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        cells = np.zeros(CONTEXTS * CLASSES, np.int64)
+        cells = np.zeros(CONTEXTS * CLASSES, np.int32)
         parts: list[tuple] = []
 
         def merged(parts: list[tuple]) -> tuple:
@@ -83,7 +86,8 @@ def gather(docs: DataFrame, text_col: str, held_col: str) -> DataFrame:
             if not texts:
                 continue
             h, cls, context, _ = tokens(texts)
-            cells += np.bincount(context * CLASSES + cls, minlength=len(cells))
+            cell, many = np.unique(context * CLASSES + cls, return_counts=True)
+            cells[cell] += many.astype(np.int32)
             parts.append(merged([(h, cls, np.ones(len(h), np.int64))]))
             held += len(parts[-1][0])
             if held >= GATHER:
@@ -103,8 +107,8 @@ def gather(docs: DataFrame, text_col: str, held_col: str) -> DataFrame:
 
 def features(context: np.ndarray) -> list[np.ndarray]:
     """For each context and feature its places in the weight table, one for each class."""
-    c3, c2, c1 = context % CLASSES, context // CLASSES % CLASSES, context // CLASSES**2
-    n = CLASSES + 1  # no class: the feature does not look there
+    c3, c2, c1 = context % COARSE, context // COARSE % COARSE, context // COARSE**2
+    n = COARSE + 1  # no class: the feature does not look there
     kinds = [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, 0, 1), (0, 1, 1)]
     found = []
     for k, (a, b, c) in enumerate(kinds):
@@ -139,17 +143,17 @@ def train(cells: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> np.ndar
             counts = np.zeros((len(context), CLASSES))
             counts[row, keys % CLASSES] = n
             gradient = np.zeros(1 << TABLE_BITS)
-            for at in range(0, len(context), 4096):
-                found, seen = features(context[at : at + 4096]), counts[at : at + 4096]
+            for at in range(0, len(context), STEP):
+                found, seen = features(context[at : at + STEP]), counts[at : at + STEP]
                 error = seen - seen.sum(axis=1, keepdims=True) * np.exp(log_probabilities(sent, found))
                 for f in found:
                     gradient += np.bincount(f.ravel(), error.ravel(), len(gradient))
-            yield {"gradient": [gradient.tobytes()], "n": [int(n.sum())]}
+            yield {"gradient": [gradient.astype(np.float32).tobytes()], "n": [int(n.sum())]}
 
         parts = common.map_batches(table, ["key", "n"], run, "gradient binary, n long").collect()
         if not parts:
             break
-        gradient = (sum(np.frombuffer(p[0]) for p in parts) - weights / PRIOR) / sum(p[1] for p in parts)
+        gradient = (sum(np.frombuffer(p[0], np.float32).astype(float) for p in parts) - weights / PRIOR) / sum(p[1] for p in parts)
         first += 0.1 * (gradient - first)
         second += 0.02 * (gradient * gradient - second)
         weights += rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.98**step)) + 1e-9) * min(1.0, 2 * (1 - step / (rounds + 1)))
@@ -171,8 +175,7 @@ def score_documents(docs: DataFrame, held_col: str = "held_out", id_col: str = "
     total, distinct = sum(n for n, _ in by_class.values()), sum(v for _, v in by_class.values())
     weights = train(counted.filter("kind = 1").select("key", "n"))
     grid = np.arange(CONTEXTS)
-    step = 4096
-    table = np.concatenate([log_probabilities(weights, features(grid[k : k + step])).astype(np.float32) for k in range(0, CONTEXTS, step)]) / np.float32(math.log(10))
+    table = np.concatenate([log_probabilities(weights, features(grid[k : k + STEP])).astype(np.float32) for k in range(0, CONTEXTS, STEP)]) / np.float32(math.log(10))
     inside = np.zeros(CLASSES)
     for k in range(CLASSES):
         n, v = by_class.get(k, (0, 0))

@@ -58,7 +58,8 @@ def test_words_and_contexts():
     h, cls, context, bound = lm.tokens(texts)
     assert bound.tolist() == [0, 5, 6, 8] and h[4] == h[5] == h[7] == lm.END and cls[4] == lm.END
     assert h[0] == h[2] != h[1] == h[6] and (h[[0, 1, 3]] != 0).all()
-    assert context[0] == context[5] == context[6] == 0 and context[1] == cls[0] * lm.CLASSES**2 and context[2] == (cls[1] * lm.CLASSES + cls[0]) * lm.CLASSES
+    coarse = 1 + cls % (lm.COARSE - 1)
+    assert context[0] == context[5] == context[6] == 0 and context[1] == coarse[0] * lm.COARSE**2 and context[2] == (coarse[1] * lm.COARSE + coarse[0]) * lm.COARSE
     data, begin = words.joined(texts)
     start, end = words.bounds(data)
     assert [bytes(data[a:b]) for a, b in zip(start, end, strict=True)] == [b"A", b"b", b"a", b"c", b"b"]
