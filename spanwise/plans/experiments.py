@@ -129,11 +129,18 @@ def merged_classes(costs: DataFrame, slots: int) -> DataFrame:
     return folded.select("granularity", F.size("pools").alias("classes"), F.aggregate(F.transform("pools", up), F.lit(0).cast("long"), lambda a, x: a + x).alias("apart"), (F.col("f.vectors") + up(F.col("f.pool"))).alias("merged"), F.col("f.merges").alias("merges"))
 
 
-def merge_bound(classes: int, vectors: int) -> dict[str, float]:
+def merge_bound(classes: int, vectors: Column) -> dict[str, Column]:
     """What merging can save at most, as a share of all vectors: one vector for each merge, or each class."""
     return {"by_merges": (classes - 1) / vectors, "by_classes": classes / vectors}
 
 
+def breakdown(buckets: DataFrame, slots: int) -> DataFrame:
+    """Buckets and comparisons of tiny (fewer pairs than slots) and large buckets, and their share of a granularity's."""
+    size = F.when(F.col("n_b") * F.col("m_b") < slots, "tiny").otherwise("large").alias("size")
+    found = cost.tiled(buckets, slots).groupBy("granularity", size).agg(F.count("*").alias("buckets"), F.sum("comparisons").alias("comparisons"))
+    return found.withColumn("share", F.col("comparisons") / F.sum("comparisons").over(Window.partitionBy("granularity")))
+
+
 def leakage(spark: SparkSession, widths: tuple[int, ...], n: int = 100_000, days: int = 3650, delta: int = 30, slots: int = 32768) -> DataFrame:
     """For blocks of `width` days: their number, rows and work, the regime, hours, and the formula's bound on recall lost."""
     w = F.col("width")

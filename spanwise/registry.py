@@ -298,6 +298,19 @@ def bj_match_rate(spark, sf_dir):
     return met.select("pairs", (F.col("pairs") / (F.col("n") * F.col("m"))).alias("rate"))
 
 
+@query(
+    f"WITH {EV}, c AS (SELECT a.event_id AS a_id, a.payload, count(*) AS n FROM ev a JOIN ev b ON a.user_id = b.user_id AND abs(a.day - b.day) <= 3 WHERE a.event_type = 'click' AND b.event_type = 'purchase' GROUP BY 1, 2) "
+    "SELECT count(*) AS matched, CAST(sum(n) AS BIGINT) AS pairs, CAST(sum(n * payload) AS BIGINT) AS sum_a, max(n) AS most FROM c"
+)
+def bj_per_outer(spark, sf_dir):
+    """Matches of each outer row, and the payload weighted by them."""
+    a, b = _sides(spark, sf_dir)
+    left = a.rows.select(F.col("event_id").alias("a_id"), F.col("user_id").alias("a_user"), F.col("day").alias("a_day"), "payload")
+    right = b.rows.select(F.col("user_id").alias("b_user"), F.col("day").alias("b_day"))
+    each = bandjoin.band_pairs(left, right, "a_day", "b_day", 3, [("a_user", "b_user")]).groupBy("a_id", "payload").agg(F.count("*").alias("n"))
+    return each.agg(F.count("*").alias("matched"), F.sum("n").alias("pairs"), F.sum(F.col("n") * F.col("payload")).alias("sum_a"), F.max("n").alias("most"))
+
+
 # Blocking.
 
 _KEYS_SQL = {"coarse": "CAST(month(ts) AS VARCHAR)", "medium": "CAST(user_id AS VARCHAR)", "fine": "CAST(user_id AS VARCHAR) || '|' || CAST(month(ts) AS VARCHAR)"}
@@ -518,6 +531,37 @@ def pl_zipf(spark, sf_dir):
     return tables.zipf_buckets(spark, "medium", 20_000, 1.0e8, 1974, 1028)
 
 
+_PRICES = {"comparisons": 175.0, "rotations": 0.125, "products": 0.375, "plain_products": 0.0009765625, "additions": 0.00048828125}
+
+
+@query(
+    f"WITH {BK}, c AS (SELECT granularity, bucket, {_naive_sql('fixed', _INNER, _OUTER)} FROM bk) SELECT granularity, bucket, fixed_comparisons * 175.0::DOUBLE + fixed_rotations * 0.125::DOUBLE + fixed_products * 0.375::DOUBLE + fixed_plain_products * 0.0009765625::DOUBLE + fixed_additions * 0.00048828125::DOUBLE AS seconds FROM c"
+)
+def pl_seconds(spark, sf_dir):
+    """Time from counts and the price of each operation; prices are sums of powers of two here, so that both engines agree to the bit."""
+    made = cost.naive_counts(buckets(spark, sf_dir), SLOTS)
+    return made.select("granularity", "bucket", cost.seconds(made, "fixed", _PRICES).alias("seconds"))
+
+
+@query(
+    f"WITH {BK}, c AS (SELECT granularity, CASE WHEN work < {SLOTS} THEN 'tiny' ELSE 'large' END AS size, count(*) AS buckets, CAST(sum(2 * {_NB}) AS BIGINT) AS comparisons FROM bk GROUP BY 1, 2) SELECT *, CAST(comparisons AS DOUBLE) / sum(comparisons) OVER (PARTITION BY granularity) AS share FROM c"
+)
+def pl_breakdown(spark, sf_dir):
+    """Which buckets the comparisons go to."""
+    return experiments.breakdown(buckets(spark, sf_dir), SLOTS)
+
+
+@query("SELECT unnest([0, 1, 2, 4, 8, 16]) AS step")
+def pl_rotation_steps(spark, sf_dir):
+    return spark.createDataFrame([(x,) for x in cost.rotation_steps(SLOTS)], "step int")
+
+
+@query(f"WITH {BK}, v AS (SELECT granularity, (CAST(sum(work) AS BIGINT) + {SLOTS - 1}) // {SLOTS} AS vectors FROM bk WHERE {_TINY} GROUP BY 1) SELECT granularity, vectors, 3 / vectors::DOUBLE AS by_merges, 4 / vectors::DOUBLE AS by_classes FROM v")
+def pl_merge_bound(spark, sf_dir):
+    made = experiments.grouping(buckets(spark, sf_dir), SLOTS).select("granularity", F.col("greedy").alias("vectors"))
+    return made.withColumns(experiments.merge_bound(4, F.col("vectors")))
+
+
 @query("SELECT workers, wall, 100.0::DOUBLE / wall AS speedup, 100.0::DOUBLE / (workers * wall) AS efficiency, workers * 3600 / wall AS throughput FROM (VALUES (1::BIGINT, 100.0::DOUBLE), (2, 52.0), (4, 28.0), (8, 16.0)) r(workers, wall)")
 def pl_scaling(spark, sf_dir):
     return experiments.scaling(spark.createDataFrame([(1, 100.0), (2, 52.0), (4, 28.0), (8, 16.0)], "workers long, wall double"))
