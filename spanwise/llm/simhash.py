@@ -26,26 +26,49 @@ from spanwise.llm import common
 WIDTH, SEED, RADIUS = 3, 42, 3
 #: First bit and bits of each block.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: Shingles whose bits are counted at once, and search states held at once.
-SLICE, FRONTIER = 1 << 16, 1 << 21
+#: Shingles whose bits are counted at once, search states that a block of queries may make, and rows read ahead of a shard.
+SLICE, FRONTIER, READ_AHEAD = 1 << 16, 1 << 20, 200_000
+#: For near-duplicates by similarity: words in a shingle and 64-bit fingerprints that are compared, words in a shingle and
+#: fingerprints that are looked up by blocks, and the bits of 512 in which near-duplicates may differ.
+NEAR_WIDTH, NEAR_WORDS, KEY_WIDTH, KEY_WORDS, NEAR_RADIUS = 5, 8, 2, 6, 90
 
 
-def fingerprint(words: list[bytes], width: int = WIDTH, seed: int = SEED) -> int:
-    """Bits set in more than half of the shingles' XXH64 values. Repeats count; fewer words than width are one shingle."""
+#: For each value of a byte, its bits, the lowest first.
+BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+
+
+def shingle_values(words: list[bytes], width: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every run of width words, repeats included; of all words together if they are fewer; none of no words."""
     from xxhash import xxh64_intdigest
 
-    if not words:
-        return 0
-    if len(words) < width:
-        return xxh64_intdigest(b" ".join(words), seed)
-    n = len(words) - width + 1
+    if len(words) <= width:
+        return np.array([xxh64_intdigest(b" ".join(words), seed)] if words else [], np.uint64)
     shingles = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))
-    values = np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), np.uint64, n)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, SLICE):
-        octets = values[at : at + SLICE].astype("<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(words) - width + 1)
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits that are set in more than half of the values; 0 for none."""
+    counts = np.zeros((8, 256), np.int64)
+    place = np.arange(8) * 256
+    for at in range(0, len(values), SLICE):
+        octets = values[at : at + SLICE].astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
+        counts += np.bincount((octets + place).ravel(), minlength=2048).reshape(8, 256)
+    return int(np.packbits((2 * (counts @ BITS) > len(values)).ravel(), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(words: list[bytes], width: int = WIDTH, seed: int = SEED) -> int:
+    return majority(shingle_values(words, width, seed))
+
+
+def remixed(values: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of a family of further hash values; the 0-th is the value itself."""
+    if not k:
+        return values
+    h = (values ^ np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED) -> DataFrame:
@@ -60,32 +83,50 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class Forest:
-    """BK-trees over runs of equal keys; `values` are distinct within a run and keys are sorted."""
+    """BK-trees over runs of equal keys. Keys are sorted; values, one row of 64-bit words each, are distinct in a run."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         n = len(values)
         first = np.concatenate(([True], keys[1:] != keys[:-1])) if n else np.zeros(0, bool)
         starts = np.flatnonzero(first)
         self.values, self.root = values, starts[np.cumsum(first) - 1] if n else starts
-        parent, self.edge = np.full(n, -1), np.zeros(n, np.int64)
+        self.parent, self.edge, self.levels = np.full(n, -1), np.zeros(n, np.int64), []
         todo = np.flatnonzero(~first)
         under = self.root[todo]
         while len(todo):  # each round hangs one more node for each distance under each node that it reaches
-            d = np.bitwise_count(values[todo] ^ values[under]).astype(np.int64)
+            d = self.distance(todo, under)
             order = np.lexsort((todo, d, under))
             todo, under, d = todo[order], under[order], d[order]
             new = np.concatenate(([True], (under[1:] != under[:-1]) | (d[1:] != d[:-1])))
             child = todo[new][np.cumsum(new) - 1]
-            parent[todo[new]], self.edge[todo[new]] = under[new], d[new]
+            self.parent[todo[new]], self.edge[todo[new]] = under[new], d[new]
+            self.levels.append(todo[new])
             todo, under = todo[~new], child[~new]
-        self.children = np.argsort(parent, kind="stable")[len(starts) :]
-        self.first = np.searchsorted(parent[self.children], np.arange(n + 1))
-
-    def near(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (query, node) within the radius, for queries given as positions in values, each searched in its own tree."""
+        self.children = np.argsort(self.parent, kind="stable")[len(starts) :]
+        self.first = np.searchsorted(self.parent[self.children], np.arange(n + 1))
+
+    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.values[a] ^ self.values[b]).sum(axis=1, dtype=np.int64)
+
+    def uniform(self, group: np.ndarray) -> np.ndarray:
+        """For each node the group that its whole subtree belongs to, or -1. A level is complete before the one above."""
+        lo, hi = group.copy(), group.copy()
+        for nodes in reversed(self.levels):
+            np.minimum.at(lo, self.parent[nodes], lo[nodes])
+            np.maximum.at(hi, self.parent[nodes], hi[nodes])
+        return np.where(lo == hi, lo, -1)
+
+    def near(self, queries: np.ndarray, radius: int, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (query, node) within the radius and not in one group yet, each query searched in its own tree.
+
+        Follows only edges within the radius of the distance found, and leaves out subtrees of the query's own group.
+        """
+        whole = self.uniform(group)
         q, node = queries, self.root[queries]
         while len(q):
-            d = np.bitwise_count(self.values[q] ^ self.values[node]).astype(np.int64)
+            other = whole[node] != group[q]
+            q, node = q[other], node[other]
+            d = self.distance(q, node)
             hit = d <= radius
             yield q[hit], node[hit]
             many = self.first[node + 1] - self.first[node]
@@ -95,71 +136,139 @@ class Forest:
             q, node = q[follow], child[follow]
 
 
+def joined_groups(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Groups, named by their least member, after a's and b's have been joined pair by pair."""
+    while True:
+        x, y = group[a], group[b]
+        apart = x != y
+        if not apart.any():
+            return group
+        a, b = a[apart], b[apart]
+        np.minimum.at(group, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while not np.array_equal(short := group[group], group):
+            group = short
+
+
 def spanning(keys: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what is linked within each run of equal keys: (smallest member, other member) of each group."""
-    lone = np.ones(len(keys), bool)
-    lone[1:] &= keys[1:] != keys[:-1]
-    lone[:-1] &= keys[1:] != keys[:-1]
-    keys, values = keys[~lone], values[~lone]
-    forest, group = Forest(keys, values), np.arange(len(values))
-    sizes = np.bincount(forest.root, minlength=len(values))[forest.root] if len(values) else group
-    bounds = np.searchsorted(np.cumsum(sizes), np.arange(FRONTIER, sizes.sum() + FRONTIER, FRONTIER), "right") if len(values) else []
-    at = 0
-    for bound in bounds:
-        end = max(int(bound), at + 1)
-        for q, node in forest.near(np.arange(at, min(end, len(values))), radius):
-            a, b = group[q], group[node]
-            new = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b)))[:, a != b], axis=1)
-            while new.shape[1]:  # each joins the least group it meets; what that leaves apart goes round again
-                np.minimum.at(group, new[0], new[1])
-                while True:
-                    short = group[group]
-                    if (short == group).all():
-                        break
-                    group = short
-                a, b = group[new[0]], group[new[1]]
-                new = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b)))[:, a != b], axis=1)
-        at = min(end, len(values))
-        if at >= len(values):
-            break
-    other = group != np.arange(len(values))
-    return values[group[other]], values[other]
+    """Links that connect what is linked within each run of equal keys, as positions: (least member, other member).
+
+    Queries come in growing blocks. A large group is found by its first queries, and then the others pass it by.
+    """
+    shared = np.zeros(len(keys), bool)
+    shared[1:] = keys[1:] == keys[:-1]
+    shared[:-1] |= shared[1:]
+    own = np.flatnonzero(shared)
+    if not len(own):
+        return own, own
+    values = values[own].reshape(len(own), -1)
+    forest, group = Forest(keys[own], values), np.arange(len(own))
+    # the first queries of every run before the second ones, and so on: all runs shrink alike
+    rank = np.arange(len(own)) - forest.root
+    order = np.argsort(rank, kind="stable")
+    sizes = np.bincount(forest.root, minlength=len(own))[forest.root][order]
+    work, at, block = np.concatenate(([0], np.cumsum(sizes))), 0, FRONTIER >> 5
+    while at < len(order):
+        end = max(at + 1, int(np.searchsorted(work, work[at] + block, "right")) - 1)
+        for q, node in forest.near(order[at:end], radius, group):
+            group = joined_groups(group, q, node)
+        at, block = end, min(2 * block, FRONTIER)
+    other = np.flatnonzero(group != np.arange(len(own)))
+    return own[group[other]], own[other]
+
+
+def sharded(shards: DataFrame, columns: list[str], fn, schema: str) -> DataFrame:
+    """Runs fn over whole shards: rows with equal `key` meet, sorted, and reach fn in lists of batches that end with a shard.
+
+    A task holds about READ_AHEAD rows, or its largest shard if that has more.
+    """
+    spread = shards.select("key", *columns).repartition(common.shuffle_partitions(shards.sparkSession), "key").sortWithinPartitions("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        table, held = None, []
+
+        def close(last: bool):
+            nonlocal table, held
+            whole = pa.Table.from_batches(([] if table is None else table.to_batches()) + held)
+            held = []
+            keys = whole.column(0).to_numpy()
+            end = len(keys) if last else int(np.searchsorted(keys, keys[-1]))
+            table = whole.slice(end)
+            return fn(keys[:end], whole.slice(0, end))
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= READ_AHEAD:
+                yield close(False)
+        if held or table is not None:
+            yield close(True)
+
+    return common.map_batches(spread, ["key", *columns], run, schema)
+
+
+def block_keys(columns: list[str]) -> list:
+    """For each 64-bit column its ten pairs of blocks as keys that no other pair can have."""
+    keys = []
+    for c, column in enumerate(columns):
+        block = [F.shiftrightunsigned(column, lo).bitwiseAND((1 << bits) - 1) for lo, bits in BLOCKS]
+        for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2)):
+            keys.append(F.lit((c * 10 + k) << 26).cast("long") + F.shiftleft(block[i], 13) + block[j])
+    return keys
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """A spanning set of links (a, b) between distinct fingerprints (column fp) at most `radius` bits apart."""
     if radius > 3:
         raise ValueError("five blocks of which two agree find every link up to three bits only")
-    spark = prints.sparkSession
-    block = [F.shiftrightunsigned("fp", lo).bitwiseAND((1 << bits) - 1) for lo, bits in BLOCKS]
-    keys = [F.lit(k << 26) + F.shiftleft(block[i], 13) + block[j] for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))]
-    shards = prints.select(F.explode(F.array(*keys)).alias("key"), "fp").repartition(common.shuffle_partitions(spark), "key").sortWithinPartitions("key")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        """Whole shards at a time: rows come sorted, so what follows the last change of key waits for the next batch."""
-        keys, values = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        waiting: list[pa.RecordBatch] = []
+    def run(keys: np.ndarray, rows: pa.Table) -> dict:
+        fp = rows.column(1).to_numpy()
+        a, b = spanning(keys, fp.view(np.uint64), radius)
+        return {"a": fp[a], "b": fp[b]}
 
-        def close(last: bool):
-            nonlocal keys, values, waiting
-            keys = np.concatenate((keys, *(b.column(0).to_numpy() for b in waiting)))
-            values = np.concatenate((values, *(b.column(1).to_numpy().view(np.uint64) for b in waiting)))
-            waiting = []
-            end = len(keys) if last else int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            a, b = spanning(keys[:end], values[:end], radius)
-            keys, values = keys[end:], values[end:]
-            return {"a": a.view(np.int64), "b": b.view(np.int64)}
-
-        held = 0
+    return sharded(prints.select(F.explode(F.array(*block_keys(["fp"]))).alias("key"), "fp"), ["fp"], run, "a long, b long").distinct()
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id_col, `near` (NEAR_WORDS 64-bit fingerprints of five-word shingles, as bytes) and k0, k1 ... (KEY_WORDS of two-word ones)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            waiting.append(batch)
-            held += batch.num_rows
-            if held >= 200_000:
-                yield close(False)
-                held = 0
-        yield close(True)
+            near, keys = [], []
+            for text in common.utf8(batch.column(1)):
+                words = text.lower().split()
+                values = shingle_values(words, NEAR_WIDTH)
+                near.append(np.array([majority(remixed(values, k)) for k in range(NEAR_WORDS)], "<u8").tobytes())
+                values = shingle_values(words, KEY_WIDTH)
+                keys.append([majority(remixed(values, k)) for k in range(KEY_WORDS)])
+            columns = np.array(keys, np.uint64).reshape(-1, KEY_WORDS).view(np.int64)
+            yield {id_col: batch.column(0), "near": near} | {f"k{k}": columns[:, k] for k in range(KEY_WORDS)}
 
-    return common.map_batches(shards, ["key", "fp"], run, "a long, b long").distinct()
+    keys = ", ".join(f"k{k} long" for k in range(KEY_WORDS))
+    return common.map_batches(docs, [id_col, text_col], run, f"`{id_col}` {common.type_of(docs, id_col)}, near binary, {keys}")
+
+
+def wide_links(nodes: DataFrame, radius: int = NEAR_RADIUS) -> DataFrame:
+    """A spanning set of links (a, b) between nodes (node, near, k0, k1 ...) whose wide fingerprints differ in at most `radius` bits.
+
+    Only shards in which nodes meet need the wide fingerprints, so shards are formed of light rows first.
+    """
+
+    def crowded(keys: np.ndarray, rows: pa.Table) -> dict:
+        shared = np.zeros(len(keys), bool)
+        shared[1:] = keys[1:] == keys[:-1]
+        shared[:-1] |= shared[1:]
+        return {"key": keys[shared], "node": rows.column(1).to_numpy()[shared]}
+
+    def run(keys: np.ndarray, rows: pa.Table) -> dict:
+        node = rows.column(1).to_numpy()
+        near = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint64).reshape(-1, NEAR_WORDS)
+        a, b = spanning(keys, near, radius)
+        return {"a": node[a], "b": node[b]}
+
+    names = [f"k{k}" for k in range(KEY_WORDS)]
+    shards = nodes.select(F.explode(F.array(*block_keys(names))).alias("key"), "node")
+    met = common.stored(sharded(shards, ["node"], crowded, "key long, node long"), "crowded")
+    return sharded(met.join(nodes.select("node", "near"), "node"), ["node", "near"], run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -185,8 +294,7 @@ def components(edges: DataFrame) -> DataFrame:
             out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:  # smaller neighbours, and the node itself
             out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        out = common.stored(out.filter("u <> v"), "hung")
-        return common.stored(out.distinct(), "edges")
+        return common.stored(out.filter("u <> v").distinct(), "edges")
 
     before = None
     while before != (before := state(edges)):
@@ -217,15 +325,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return grouped(prints, id_col, radius).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """One row of each group of near-duplicates, that of the smallest id (null ids last), with the columns of docs.
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = NEAR_RADIUS) -> DataFrame:
+    """(id_col, first): the smallest id of the group of documents that share about four in five of their five-word shingles.
+
+    The share of bits in which two SimHash fingerprints differ is the angle between their shingle counts, in units of
+    half a turn. At a similarity of 0.8 (Jaccard) that is 0.151; NEAR_RADIUS leaves room for about one and a half times the
+    estimate's standard deviation over 512 bits. Candidates are pairs that agree in two of five blocks of one of six
+    fingerprints of two-word shingles, which such pairs change less. So a pair at 0.8 is found with a probability of about
+    0.9, closer ones nearly always, and pairs below 0.65 hardly ever. id_col must be unique, and a long.
+    """
+    prints = common.stored(wide_fingerprints(docs, id_col, text_col), "fingerprints")
+    names = [f"k{k}" for k in range(KEY_WORDS)]
+    nodes = common.stored(prints.groupBy("near", *names).agg(F.min(id_col).alias("node")), "nodes")
+    roots = components(wide_links(nodes, radius))
+    named = common.stored(nodes.join(roots, "node", "left").select("near", *names, F.coalesce("root", "node").alias("first")), "named")
+    # copies: as many rows as documents may share one fingerprint; the least id stands for the tuple in the join
+    label = F.xxhash64("near", *names)
+    return common.split_join(prints.select(id_col, label.alias("__print")), named.select(label.alias("__print"), "first"), "__print").select(id_col, "first")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = NEAR_RADIUS) -> DataFrame:
+    """One row of each group of near-duplicates (see near_groups), that of the smallest id (null ids last), with the columns of docs.
 
-    Rows are numbered in a stored table first, so that of repeated rows one stays.
+    Rows are numbered in a stored table first, so that of repeated rows one stays, and ranks by id take the number's place
+    where groups are formed. Texts without words are one group.
     """
     rows = common.stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
-    made = fingerprints(rows, "__row", text_col, width)
-    ids = rows.select("__row", order.alias("member"))
-    prints = common.stored(made.join(ids, "__row").select("member", "fp"), "fingerprints")
-    kept = grouped(prints, "member", radius).filter(F.col("member") == F.col("first")).select(F.col("member.row").alias("__row"))
+    groups = common.stored(near_groups(rows, "__row", text_col, radius), "groups")
+    ids = rows.select("__row", F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("member"))
+    kept = groups.join(ids, "__row").groupBy("first").agg(F.min("member").alias("least")).select(F.col("least.row").alias("__row"))
     return rows.join(kept, "__row", "left_semi").select(*docs.columns)

@@ -67,9 +67,9 @@ def test_tree_search_finds_all_in_each_run():
     keys = np.sort(rng.integers(0, 4, 400))
     values = np.unique(rng.integers(0, 2**12, 4000, dtype=np.uint64))[:400]
     rng.shuffle(values)
-    forest = simhash.Forest(keys, values)
-    found = {(int(q), int(n)) for a, b in forest.near(np.arange(400), 2) for q, n in zip(a, b, strict=True)}
-    assert found == {(i, j) for i in range(400) for j in range(400) if keys[i] == keys[j] and (int(values[i]) ^ int(values[j])).bit_count() <= 2}
+    forest = simhash.Forest(keys, values.reshape(-1, 1))
+    found = {(int(q), int(n)) for a, b in forest.near(np.arange(400), 2, np.arange(400)) for q, n in zip(a, b, strict=True)}
+    assert found | {(i, i) for i in range(400)} == {(i, j) for i in range(400) for j in range(400) if keys[i] == keys[j] and (int(values[i]) ^ int(values[j])).bit_count() <= 2}
 
 
 def test_shards_come_whole_over_batches(spark, monkeypatch):
@@ -95,6 +95,51 @@ def test_components_of_a_path(spark):
     assert got == {**{k: 0 for k in range(1, 61)}, 101: 100}
 
 
+@pytest.mark.parametrize("frontier", [1 << 20, 1 << 6])
+def test_spanning_links_of_wide_values(frontier, monkeypatch):
+    monkeypatch.setattr(simhash, "FRONTIER", frontier)
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, (12, 2), dtype=np.uint64)
+    values = np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, (12, 2), dtype=np.uint64)) for _ in range(25)]), axis=0)
+    keys = np.sort(rng.integers(0, 5, len(values)))
+    a, b = simhash.spanning(keys, values, 3)
+    items = list(enumerate((int(k), int(v[0]) | int(v[1]) << 64) for k, v in zip(keys, values, strict=True)))
+    want = groups(items, lambda x, y: x[0] == y[0] and (x[1] ^ y[1]).bit_count() <= 3)
+    got = list(range(len(values)))
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        got[y] = x
+    assert got == want
+
+
+def changed(rng, words, share):
+    return " ".join(w if rng.random() > share else f"new{rng.randrange(10**6)}" for w in words)
+
+
+def test_similar_documents_are_one_group(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for g in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 400))]
+        for share in (0.0, 0.0, 0.01, 0.02):
+            want[len(rows)] = g
+            rows.append((len(rows), changed(rng, words, share)))
+    for g in range(60):  # half of the words of another: not near
+        words = rows[4 * g][1].split()
+        want[len(rows)] = 60 + g
+        rows.append((len(rows), changed(rng, words, 0.3)))
+    got = {r["id"]: r["first"] for r in simhash.near_groups(spark.createDataFrame(rows, "id long, text string"), "id").collect()}
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    close = far = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            similar = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            if similar >= 0.8:
+                close += got[i] != got[j]
+            if want[i] != want[j]:
+                far += got[i] == got[j]
+    assert far == 0 and close <= 3
+
+
 def test_one_of_each_group_stays(odd_docs, no_docs):
     kept = simhash.deduplicate(odd_docs)
     assert kept.columns == odd_docs.columns
