@@ -3,7 +3,7 @@
 A page becomes a small tree. Parts that are never the article (menus, forms, scripts, adverts, comments ...) are
 recognised by tag, role, class or id and cut. Each remaining element has a density: its characters per tag, adjusted
 by how many of them stand in links; and a sum: the densities of its children. The element with the largest sum is the
-content, and so is the best element under every other one whose density reaches the least density on the way from
+content, together with its parent if few of the characters around it stand in links, and so is the best element under every other one whose density reaches the least density on the way from
 the body to that content.
 """
 
@@ -35,7 +35,7 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense banner sponsor sponsored sponsors promo "
     "promoted promotion cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay "
-    "sidebar sidebars rail nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead topbar comment comments "
+    "sidebar sidebars side rail foot nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead topbar comment comments "
     "commentlist disqus reply replies respond discussion share sharing social related recommended recommendations "
     "newsletter subscribe signup login search widget widgets pagination pager toolbar skip copyright disclaimer paywall "
     "form header hidden".split()
@@ -47,8 +47,12 @@ ARTICLE_WORDS = frozenset("ad ads advert advertisement sponsored promo comment c
 #: Elements that, if never closed, end where an article begins.
 FORGOTTEN = frozenset(("nav", "header", "aside", "form", "menu"))
 #: Start tags that end an open element of the first kind.
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "option": ("option",)}
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CLOSES_WITHIN = frozenset("ul ol dl table body article section div main".split())
+#: Elements of the tree that do not begin a block of their own: a row's cells follow each other.
+CELLS = frozenset(("td", "th"))
+#: Of what surrounds the content in its parent, the share of characters in links up to which the parent is content too.
+MOST_LINKS = 0.2
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?"
@@ -123,7 +127,7 @@ def parse(page: str) -> Node:
         while node is not found.parent:
             articles -= node.tag in ("article", "main")
             node = node.parent
-        node.parts.append(None)
+        node.parts.append(" " if name in CELLS else None)
 
     while at < end:
         m = TOKEN.search(page, at)
@@ -153,8 +157,8 @@ def parse(page: str) -> Node:
                 in_link = False
             elif tag in BLOCK:
                 leave(tag)
-            elif tag in ("td", "th"):
-                node.parts.append(" ")
+            elif tag in CELLS:
+                leave(tag, frozenset(("table",)))
             continue
         if tag == "br":
             node.parts.append(" ")
@@ -178,13 +182,11 @@ def parse(page: str) -> Node:
         if tag in RAW:
             at = raw_end(page, at, tag)
             continue
-        if tag not in BLOCK:
+        if tag not in BLOCK and tag not in CELLS:
             node.tags += 1
             if tag == "a":
                 in_link = True
                 node.link_tags += 1
-            elif tag in ("td", "th"):
-                node.parts.append(" ")
             continue
         if tag == "hr":
             node.parts.append(None)
@@ -197,7 +199,7 @@ def parse(page: str) -> Node:
         if tag[0] == "h" and tag[1:].isdigit() and node.tag[0] == "h" and node.tag[1:].isdigit():
             leave(node.tag)
         child = Node(tag, node)
-        node.parts.append(None)
+        node.parts.append(" " if tag in CELLS else None)
         node.parts.append(child)
         node.children.append(child)
         node = child
@@ -248,6 +250,11 @@ def score(root: Node) -> list[Node]:
 def mark(root: Node) -> None:
     score(root)
     content = root.best
+    while content.parent is not None and content.parent is not root:  # headings and short sections beside the densest one
+        around = content.parent.chars - content.chars
+        if content.parent.link_chars - content.link_chars > MOST_LINKS * around:
+            break
+        content = content.parent
     inner = content
     while inner is not None:  # an article is whole, however its sections compare
         if inner.tag in ("article", "main"):
@@ -296,7 +303,8 @@ def main_text(page: str) -> str:
             else:
                 stack.append((node, k, inside))
                 node, k, inside = part, 0, inside or part.marked
-        flush()
+        if node.tag not in CELLS:
+            flush()
     return "\n\n".join(blocks)
 
 

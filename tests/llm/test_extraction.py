@@ -26,6 +26,14 @@ def test_density_without_an_article_element():
     assert text.count("\n\n") == 2 and text.endswith("short.") and "link" not in text and "three" not in text
 
 
+def test_headings_and_short_sections_beside_the_densest():
+    flat = " ".join(LONG.split())
+    page = f'<body><div class=page><div class=post><h1>Title</h1><div class=text><p>{LONG}</p><p>{LONG}</p></div></div><div><a href=1>{LONG}</a></div></div></body>'
+    assert ex.main_text(page) == f"Title\n\n{flat}\n\n{flat}"
+    assert ex.main_text(f"<table><tr><td><a href=1>menu</a><td><p>{LONG}</p></table>") == flat
+    assert ex.main_text(f"<article><p>{LONG}</p><table><tr><td>a<td>b<tr><td>c</td><td>d</td></tr></table></article>") == f"{flat}\n\na b\n\nc d"
+
+
 def test_forgotten_end_tag_and_deep_nesting():
     assert ex.main_text(f"<nav><a href=x>x</a><article><p>{LONG}</p></article>") == " ".join(LONG.split())
     assert ex.main_text("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
