@@ -3,8 +3,8 @@
 A page becomes a small tree. Parts that are never the article (menus, forms, scripts, adverts, comments ...) are
 recognised by tag, role, class or id and cut. Each remaining element has a density: its characters per tag, adjusted
 by how many of them stand in links; and a sum: the densities of its children. The element with the largest sum is the
-content, together with its parent if few of the characters around it stand in links, and so is the best element under every other one whose density reaches the least density on the way from
-the body to that content.
+content, with the elements around it as long as few of their other characters stand in links; and so is the best
+element under every other one whose density reaches the least density on the way from the body to that content.
 """
 
 from __future__ import annotations
@@ -243,7 +243,7 @@ def score(root: Node) -> list[Node]:
         node.density = chars / tags * math.log(max(chars / max(links, 1) * tags / link_tags, 1.0) + 1e-9) / max(base, 1.0)
     for node in reversed(nodes):
         node.total = sum(c.density for c in node.children) if node.children else node.density
-        node.best = max((node, *(c.best for c in node.children)), key=lambda n: n.total)  # the first of equals
+        node.best = max((*(c.best for c in node.children), node), key=lambda n: n.total)  # of equals the innermost, the first
     return nodes
 
 
