@@ -240,7 +240,7 @@ def score(root: Node) -> list[Node]:
             continue
         tags, link_tags = max(node.tags, 1), max(node.link_tags, 1)
         base = math.log(chars / max(chars - links, 1) * links + ratio * chars + math.e)
-        node.density = chars / tags * math.log(max(chars / max(links, 1) * tags / link_tags, 1.0) + 1e-9) / max(base, 1.0)
+        node.density = chars / tags * math.log(max(chars / max(links, 1) * tags / link_tags, 1.0)) / max(base, 1.0)
     for node in reversed(nodes):
         node.total = sum(c.density for c in node.children) if node.children else node.density
         node.best = max((*(c.best for c in node.children), node), key=lambda n: n.total)  # of equals the innermost, the first
