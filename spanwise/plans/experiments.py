@@ -77,14 +77,20 @@ def crosscut(buckets: DataFrame, classes: int) -> DataFrame:
 
 
 def aligned(buckets: DataFrame, classes: int) -> DataFrame:
-    """Classes by rank of work, of equal numbers of buckets. The rank is counted in two steps, so no task sorts all."""
+    """Classes by rank of work, of equal numbers of buckets.
+
+    Buckets of equal work follow each other by a hash and then by name. Ranks are counted in two steps, over (work, part of
+    the hash) and within, so that neither all buckets nor the many with little work are sorted in one task.
+    """
+    salted = buckets.withColumn("__salt", F.substring(F.md5(F.col("bucket").cast("string")), 1, 3))
     total = buckets.groupBy("granularity").agg(F.count("*").alias("__all"))
-    levels = buckets.groupBy("granularity", "work").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("granularity").orderBy(F.desc("work")).rowsBetween(Window.unboundedPreceding, -1)
+    levels = salted.groupBy("granularity", "work", "__salt").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("granularity").orderBy(F.desc("work"), "__salt").rowsBetween(Window.unboundedPreceding, -1)
     levels = levels.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    inside = Window.partitionBy("granularity", "work").orderBy("bucket")
-    ranked = buckets.withColumn("__in", F.row_number().over(inside) - 1).join(levels, ["granularity", "work"]).join(total, "granularity")
-    return ranked.withColumn("class", F.least(F.lit(classes - 1), F.floor((F.col("__before") + F.col("__in")) * classes / F.col("__all"))).cast("int")).drop("__in", "__before", "__all")
+    inside = Window.partitionBy("granularity", "work", "__salt").orderBy("bucket")
+    ranked = salted.withColumn("__in", F.row_number().over(inside) - 1).join(levels, ["granularity", "work", "__salt"]).join(total, "granularity")
+    rank = F.col("__before") + F.col("__in")
+    return ranked.withColumn("class", F.least(F.lit(classes - 1), F.floor(rank * classes / F.col("__all"))).cast("int")).select(*buckets.columns, "class")
 
 
 def proportional(buckets: DataFrame, shares: tuple[float, ...] = (0.3, 0.4, 0.3)) -> DataFrame:

@@ -475,7 +475,7 @@ def pl_predclass(spark, sf_dir):
     return experiments.class_costs(experiments.crosscut(buckets(spark, sf_dir), 4), SLOTS).drop("seconds")
 
 
-@query(f"WITH {BK}, {_classes_sql('CAST(least(3, (row_number() OVER (PARTITION BY granularity ORDER BY work DESC, bucket) - 1) * 4 // count(*) OVER (PARTITION BY granularity)) AS INTEGER)')} {_CC_OUT}")
+@query(f"WITH {BK}, {_classes_sql('CAST(least(3, (row_number() OVER (PARTITION BY granularity ORDER BY work DESC, substr(md5(bucket), 1, 3), bucket) - 1) * 4 // count(*) OVER (PARTITION BY granularity)) AS INTEGER)')} {_CC_OUT}")
 def pl_predclass_aligned(spark, sf_dir):
     return experiments.class_costs(experiments.aligned(buckets(spark, sf_dir), 4), SLOTS).drop("seconds")
 
