@@ -106,3 +106,10 @@ def split_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     chosen = F.col(key).isin(hot)
     warm = left.filter(chosen).join(F.broadcast(right.filter(chosen)), key, "left")
     return warm.unionByName(left.filter(~chosen | F.col(key).isNull()).join(right.filter(~chosen), key, "left"))
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables in the shared folder. DataFrames that read them can't be used any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/spanwise")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
