@@ -215,10 +215,11 @@ class Kind(NamedTuple):
 
 
 LABELS = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)"
-#: In order of precedence where matches overlap. A pattern's group `v`, if it has one, is the value.
+#: In order of precedence where matches overlap. Where a pattern has named groups, the one that matched is the value: after
+#: a label, what is quoted or has a digit.
 KINDS = (
     Kind("email", re.compile(r"(?<![\w.%+-])[\w.%+-]+@(?:[\w-]+\.)+[A-Za-z]{2,}"), email),
-    Kind("secret", re.compile(rf"(?i:(?<![a-z]){LABELS})[\"']?\s?[:=]\s?[\"']?(?P<v>[A-Za-z0-9_+/-]{{8,}})|(?<![A-Za-z0-9])(?P<w>(?:AKIA|ASIA)[0-9A-Z]{{16}})(?![A-Za-z0-9])"), secret),
+    Kind("secret", re.compile(rf"(?i:(?<![a-z]){LABELS})[\"']?\s?[:=]\s?(?:[\"'](?P<v>[^\s\"']{{8,}})[\"']|(?P<u>(?=[A-Za-z_+/-]*\d)[A-Za-z0-9_+/-]{{8,}}))|(?<![A-Za-z0-9])(?P<w>(?:AKIA|ASIA)[0-9A-Z]{{16}})(?![A-Za-z0-9])"), secret),
     Kind("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), iban),
     Kind("mac", re.compile(r"(?<![\w:-])[0-9A-Fa-f]{2}(?:([:-])[0-9A-Fa-f]{2})(?:\1[0-9A-Fa-f]{2}){4}(?![\w:-])"), mac),
     Kind("date", re.compile(r"(?<![\w./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?!\w|[-/.]\d)"), calendar),
@@ -252,7 +253,7 @@ def replaced(text: str, known: Pseudonyms) -> tuple[str, list[tuple[str, int, in
         if kind.name == "email" and "@" not in text:
             continue
         for m in kind.pattern.finditer(text):
-            group = (m.lastgroup if m.lastgroup in ("v", "w") else 0) or 0
+            group = m.lastgroup or 0  # only secrets have named groups
             start, end = m.span(group)
             if any(start < e and s < end for s, e, _, _ in found):
                 continue
