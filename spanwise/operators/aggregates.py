@@ -32,8 +32,11 @@ def domain(spark: SparkSession, values: dict[str, Sequence]) -> DataFrame:
     rows: list[tuple] = [()]
     for column in values.values():
         rows = [(*r, v) for r in rows for v in column]
+    if not rows:
+        raise ValueError("every declared column needs a value")
     names = list(values)
-    return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], ["domain_order", *names])
+    literals = [F.struct(F.lit(k).cast("long").alias("domain_order"), *(F.lit(v).alias(n) for n, v in zip(names, r, strict=True))) for k, r in enumerate(rows)]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*literals)))
 
 
 def group_by_domain(df: DataFrame, values: dict[str, Sequence], aggregates: dict[str, Column]) -> DataFrame:
