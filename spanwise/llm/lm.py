@@ -150,7 +150,8 @@ def train(cells: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> np.ndar
                     gradient += np.bincount(f.ravel(), error.ravel(), len(gradient))
             yield {"gradient": [gradient.astype(np.float32).tobytes()], "n": [int(n.sum())]}
 
-        parts = common.map_batches(table, ["key", "n"], run, "gradient binary, n long").collect()
+        # a file holds whole contexts; however many files there are, SHARDS parts of the gradient reach the driver
+        parts = common.map_batches(table.coalesce(SHARDS), ["key", "n"], run, "gradient binary, n long").collect()
         if not parts:
             break
         gradient = (sum(np.frombuffer(p[0], np.float32).astype(float) for p in parts) - weights / PRIOR) / sum(p[1] for p in parts)
