@@ -13,6 +13,7 @@ forest of its links and not its pairs, so groups of any size stay linear in rows
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -31,6 +32,9 @@ SLICE, FRONTIER, READ_AHEAD = 1 << 16, 1 << 20, 200_000
 #: For near-duplicates by similarity: words in a shingle and 64-bit fingerprints that are compared, words in a shingle and
 #: fingerprints that are looked up by blocks, and the bits of 512 in which near-duplicates may differ.
 NEAR_WIDTH, NEAR_WORDS, KEY_WIDTH, KEY_WORDS, NEAR_RADIUS = 5, 8, 2, 6, 90
+#: Bands of minima of the five-word shingles that are looked up beside the blocks, minima in a band, and each minimum's multiplier.
+BANDS, BAND_ROWS = 16, 4
+MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
 
 
 #: For each value of a byte, its bits, the lowest first.
@@ -228,27 +232,49 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return sharded(prints.select(F.explode(F.array(*block_keys(["fp"]))).alias("key"), "fp"), ["fp"], run, "a long, b long").distinct()
 
 
+def shingle_set(words: list[bytes]) -> np.ndarray:
+    """The distinct five-word shingles, sorted; one value of its own for no words."""
+    return np.unique(shingle_values(words, NEAR_WIDTH)) if words else np.zeros(1, np.uint64)
+
+
+def bands(values: np.ndarray) -> np.ndarray:
+    """BANDS keys, each of BAND_ROWS minima over the values: two sets share one with the probability of their similarity to that power.
+
+    They are at least 2^62, above all keys of blocks.
+    """
+    least = np.full(BANDS * BAND_ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(values), SLICE // 16):
+        np.minimum(least, (values[at : at + SLICE // 16, None] * MULTIPLIERS).min(axis=0), out=least)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BAND_ROWS, BANDS):
+        key = remixed(key ^ row, 1)
+    return (key >> np.uint64(2) | np.uint64(1 << 62)).view(np.int64)
+
+
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id_col, `near` (NEAR_WORDS 64-bit fingerprints of five-word shingles, as bytes) and k0, k1 ... (KEY_WORDS of two-word ones)."""
+    """id_col, `print` (a digest of the set of five-word shingles), `near` (NEAR_WORDS 64-bit fingerprints of that set, as bytes),
+    `bands` (keys of its minima) and k0, k1 ... (KEY_WORDS fingerprints of two-word shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            near, keys = [], []
+            prints, near, minima, keys = [], [], [], []
             for text in common.utf8(batch.column(1)):
                 words = text.lower().split()
-                values = shingle_values(words, NEAR_WIDTH)
+                values = shingle_set(words)
+                prints.append(hashlib.blake2b(values.tobytes(), digest_size=16).hexdigest())
                 near.append(np.array([majority(remixed(values, k)) for k in range(NEAR_WORDS)], "<u8").tobytes())
+                minima.append(bands(values))
                 values = shingle_values(words, KEY_WIDTH)
                 keys.append([majority(remixed(values, k)) for k in range(KEY_WORDS)])
             columns = np.array(keys, np.uint64).reshape(-1, KEY_WORDS).view(np.int64)
-            yield {id_col: batch.column(0), "near": near} | {f"k{k}": columns[:, k] for k in range(KEY_WORDS)}
+            yield {id_col: batch.column(0), "print": prints, "near": near, "bands": [m.tolist() for m in minima]} | {f"k{k}": columns[:, k] for k in range(KEY_WORDS)}
 
     keys = ", ".join(f"k{k} long" for k in range(KEY_WORDS))
-    return common.map_batches(docs, [id_col, text_col], run, f"`{id_col}` {common.type_of(docs, id_col)}, near binary, {keys}")
+    return common.map_batches(docs, [id_col, text_col], run, f"`{id_col}` {common.type_of(docs, id_col)}, print string, near binary, bands array<long>, {keys}")
 
 
 def wide_links(nodes: DataFrame, radius: int = NEAR_RADIUS) -> DataFrame:
-    """A spanning set of links (a, b) between nodes (node, near, k0, k1 ...) whose wide fingerprints differ in at most `radius` bits.
+    """A spanning set of links (a, b) between nodes (node, near, bands, k0, k1 ...) whose wide fingerprints differ in at most `radius` bits.
 
     Only shards in which nodes meet need the wide fingerprints, so shards are formed of light rows first.
     """
@@ -266,7 +292,7 @@ def wide_links(nodes: DataFrame, radius: int = NEAR_RADIUS) -> DataFrame:
         return {"a": node[a], "b": node[b]}
 
     names = [f"k{k}" for k in range(KEY_WORDS)]
-    shards = nodes.select(F.explode(F.array(*block_keys(names))).alias("key"), "node")
+    shards = nodes.select(F.explode(F.concat(F.array(*block_keys(names)), "bands")).alias("key"), "node")
     met = common.stored(sharded(shards, ["node"], crowded, "key long, node long"), "crowded")
     return sharded(met.join(nodes.select("node", "near"), "node"), ["node", "near"], run, "a long, b long").distinct()
 
@@ -331,17 +357,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The share of bits in which two SimHash fingerprints differ is the angle between their shingle counts, in units of
     half a turn. At a similarity of 0.8 (Jaccard) that is 0.151; NEAR_RADIUS leaves room for about one and a half times the
     estimate's standard deviation over 512 bits. Candidates are pairs that agree in two of five blocks of one of six
-    fingerprints of two-word shingles, which such pairs change less. So a pair at 0.8 is found with a probability of about
-    0.9, closer ones nearly always, and pairs below 0.65 hardly ever. id_col must be unique, and a long.
+    fingerprints of two-word shingles, which words changed here and there change less, or in one of BANDS bands of minima
+    of the five-word shingles, which depends on the similarity alone, wherever the changes are: at 0.8 two documents
+    share none with a probability of (1 - 0.8^4)^16, 0.0002. id_col must be unique, and a long.
     """
     prints = common.stored(wide_fingerprints(docs, id_col, text_col), "fingerprints")
     names = [f"k{k}" for k in range(KEY_WORDS)]
-    nodes = common.stored(prints.groupBy("near", *names).agg(F.min(id_col).alias("node")), "nodes")
+    # one node for each set of shingles, with the columns of its least id
+    least = prints.groupBy("print").agg(F.min(F.struct(F.col(id_col).alias("node"), "near", "bands", *names)).alias("least"))
+    nodes = common.stored(least.select("print", "least.*"), "nodes")
     roots = components(wide_links(nodes, radius))
-    named = common.stored(nodes.join(roots, "node", "left").select("near", *names, F.coalesce("root", "node").alias("first")), "named")
-    # copies: as many rows as documents may share one fingerprint; the least id stands for the tuple in the join
-    label = F.xxhash64("near", *names)
-    return common.split_join(prints.select(id_col, label.alias("__print")), named.select(label.alias("__print"), "first"), "__print").select(id_col, "first")
+    named = common.stored(nodes.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("first")), "named")
+    # copies: as many rows as documents may share one set
+    return common.split_join(prints.select(id_col, "print"), named, "print").select(id_col, "first")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = NEAR_RADIUS) -> DataFrame:

@@ -140,6 +140,27 @@ def test_similar_documents_are_one_group(spark):
     assert far == 0 and close <= 3
 
 
+def contiguous(rng, kind, low, high):
+    """Two texts of which one has a passage appended or replaced, with a similarity of five-word shingles in [low, high)."""
+    while True:
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(80, 400))]
+        n = int(len(words) * rng.uniform(0.02, 0.3))
+        new = [f"new{rng.randrange(10**6)}" for _ in range(n)]
+        at = rng.randrange(len(words) - n)
+        a, b = " ".join(words), " ".join(words + new if kind == "appended" else words[:at] + new + words[at + n :])
+        x, y = ({tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in (a, b))
+        if low <= len(x & y) / len(x | y) < high:
+            return a, b
+
+
+@pytest.mark.parametrize("kind", ["appended", "replaced"])
+def test_contiguous_edits_are_found(spark, kind):
+    rng = random.Random(11)
+    texts = [t for k in range(300) for t in contiguous(rng, kind, 0.8 + 0.05 * (k % 2), 0.85 + 0.05 * (k % 2))]
+    got = {r["id"]: r["first"] for r in simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id").collect()}
+    assert sum(got[2 * k] == got[2 * k + 1] for k in range(300)) >= 291 and all(got[2 * k] == 2 * k for k in range(300))
+
+
 def test_one_of_each_group_stays(odd_docs, no_docs):
     kept = simhash.deduplicate(odd_docs)
     assert kept.columns == odd_docs.columns
