@@ -30,8 +30,10 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Shingles whose bits are counted at once, search states that a block of queries may make, and rows read ahead of a shard.
 SLICE, FRONTIER, READ_AHEAD = 1 << 16, 1 << 20, 200_000
 #: For near-duplicates by similarity: words in a shingle and 64-bit fingerprints that are compared, words in a shingle and
-#: fingerprints that are looked up by blocks, and the bits of 512 in which near-duplicates may differ.
-NEAR_WIDTH, NEAR_WORDS, KEY_WIDTH, KEY_WORDS, NEAR_RADIUS = 5, 8, 2, 6, 90
+#: fingerprints that are looked up by blocks, and the bits of 512 in which candidates may differ.
+NEAR_WIDTH, NEAR_WORDS, KEY_WIDTH, KEY_WORDS, NEAR_RADIUS = 5, 8, 2, 6, 128
+#: Two sets are similar if they share SIMILAR[0] parts in SIMILAR[1] of what either has; texts read ahead of a shard, and shingles compared at once.
+SIMILAR, TEXTS_AHEAD, COMPARED = (4, 5), 4096, 1 << 21
 #: Bands of minima of the five-word shingles that are looked up beside the blocks, minima in a band, and each minimum's multiplier.
 BANDS, BAND_ROWS = 16, 4
 MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
@@ -180,10 +182,10 @@ def spanning(keys: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndar
     return own[group[other]], own[other]
 
 
-def sharded(shards: DataFrame, columns: list[str], fn, schema: str) -> DataFrame:
+def sharded(shards: DataFrame, columns: list[str], fn, schema: str, ahead: int = READ_AHEAD) -> DataFrame:
     """Runs fn over whole shards: rows with equal `key` meet, sorted, and reach fn in lists of batches that end with a shard.
 
-    A task holds about READ_AHEAD rows, or its largest shard if that has more.
+    A task holds about `ahead` rows, or its largest shard if that has more.
     """
     spread = shards.select("key", *columns).repartition(common.shuffle_partitions(shards.sparkSession), "key").sortWithinPartitions("key")
 
@@ -201,7 +203,7 @@ def sharded(shards: DataFrame, columns: list[str], fn, schema: str) -> DataFrame
 
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) >= READ_AHEAD:
+            if sum(b.num_rows for b in held) >= ahead:
                 yield close(False)
         if held or table is not None:
             yield close(True)
@@ -328,6 +330,57 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def similar_groups(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the position of the first one that it is connected with by pairs of exact similarity SIMILAR or more.
+
+    A set is compared with those that no group has taken yet, so a group of near copies of one another is found by its first.
+    """
+    part, whole = SIMILAR
+    sizes = np.array([len(x) for x in sets])
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    marked, group, left = np.zeros(len(values), bool), np.full(len(sets), -1), np.arange(len(sets))
+    while len(left):
+        start, todo = left[0], [left[0]]
+        group[start], left = start, left[1:]
+        while todo and len(left):
+            q = todo.pop()
+            marked[ids[first[q] : first[q + 1]]] = True
+            fit = left[whole * np.minimum(sizes[left], sizes[q]) >= part * np.maximum(sizes[left], sizes[q])]
+            ends = np.cumsum(sizes[fit])
+            at = 0
+            while at < len(fit):
+                end = max(at + 1, int(np.searchsorted(ends, ends[at] + COMPARED)))
+                some = fit[at:end]
+                begin = np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
+                shared = np.add.reduceat(marked[ids[np.repeat(first[some] - begin, sizes[some]) + np.arange(sizes[some].sum())]], begin, dtype=np.int64)
+                hit = some[whole * shared >= part * (sizes[q] + sizes[some] - shared)]
+                group[hit], at = start, end
+                todo.extend(hit)
+            marked[ids[first[q] : first[q + 1]]] = False
+            left = left[group[left] < 0]
+    return group
+
+
+def confirmed(candidates: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, root) for every candidate (node, root: its component): root is now the least node it is connected with by exact similarity.
+
+    Each candidate's text moves once, to the shard of its component; a pair that might be similar is in one component.
+    """
+
+    def run(keys: np.ndarray, rows: pa.Table) -> dict:
+        node, texts = rows.column(1).to_numpy(), common.utf8(rows.column(2))
+        order, root = np.lexsort((node, keys)), node.copy()
+        runs = np.split(order, np.flatnonzero(np.diff(keys[order])) + 1) if len(order) else []
+        for members in runs:
+            root[members] = node[members][similar_groups([shingle_set(texts[k].lower().split()) for k in members])]
+        return {"node": node, "root": root}
+
+    every = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())
+    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
+    return sharded(every.join(texts, "node").select(F.col("root").alias("key"), "node", "text"), ["node", "text"], run, "node long, root long", TEXTS_AHEAD)
+
+
 def grouped(prints: DataFrame, member: str, radius: int = RADIUS) -> DataFrame:
     """Stored rows (member, fp) with `first`, the smallest member of everything reachable by links.
 
@@ -352,21 +405,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = NEAR_RADIUS) -> DataFrame:
-    """(id_col, first): the smallest id of the group of documents that share about four in five of their five-word shingles.
-
-    The share of bits in which two SimHash fingerprints differ is the angle between their shingle counts, in units of
-    half a turn. At a similarity of 0.8 (Jaccard) that is 0.151; NEAR_RADIUS leaves room for about one and a half times the
-    estimate's standard deviation over 512 bits. Candidates are pairs that agree in two of five blocks of one of six
-    fingerprints of two-word shingles, which words changed here and there change less, or in one of BANDS bands of minima
-    of the five-word shingles, which depends on the similarity alone, wherever the changes are: at 0.8 two documents
-    share none with a probability of (1 - 0.8^4)^16, 0.0002. id_col must be unique, and a long.
+    """(id_col, first): the smallest id of the group of documents connected by pairs with a Jaccard similarity of 0.8 or
+    more between their sets of five-word shingles.
+
+    Every link is confirmed by the sets themselves, so nothing below 0.8 is linked. Candidates are pairs that agree in two of
+    five blocks of one of six fingerprints of two-word shingles, which words changed here and there change less, or in one
+    of BANDS bands of minima of the five-word shingles, which depends on the similarity alone, wherever the changes are: at
+    0.8 two documents share none with a probability of (1 - 0.8^4)^16, 0.0002. Of these, pairs whose wide fingerprints
+    differ in more than `radius` bits are left out: the share of bits in which two SimHash fingerprints differ is the
+    angle between their sets, in units of half a turn, 0.151 at a similarity of 0.8, and NEAR_RADIUS is over five
+    standard deviations more. id_col must be unique, and a long.
     """
     prints = common.stored(wide_fingerprints(docs, id_col, text_col), "fingerprints")
     names = [f"k{k}" for k in range(KEY_WORDS)]
     # one node for each set of shingles, with the columns of its least id
     least = prints.groupBy("print").agg(F.min(F.struct(F.col(id_col).alias("node"), "near", "bands", *names)).alias("least"))
     nodes = common.stored(least.select("print", "least.*"), "nodes")
-    roots = components(wide_links(nodes, radius))
+    candidates = common.stored(components(wide_links(nodes, radius)), "candidates")
+    roots = common.stored(confirmed(candidates, docs, id_col, text_col), "confirmed")
     named = common.stored(nodes.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("first")), "named")
     # copies: as many rows as documents may share one set
     return common.split_join(prints.select(id_col, "print"), named, "print").select(id_col, "first")

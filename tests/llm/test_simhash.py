@@ -161,6 +161,24 @@ def test_contiguous_edits_are_found(spark, kind):
     assert sum(got[2 * k] == got[2 * k + 1] for k in range(300)) >= 291 and all(got[2 * k] == 2 * k for k in range(300))
 
 
+def test_links_are_confirmed_by_exact_similarity(spark):
+    rng = random.Random(12)
+    texts = [t for k in range(200) for t in contiguous(rng, ("appended", "replaced")[k % 2], (0.72, 0.8)[k % 4 // 2], (0.8, 0.85)[k % 4 // 2])]
+    got = {r["id"]: r["first"] for r in simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id").collect()}
+    linked = [got[2 * k] == got[2 * k + 1] for k in range(200)]
+    assert not any(linked[k] for k in range(200) if k % 4 < 2) and sum(linked) >= 99
+
+
+@pytest.mark.parametrize("compared", [1 << 21, 50])
+def test_similar_groups_against_brute_force(monkeypatch, compared):
+    monkeypatch.setattr(simhash, "COMPARED", compared)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1000, 40, dtype=np.uint64)) for _ in range(20)]
+    sets += [np.unique(np.concatenate((x[rng.random(len(x)) > 0.1], rng.integers(0, 1000, rng.integers(0, 6), dtype=np.uint64)))) for x in sets * 8]
+    want = groups([(k, set(x.tolist())) for k, x in enumerate(sets)], lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    assert simhash.similar_groups(sets).tolist() == want and 20 < len(set(want)) < 180
+
+
 def test_one_of_each_group_stays(odd_docs, no_docs):
     kept = simhash.deduplicate(odd_docs)
     assert kept.columns == odd_docs.columns
