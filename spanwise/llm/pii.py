@@ -224,7 +224,7 @@ KINDS = (
     Kind("mac", re.compile(r"(?<![\w:-])[0-9A-Fa-f]{2}(?:([:-])[0-9A-Fa-f]{2})(?:\1[0-9A-Fa-f]{2}){4}(?![\w:-])"), mac),
     Kind("date", re.compile(r"(?<![\w./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?!\w|[-/.]\d)"), calendar),
     Kind("ip", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"), ipv4),
-    Kind("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w|[-.]\d)"), card),
+    Kind("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,}(?!\w|[-.]\d)"), card),
     Kind("social", re.compile(r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?!\w|[-.]\d)"), social),
     Kind("phone", re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{3,4}[ .-]?\d{3,4}(?!\w|[-.]\d)|(?<![\w.+-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w|[-.]\d)|(?<![\w.+-])(?:1[ .-])?\d{3}([ .-])\d{3}\1\d{4}(?!\w|[-.]\d)"), phone),
 )
@@ -244,6 +244,24 @@ class Pseudonyms(dict):
         return made
 
 
+def card_places(run: str) -> Iterator[tuple[int, int]]:
+    """Where a card may be in a run of digit groups: 13 to 19 digits from the start of a group to the end of one.
+
+    The whole run comes first, then single groups, then the longer before the shorter ones.
+    """
+    groups = [m.span() for m in re.finditer(r"\d+", run)]
+    places = []
+    for k, (start, _) in enumerate(groups):
+        digits = 0
+        for j in range(k, len(groups)):
+            digits += groups[j][1] - groups[j][0]
+            if digits > 19:
+                break
+            if digits >= 13:
+                places.append((j - k + 1 < len(groups), j > k, -digits, start, groups[j][1]))
+    return ((start, end) for *_, start, end in sorted(places))
+
+
 def replaced(text: str, known: Pseudonyms) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and each one's kind, start and length in the result (code points)."""
     if not CLUE.search(text):
@@ -255,10 +273,11 @@ def replaced(text: str, known: Pseudonyms) -> tuple[str, list[tuple[str, int, in
         for m in kind.pattern.finditer(text):
             group = m.lastgroup or 0  # only secrets have named groups
             start, end = m.span(group)
-            if any(start < e and s < end for s, e, _, _ in found):
-                continue
-            if (made := known[k, m[group]]) is not None:
-                found.append((start, end, kind.name, made))
+            for a, b in card_places(m[0]) if kind.name == "card" else ((0, end - start),):
+                if any(start + a < e and s < start + b for s, e, _, _ in found):
+                    continue
+                if (made := known[k, text[start + a : start + b]]) is not None:
+                    found.append((start + a, start + b, kind.name, made))
     if not found:
         return text, []
     found.sort()

@@ -42,6 +42,16 @@ def test_what_fails_its_check_stays():
         assert pii.replaced(text, pii.Pseudonyms(KEY)) == (text, [])
 
 
+@pytest.mark.parametrize("card", ["4041894974608795", "4041 8949 7460 8795", "4041-8949-7460-8795", "378282246310005"])
+@pytest.mark.parametrize("around", ["card {} 12 items", "pay 3 {} now", "{} 12", "9999 {}", "1 2 3 {} 4 5 6", "on 1984-02-29 {} 1", "{} 4111111111111111 77"])
+def test_cards_beside_other_numbers(card, around):
+    text = around.format(card)
+    out, spans = pii.replaced(text, pii.Pseudonyms(KEY))
+    assert card not in out and "4111111111111111" not in out and [c.isdigit() for c in out] == [c.isdigit() for c in text]
+    if around != "on 1984-02-29 {} 1" and "4111" not in around:
+        assert [s[0] for s in spans] == ["card"]
+
+
 def test_dates_stay_apart():
     rng = random.Random(0)
     days = {date.fromordinal(rng.randint(pii.FIRST, pii.LAST)) for _ in range(500)}
