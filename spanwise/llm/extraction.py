@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 A page becomes a small tree. Parts that are never the article (menus, forms, scripts, adverts, comments ...) are
-recognised by tag, role, class or id and cut. Each remaining element has a density: its characters per tag, adjusted
+recognised by tag, role, class or id and cut, but for forms and what only a class or id tells of: these stay if they hold
+the article or most of the page's text. Each remaining element has a density: its characters per tag, adjusted
 by how many of them stand in links; and a sum: the densities of its children. The element with the largest sum is the
 content, with the elements around it as long as few of their other characters stand in links; and so is the best
 element under every other one whose density reaches the least density on the way from the body to that content.
@@ -44,6 +45,8 @@ NOISE_WORDS = frozenset(
 HEADING_WORDS = frozenset(("header",))
 #: Of these, what makes an article element one that is not the page's own.
 ARTICLE_WORDS = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related recommended".split())
+#: Of the tags, those that may be wrapped round a whole page.
+WRAPPERS = frozenset(("form", "fieldset"))
 #: Elements that, if never closed, end where an article begins.
 FORGOTTEN = frozenset(("nav", "header", "aside", "form", "menu"))
 #: Start tags that end an open element of the first kind.
@@ -65,23 +68,25 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "parts", "chars", "link_chars", "tags", "link_tags", "density", "total", "best", "marked")
+    __slots__ = ("tag", "parent", "children", "parts", "chars", "link_chars", "tags", "link_tags", "density", "total", "best", "marked", "doubtful")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.children: list[Node] = []
         self.parts: list = []  # texts, nodes, and None where a block ends or begins
         self.chars = self.link_chars = self.tags = self.link_tags = 0
-        self.marked = False
+        self.marked = self.doubtful = False  # doubtful: cut unless it turns out to hold the article or most of the text
 
 
-def noisy(tag: str, attributes: str, inside_article: bool) -> bool:
-    """Whether an element is never main text, by its tag and attributes."""
+def noisy(tag: str, attributes: str, inside_article: bool) -> bool | None:
+    """Whether an element is never main text, by its tag and attributes; None if only a class or id or a form's tag says so."""
+    if tag in WRAPPERS:
+        return None
     if tag in NOISE_TAGS or (tag == "header" and not inside_article):
         return True
     if not attributes or tag in ("body", "html", "main"):
         return False
-    words = ARTICLE_WORDS if tag == "article" else NOISE_WORDS
+    words, told = ARTICLE_WORDS if tag == "article" else NOISE_WORDS, False
     for m in ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
@@ -89,14 +94,14 @@ def noisy(tag: str, attributes: str, inside_article: bool) -> bool:
             for word in WORD.findall(value):
                 word = word.lower()
                 if word in words and not (inside_article and word in HEADING_WORDS):
-                    return True
+                    told = True
         elif name == "role" and value.strip().lower() in NOISE_ROLES:
             return True
         elif name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true"):
             return True
         elif name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
-    return False
+    return None if told else False
 
 
 def parse(page: str) -> Node:
@@ -104,6 +109,7 @@ def parse(page: str) -> Node:
     root = node = Node("html", None)
     in_link, articles, at, end = False, 0, 0, len(page)
     skipping, depth = "", 0  # the element that is being cut, and how many of its name are open
+    inside: list[str] = []  # blocks open within it
 
     def text(raw: str) -> None:
         if raw:
@@ -129,6 +135,12 @@ def parse(page: str) -> Node:
             node = node.parent
         node.parts.append(" " if name in CELLS else None)
 
+    def is_open(name: str) -> bool:
+        found = node
+        while found is not None and found.tag != name:
+            found = found.parent
+        return found is not None and found.parent is not None
+
     while at < end:
         m = TOKEN.search(page, at)
         if m is None:
@@ -142,8 +154,16 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-        if skipping in FORGOTTEN and tag in ("article", "main") and not closing and not noisy(tag, attributes, False):
+        if skipping in FORGOTTEN and tag in ("article", "main") and not closing and noisy(tag, attributes, False) is False:
             skipping = ""
+        if skipping and tag in BLOCK and tag != skipping:
+            if not closing:
+                inside.append(tag)
+            elif tag in inside:
+                while inside.pop() != tag:
+                    pass
+            elif is_open(tag):  # the end of what the cut element stands in
+                skipping = ""
         if skipping:
             if tag == skipping:
                 depth += -1 if closing else not attributes.endswith("/")
@@ -167,7 +187,8 @@ def parse(page: str) -> Node:
         if tag in ("html", "body"):
             continue
         cut = noisy(tag, attributes, articles > 0)
-        if cut:
+        doubtful = cut is None and (tag in BLOCK or tag in CELLS)
+        if cut or (cut is None and not doubtful):
             if tag in BLOCK:
                 if node.tag == "p":
                     leave("p")
@@ -177,7 +198,7 @@ def parse(page: str) -> Node:
             elif tag not in VOID and not attributes.endswith("/"):
                 if tag == "head":  # ends where content begins, even if it is never closed
                     continue
-                skipping, depth = tag, 1
+                skipping, depth, inside = tag, 1, []
             continue
         if tag in RAW:
             at = raw_end(page, at, tag)
@@ -199,14 +220,30 @@ def parse(page: str) -> Node:
         if tag[0] == "h" and tag[1:].isdigit() and node.tag[0] == "h" and node.tag[1:].isdigit():
             leave(node.tag)
         child = Node(tag, node)
+        child.doubtful = doubtful
         node.parts.append(" " if tag in CELLS else None)
         node.parts.append(child)
         node.children.append(child)
         node = child
         articles += tag in ("article", "main")
+    prune(root)
     return root
 
 
+def prune(root: Node) -> None:
+    """Cuts doubtful elements, but for those that hold most of the unlinked text of the page's articles or, if it has none, of the page."""
+    nodes = ordered(root)
+    plain, told = {}, {}  # unlinked characters, of the whole element and of articles in it
+    for node in reversed(nodes):
+        plain[node] = node.chars - node.link_chars + sum(plain[c] for c in node.children)
+        told[node] = plain[node] if node.tag in ("article", "main") and not node.doubtful else sum(told[c] for c in node.children)
+    held = told if told[root] else plain
+    cut = {c for c in nodes if c.doubtful and 2 * held[c] <= held[root]}
+    for node in {c.parent for c in cut}:
+        node.children = [c for c in node.children if c not in cut]
+        node.parts = [None if isinstance(x, Node) and x in cut else x for x in node.parts]
+
+
 def raw_end(page: str, at: int, tag: str) -> int:
     """Where the text of a script or the like ends; at the end of the page if it is never closed."""
     m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)

@@ -39,6 +39,32 @@ def test_forgotten_end_tag_and_deep_nesting():
     assert ex.main_text("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
 
 
+FLAT = " ".join(LONG.split())
+
+
+@pytest.mark.parametrize("name", ["page has-sidebar", "no-sidebar", "entry long-form", "header-fixed content"])
+@pytest.mark.parametrize("inner", ["<p>{}</p>", "<article><p>{}</p></article>"])
+def test_words_in_the_class_of_the_whole_page(name, inner):
+    assert ex.main_text(f'<body><div class="{name}">{inner.format(LONG)}</div><div class="sidebar">Short.</div></body>') == FLAT
+
+
+def test_comments_longer_than_the_article():
+    assert ex.main_text(f'<body><article><p>{LONG}</p></article><div class="comments"><p>{LONG * 3}</p></div></body>') == FLAT
+
+
+def test_form_round_the_whole_page():
+    assert ex.main_text(f"<body><form><div><p>{LONG}</p></div></form></body>") == FLAT
+    assert ex.main_text(f"<body><form><label>Mail</label></form><div><p>{LONG}</p></div></body>") == FLAT
+
+
+@pytest.mark.parametrize("page", [
+    f'<div><p class="ad">Buy<p>{LONG}</div>', f'<ul><li class="social">Share<li>{LONG}</ul>', f'<table><tr><td class="side">Menu<td><p>{LONG}</p></table>',
+    f'<div><div><span class="ad">Buy</div><p>{LONG}</p></div>', f"<div><div><nav>Menu</div><p>{LONG}</p></div>",
+])
+def test_cut_elements_without_end_tag(page):
+    assert ex.main_text(page) == FLAT
+
+
 def test_table(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None), (None, "v", "", None), (3, "w", "<p>" + "word " * 100_000, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
