@@ -1,11 +1,14 @@
 """Main text of web pages by composite text density.
 
-A page becomes a small tree. Parts that are never the article (menus, forms, scripts, adverts, comments ...) are
-recognised by tag, role, class or id and cut, but for forms and what only a class or id tells of: these stay if they hold
-the article or most of the page's text. Each remaining element has a density: its characters per tag, adjusted
-by how many of them stand in links; and a sum: the densities of its children. The element with the largest sum is the
-content, with the elements around it as long as few of their other characters stand in links; and so is the best
-element under every other one whose density reaches the least density on the way from the body to that content.
+A page becomes a tree, without the kinds of elements that are never the article by their tag or role (menus, scripts,
+controls, footers ...). Each element has a density: its characters per tag, adjusted by how many of them stand in links;
+and a sum: the densities of its children. Names of classes and ids only weigh: an element that is called an advert, a
+comment and so on, or is a form, counts LIGHT times in its own density, in those of its descendants, and in what its
+ancestors hold.
+
+The element with the largest sum is the content. The threshold is the least density on the path from the body to it. The
+best element under every element whose density reaches the threshold is content too, and so are headings beside the
+path. An element within the content that weighs less than what it stands in stays only if its density reaches the threshold.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
 NOISE_TAGS = frozenset(
-    "nav footer aside form button select textarea input option script style noscript template iframe svg math canvas "
-    "object embed head title menu dialog xmp noembed noframes audio video map datalist label fieldset".split()
+    "nav footer aside button select textarea input option script style noscript template iframe svg math canvas "
+    "object embed head title menu dialog xmp noembed noframes audio video map datalist label".split()
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NOISE_WORDS = frozenset(
@@ -45,8 +48,11 @@ NOISE_WORDS = frozenset(
 HEADING_WORDS = frozenset(("header",))
 #: Of these, what makes an article element one that is not the page's own.
 ARTICLE_WORDS = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related recommended".split())
-#: Of the tags, those that may be wrapped round a whole page.
+#: Of the tags, those that may be wrapped round a whole page: they only weigh less.
 WRAPPERS = frozenset(("form", "fieldset"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
+#: What an element of such a kind or name weighs.
+LIGHT = 0.05
 #: Elements that, if never closed, end where an article begins.
 FORGOTTEN = frozenset(("nav", "header", "aside", "form", "menu"))
 #: Start tags that end an open element of the first kind.
@@ -54,8 +60,6 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",),
 CLOSES_WITHIN = frozenset("ul ol dl table body article section div main".split())
 #: Elements of the tree that do not begin a block of their own: a row's cells follow each other.
 CELLS = frozenset(("td", "th"))
-#: Of what surrounds the content in its parent, the share of characters in links up to which the parent is content too.
-MOST_LINKS = 0.2
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?"
@@ -68,25 +72,26 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "parts", "chars", "link_chars", "tags", "link_tags", "density", "total", "best", "marked", "doubtful")
+    __slots__ = ("tag", "parent", "children", "parts", "weight", "inherited", "chars", "link_chars", "tags", "link_tags", "density", "total", "best", "marked")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: Node | None, weight: float = 1.0):
+        self.tag, self.parent, self.weight = tag, parent, weight
+        self.inherited = weight * parent.inherited if parent else weight
         self.children: list[Node] = []
         self.parts: list = []  # texts, nodes, and None where a block ends or begins
         self.chars = self.link_chars = self.tags = self.link_tags = 0
-        self.marked = self.doubtful = False  # doubtful: cut unless it turns out to hold the article or most of the text
+        self.marked = False
 
 
-def noisy(tag: str, attributes: str, inside_article: bool) -> bool | None:
-    """Whether an element is never main text, by its tag and attributes; None if only a class or id or a form's tag says so."""
+def weight_of(tag: str, attributes: str, inside_article: bool) -> float:
+    """0 for what is never main text by its tag, role or style, LIGHT for forms and by the words of a class or id, else 1."""
     if tag in WRAPPERS:
-        return None
+        return LIGHT
     if tag in NOISE_TAGS or (tag == "header" and not inside_article):
-        return True
+        return 0.0
     if not attributes or tag in ("body", "html", "main"):
-        return False
-    words, told = ARTICLE_WORDS if tag == "article" else NOISE_WORDS, False
+        return 1.0
+    words, weight = ARTICLE_WORDS if tag == "article" else NOISE_WORDS, 1.0
     for m in ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
@@ -94,20 +99,21 @@ def noisy(tag: str, attributes: str, inside_article: bool) -> bool | None:
             for word in WORD.findall(value):
                 word = word.lower()
                 if word in words and not (inside_article and word in HEADING_WORDS):
-                    told = True
+                    weight = LIGHT
         elif name == "role" and value.strip().lower() in NOISE_ROLES:
-            return True
+            return 0.0
         elif name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true"):
-            return True
+            return 0.0
         elif name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-    return None if told else False
+            return 0.0
+    return weight
 
 
 def parse(page: str) -> Node:
-    """The page's tree without what is never main text. Inline elements only count as tags; links also mark their text."""
+    """The page's tree without what is never main text. Inline elements only count as tags unless they weigh less than
+    others; links also mark their text."""
     root = node = Node("html", None)
-    in_link, articles, at, end = False, 0, 0, len(page)
+    in_link, articles, inline, at, end = False, 0, 0, 0, len(page)
     skipping, depth = "", 0  # the element that is being cut, and how many of its name are open
     inside: list[str] = []  # blocks open within it
 
@@ -121,7 +127,7 @@ def parse(page: str) -> Node:
 
     def leave(name: str, stop: frozenset = frozenset()) -> None:
         """Ends the innermost open element of this name, and those within, unless one in stop is met first."""
-        nonlocal node, articles, in_link
+        nonlocal node, articles, in_link, inline
         found = node
         while found is not None and found.tag != name:
             if found.tag in stop:
@@ -132,8 +138,10 @@ def parse(page: str) -> Node:
         in_link = False
         while node is not found.parent:
             articles -= node.tag in ("article", "main")
+            inline -= node.tag not in BLOCK and node.tag not in CELLS
             node = node.parent
-        node.parts.append(" " if name in CELLS else None)
+        if name in BLOCK or name in CELLS:
+            node.parts.append(" " if name in CELLS else None)
 
     def is_open(name: str) -> bool:
         found = node
@@ -154,7 +162,7 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-        if skipping in FORGOTTEN and tag in ("article", "main") and not closing and noisy(tag, attributes, False) is False:
+        if skipping in FORGOTTEN and tag in ("article", "main") and not closing and weight_of(tag, attributes, False) == 1:
             skipping = ""
         if skipping and tag in BLOCK and tag != skipping:
             if not closing:
@@ -179,6 +187,8 @@ def parse(page: str) -> Node:
                 leave(tag)
             elif tag in CELLS:
                 leave(tag, frozenset(("table",)))
+            elif inline:
+                leave(tag)
             continue
         if tag == "br":
             node.parts.append(" ")
@@ -186,9 +196,8 @@ def parse(page: str) -> Node:
             continue
         if tag in ("html", "body"):
             continue
-        cut = noisy(tag, attributes, articles > 0)
-        doubtful = cut is None and (tag in BLOCK or tag in CELLS)
-        if cut or (cut is None and not doubtful):
+        weight = weight_of(tag, attributes, articles > 0)
+        if not weight:
             if tag in BLOCK:
                 if node.tag == "p":
                     leave("p")
@@ -208,6 +217,12 @@ def parse(page: str) -> Node:
             if tag == "a":
                 in_link = True
                 node.link_tags += 1
+            elif weight < 1 and tag not in VOID and not attributes.endswith("/"):
+                child = Node(tag, node, weight)
+                node.parts.append(child)
+                node.children.append(child)
+                node = child
+                inline += 1
             continue
         if tag == "hr":
             node.parts.append(None)
@@ -219,31 +234,15 @@ def parse(page: str) -> Node:
             leave(name, CLOSES_WITHIN)
         if tag[0] == "h" and tag[1:].isdigit() and node.tag[0] == "h" and node.tag[1:].isdigit():
             leave(node.tag)
-        child = Node(tag, node)
-        child.doubtful = doubtful
+        child = Node(tag, node, weight)
         node.parts.append(" " if tag in CELLS else None)
         node.parts.append(child)
         node.children.append(child)
         node = child
         articles += tag in ("article", "main")
-    prune(root)
     return root
 
 
-def prune(root: Node) -> None:
-    """Cuts doubtful elements, but for those that hold most of the unlinked text of the page's articles or, if it has none, of the page."""
-    nodes = ordered(root)
-    plain, told = {}, {}  # unlinked characters, of the whole element and of articles in it
-    for node in reversed(nodes):
-        plain[node] = node.chars - node.link_chars + sum(plain[c] for c in node.children)
-        told[node] = plain[node] if node.tag in ("article", "main") and not node.doubtful else sum(told[c] for c in node.children)
-    held = told if told[root] else plain
-    cut = {c for c in nodes if c.doubtful and 2 * held[c] <= held[root]}
-    for node in {c.parent for c in cut}:
-        node.children = [c for c in node.children if c not in cut]
-        node.parts = [None if isinstance(x, Node) and x in cut else x for x in node.parts]
-
-
 def raw_end(page: str, at: int, tag: str) -> int:
     """Where the text of a script or the like ends; at the end of the page if it is never closed."""
     m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -260,56 +259,56 @@ def ordered(root: Node) -> list[Node]:
     return nodes
 
 
+def density(chars: float, link_chars: float, tags: float, link_tags: float, page_ratio: float) -> float:
+    """Characters per tag, times a logarithm that falls with the share of link characters and link tags. page_ratio is the
+    share of the whole page's characters that stand in links."""
+    if not chars:
+        return 0.0
+    tags, link_tags = max(tags, 1), max(link_tags, 1)
+    base = math.log(chars / max(chars - link_chars, 1) * link_chars + page_ratio * chars + math.e)
+    return chars / tags * math.log(max(chars / max(link_chars, 1) * tags / link_tags, 1.0)) / max(base, 1.0)
+
+
 def score(root: Node) -> list[Node]:
     """Sets every node's density, the sum of its children's densities, and the best node in its subtree, itself included."""
     nodes = ordered(root)
     for node in reversed(nodes):
         for child in node.children:
-            node.chars += child.chars
-            node.link_chars += child.link_chars
-            node.tags += child.tags + 1
-            node.link_tags += child.link_tags
+            node.chars += child.weight * child.chars
+            node.link_chars += child.weight * child.link_chars
+            node.tags += child.weight * (child.tags + 1)
+            node.link_tags += child.weight * child.link_tags
     ratio = root.link_chars / max(root.chars, 1)
     for node in nodes:
-        chars, links = node.chars, node.link_chars
-        if not chars:
-            node.density = 0.0
-            continue
-        tags, link_tags = max(node.tags, 1), max(node.link_tags, 1)
-        base = math.log(chars / max(chars - links, 1) * links + ratio * chars + math.e)
-        node.density = chars / tags * math.log(max(chars / max(links, 1) * tags / link_tags, 1.0)) / max(base, 1.0)
+        node.density = node.inherited * density(node.chars, node.link_chars, node.tags, node.link_tags, ratio)
     for node in reversed(nodes):
         node.total = sum(c.density for c in node.children) if node.children else node.density
         node.best = max((*(c.best for c in node.children), node), key=lambda n: n.total)  # of equals the innermost, the first
     return nodes
 
 
-def mark(root: Node) -> None:
-    score(root)
+def mark(root: Node) -> float:
+    """Marks the content's elements and returns the threshold."""
+    nodes = score(root)
     content = root.best
-    while content.parent is not None and content.parent is not root:  # headings and short sections beside the densest one
-        around = content.parent.chars - content.chars
-        if content.parent.link_chars - content.link_chars > MOST_LINKS * around:
-            break
-        content = content.parent
-    inner = content
-    while inner is not None:  # an article is whole, however its sections compare
-        if inner.tag in ("article", "main"):
-            content = inner
-        inner = inner.parent
-    threshold, node = content.density, content
-    while node is not None:
-        threshold = min(threshold, node.density)
-        node = node.parent
+    threshold, path = content.density, content
+    while path.parent is not None and path.parent is not root:
+        path = path.parent
+        threshold = min(threshold, path.density)
+    threshold = min(threshold, root.density)
     content.marked = True
-    stack = list(root.children)
-    while stack:
-        node = stack.pop()
+    for node in nodes[1:]:
         if node.density > 0 and node.density >= threshold:
             target = node.best
             if target.tag in BLOCK and target.density >= threshold:
                 target.marked = True
-        stack.extend(node.children)
+    path = content
+    while path.parent is not None:
+        for beside in path.parent.children:
+            if beside.tag in HEADINGS and beside.weight == 1 and 2 * beside.link_chars <= beside.chars:
+                beside.marked = True
+        path = path.parent
+    return threshold
 
 
 def main_text(page: str) -> str:
@@ -317,7 +316,7 @@ def main_text(page: str) -> str:
     if not page:
         return ""
     root = parse(page)
-    mark(root)
+    threshold = mark(root)
     blocks, current = [], []
     stack: list = [(root, 0, root.marked)]
 
@@ -339,8 +338,8 @@ def main_text(page: str) -> str:
                     current.append(part)
             else:
                 stack.append((node, k, inside))
-                node, k, inside = part, 0, inside or part.marked
-        if node.tag not in CELLS:
+                node, k, inside = part, 0, part.marked or (inside and (part.weight == 1 or part.density >= threshold))
+        if node.tag in BLOCK:
             flush()
     return "\n\n".join(blocks)
 
