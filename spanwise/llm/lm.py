@@ -38,9 +38,9 @@ from spanwise.llm import common, words
 CLASSES, SLOTS, COARSE, ORDER = 128, 32, 32, 3
 #: Rows of the tables of classes and of slots, as powers of two.
 CLASS_BITS, SLOT_BITS = 14, 15
-FREQUENT = 1 << 18
-#: Parts of the training text, tokens of a block, positions for each one whose expectation is computed, and the step.
-ROUNDS, BLOCK, SHARE, RATE = 2, 1 << 14, 8, 0.2
+FREQUENT, BUCKET_BITS = 1 << 20, 18
+#: Parts of the training text, tokens of a block, tokens scored at once, positions for each one whose expectation is computed, and the step.
+ROUNDS, BLOCK, SCORED, SHARE, RATE = 2, 1 << 14, 1 << 11, 8, 0.2
 #: Trainers up to which each has at least FEW tokens; beyond them each has MANY. Trainers that are added up at once, and parts of the tables.
 TRAINERS, FEW, MANY, FAN, PARTS = 16, 1 << 20, 1 << 27, 32, 16
 #: Bound of a weight after a round, and of a sum of weights.
@@ -99,7 +99,7 @@ def token_groups(texts: list[bytes]) -> Iterator[Tokens]:
 
 
 def rows(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """For each token the rows of its features in the table of classes, and in that of slots."""
+    """For each feature and token its row in the table of classes, and in that of slots."""
 
     def back(x: np.ndarray, k: int) -> np.ndarray:
         out = np.zeros_like(x)
@@ -117,22 +117,48 @@ def rows(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
     classes += [place(key, 2 * pairs, CLASS_BITS) for key in (w1 * _KEYS[1], w2 * _KEYS[2], w1 * _KEYS[3] + w2 * _KEYS[4])]
     own = t.cls * COARSE
     slots = [own + c1, CLASSES * COARSE + own + c2, place(w1 * _KEYS[5] + t.cls.astype(np.uint64) * _KEYS[6], 2 * CLASSES * COARSE, SLOT_BITS)]
-    return np.stack(classes, axis=1).astype(np.int32), np.stack(slots, axis=1).astype(np.int32)
+    return np.stack(classes), np.stack(slots)
 
 
-def log_softmax(weights: np.ndarray, found: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    """Natural log of the probability of every column, for each token: offset and the weights of the rows found, normalised."""
-    x = weights[found[:, 0]]
-    for k in range(1, found.shape[1]):
-        x += weights[found[:, k]]
+def logits(weights: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """For each token the sum of the rows found."""
+    x, other = weights.take(found[0], axis=0), None
+    for row in found[1:]:
+        other = weights.take(row, axis=0, out=other, mode="clip")
+        x += other
+    return x
+
+
+def probabilities(weights: np.ndarray, found: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Of every column, for each token: offset and the weights of the rows found, normalised."""
+    x = logits(weights, found)
     x += offset
     np.minimum(x, LOGIT, out=x)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
     return x
 
 
+def with_offsets(tables: list[np.ndarray], offset: np.ndarray, inside: np.ndarray) -> list[np.ndarray]:
+    """The tables with offsets in the rows of their first feature, of which every token has one."""
+    classes, slots = (w.astype(np.float32) for w in tables)
+    classes[: COARSE * COARSE] += offset
+    slots[: CLASSES * COARSE] += np.repeat(inside, COARSE, axis=0)
+    return [classes, slots]
+
+
+def log_probability(weights: np.ndarray, found: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural log of the target's probability, for each token. weights are from with_offsets(); bounded, so no sum overflows."""
+    x = logits(weights, found)
+    own = x[np.arange(len(target)), target]
+    np.exp(x, out=x)
+    return own - np.log(x @ np.ones(x.shape[1], np.float32))
+
+
 def run_sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of runs of x's rows that begin at `first`. Folds each run in halves; x is overwritten."""
+    if not len(x):
+        return x
     size = np.diff(np.append(first, len(x)))
     start, size = first[size > 1], size[size > 1]
     while len(start):
@@ -148,17 +174,19 @@ def run_sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
 def update(weights: np.ndarray, squares: np.ndarray, found: np.ndarray, target: np.ndarray, offset: np.ndarray, picked: np.ndarray, rate: float) -> None:
     """One step, in place, against the gradient over a block: the target's weights up for each token, all others down by
     what the model expects at the picked positions. Each weight has a step of its own by its squared gradients (Adagrad)."""
-    expected = np.exp(log_softmax(weights, found[picked], offset))
+    expected = probabilities(weights, found[:, picked], offset)
     expected *= SHARE
     flat, flat_squares = weights.reshape(-1), squares.reshape(-1)
-    for k in range(found.shape[1]):
-        row = found[picked, k]
+    for every in found:
+        row = every[picked]
         order = np.argsort(row, kind="stable")
         row = row[order]
-        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        new = np.ones(len(row), bool)
+        new[1:] = row[1:] != row[:-1]
+        first = np.flatnonzero(new)
         own, gradient = row[first], run_sums(expected[order], first)
         squares[own] += gradient * gradient
-        hit = found[:, k].astype(np.int64) * weights.shape[1] + target
+        hit = every * weights.shape[1] + target
         np.add.at(flat_squares, hit, np.float32(1))
         np.add.at(flat, hit, rate / np.sqrt(flat_squares[hit]))
         weights[own] -= rate * gradient / np.sqrt(squares[own])
@@ -166,7 +194,8 @@ def update(weights: np.ndarray, squares: np.ndarray, found: np.ndarray, target:
 
 class Vocabulary(NamedTuple):
     """Counts of the training text that have a bounded size: all tokens, distinct words, tokens and words by class, and the
-    frequent words, sorted by hash, with their slots; and how many slots a class has."""
+    frequent words, sorted by hash, with their slots; how many slots a class has; and where the words begin whose hash has
+    the same first bits."""
 
     total: int
     distinct: int
@@ -178,13 +207,25 @@ class Vocabulary(NamedTuple):
     hash: np.ndarray
     slot: np.ndarray
     slots: int
+    buckets: np.ndarray
 
     def place(self, t: Tokens) -> np.ndarray:
         """Each token's place among the frequent words; -1 if it is none of them."""
+        found = np.full(len(t.hash), -1)
         if not len(self.hash):
-            return np.full(len(t.hash), -1)
-        at = np.minimum(np.searchsorted(self.hash, t.hash), len(self.hash) - 1)
-        return np.where((self.first[at] == t.first) & (self.second[at] == t.second), at, -1)
+            return found
+        bucket = t.hash >> np.uint64(64 - BUCKET_BITS)
+        at = self.buckets[bucket]
+        many = self.buckets[bucket + np.uint64(1)] - at
+        left = np.flatnonzero(many)
+        while len(left):  # as often as the fullest bucket has words
+            here = at[left]
+            hit = (self.first[here] == t.first[left]) & (self.second[here] == t.second[left])
+            found[left[hit]] = here[hit]
+            at[left] += 1
+            many[left] -= 1
+            left = left[~hit & (many[left] > 0)]
+        return found
 
     def offsets(self) -> tuple[np.ndarray, np.ndarray]:
         """Natural logs of the classes' shares, and of the slots' shares in their class; slots without a word have next to none."""
@@ -211,7 +252,7 @@ def gather(docs: DataFrame, text_col: str, held_col: str) -> DataFrame:
 
     def merged(parts: list[tuple]) -> tuple:
         first, second, hashed, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(hashed, kind="stable")
+        order = np.argsort(hashed)
         first, second, hashed = first[order], second[order], hashed[order]
         new = np.ones(len(order), bool)
         new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
@@ -263,7 +304,8 @@ def vocabulary(counted: DataFrame) -> Vocabulary:
     rank = np.empty(len(cls), np.int64)
     rank[ranked] = np.arange(len(cls)) - np.searchsorted(cls[ranked], cls[ranked])
     slot = np.where(rank < SLOTS - 1, rank + 1, 0)
-    return Vocabulary(total, int(class_distinct.sum()), class_total, class_distinct, first, second, count, hashed, slot, SLOTS)
+    buckets = np.searchsorted(hashed >> np.uint64(64 - BUCKET_BITS), np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64)).astype(np.int32)
+    return Vocabulary(total, int(class_distinct.sum()), class_total, class_distinct, first, second, count, hashed, slot, SLOTS, buckets)
 
 
 def shapes() -> list[tuple[int, int]]:
@@ -308,7 +350,8 @@ def train(docs: DataFrame, text_col: str, held_col: str, known: Vocabulary) -> l
             from pyspark import TaskContext
 
             known, start = shared.value
-            tables, squares = [w.copy() for w in start], [np.ones_like(w) for w in start]
+            # numpy's fast add.at asks for its own dtype object, which an array that was sent does not have
+            tables, squares = [w.astype(np.float32) for w in start], [np.ones(w.shape, np.float32) for w in start]
             met = [np.zeros(len(w)) for w in start]
             offset, inside = known.offsets()
             lot = np.random.default_rng(TaskContext.get().partitionId())
@@ -322,9 +365,9 @@ def train(docs: DataFrame, text_col: str, held_col: str, known: Vocabulary) -> l
                         some = own[at : at + BLOCK]
                         picked = np.arange(lot.integers(SHARE), len(some), SHARE)
                         for w, s, f, target, shift in zip(tables, squares, found, (t.cls, slot), (offset, inside[t.cls[some[picked]]]), strict=True):
-                            update(w, s, f[some], target[some], shift, picked, RATE)
+                            update(w, s, f[:, some], target[some], shift, picked, RATE)
                     for n, f in zip(met, found, strict=True):
-                        n += np.bincount(f[own].ravel(), minlength=len(n))
+                        n += np.bincount(f[:, own].ravel(), minlength=len(n))
             group = TaskContext.get().partitionId()
             if any(n.any() for n in met):
                 for row in packed(tables, met):
@@ -368,7 +411,7 @@ def scores(docs: DataFrame, counted: DataFrame, known: Vocabulary, tables: list[
         from pyspark import TaskContext
 
         known, tables = shared.value
-        offset, inside = known.offsets()
+        classes, inside = with_offsets(tables, *known.offsets())
         divided = known.shared()
         gain = np.append(np.log10(known.count + 1.0), 0.0)  # the last for place -1
         slots = np.append(known.slot, 0)
@@ -382,11 +425,10 @@ def scores(docs: DataFrame, counted: DataFrame, known: Vocabulary, tables: list[
                 slot, own = slots[place], t.counts
                 class_rows, slot_rows = rows(t)
                 logs = np.empty(len(t.cls))
-                for at in range(0, len(logs), BLOCK):
-                    cut = slice(at, at + BLOCK)
-                    each, cls = np.arange(len(logs[cut])), t.cls[cut]
-                    logs[cut] = log_softmax(tables[0], class_rows[cut], offset)[each, cls]
-                    logs[cut] += log_softmax(tables[1], slot_rows[cut], inside[cls])[each, slot[cut]]
+                for at in range(0, len(logs), SCORED):
+                    cut = slice(at, at + SCORED)
+                    logs[cut] = log_probability(classes, class_rows[:, cut], t.cls[cut])
+                    logs[cut] += log_probability(inside, slot_rows[:, cut], slot[cut])
                 logs = logs / math.log(10) + np.where(slot == 0, gain[place] - divided[t.cls], 0.0)
                 n += np.bincount(t.text[own], minlength=size)
                 found += np.bincount(t.text[own], place[own] >= 0, size).astype(np.int64)

@@ -75,11 +75,11 @@ class Slow:
         class_rows, slot_rows = lm.rows(t)
         known = self.class_total
         prior = [math.log((known.get(k, 0) + 1) / (self.total + lm.CLASSES)) for k in range(lm.CLASSES)]
-        p = self.softmax(self.tables[0], class_rows[at], prior)[c]
+        p = self.softmax(self.tables[0], class_rows[:, at], prior)[c]
         inside = {0: sum(self.counts[w] for w in self.rest.get(c, []))} | {k: self.counts[w] for w, k in self.slots.items() if self.parts(w)[1] == c}
         weight = [inside[k] + 0.5 if k in inside else None for k in range(lm.SLOTS)]
         whole = sum((inside.get(k, 0) + 0.5) for k in range(lm.SLOTS))
-        q = self.softmax(self.tables[1], slot_rows[at], [-1e4 if x is None else math.log(x / whole) for x in weight])
+        q = self.softmax(self.tables[1], slot_rows[:, at], [-1e4 if x is None else math.log(x / whole) for x in weight])
         slot = 0 if unknown_class is not None else self.slots.get(word, 0)
         share = 1.0 if slot else ((0 if unknown_class is not None else self.counts[word]) + 1) / (inside[0] + len(self.rest.get(c, [])) + 1)
         return p * q[slot] * share
@@ -166,7 +166,7 @@ def test_pieces_of_a_long_text_are_the_whole(monkeypatch):
         for k in (0, 1, 2, 3):
             assert np.array_equal(np.concatenate([p[k][p.counts] for p in parts]), whole[k])
         for k in (0, 1):
-            assert np.array_equal(np.concatenate([lm.rows(p)[k][p.counts] for p in parts]), lm.rows(whole)[k])
+            assert np.array_equal(np.concatenate([lm.rows(p)[k][:, p.counts] for p in parts], axis=1), lm.rows(whole)[k])
     assert [x[:2] for x in words.pieces([b"a b", b""], 3, 100)] == [(0, b"a b"), (1, b"")]
 
 
@@ -182,6 +182,6 @@ def test_words_and_contexts():
     t = lm.tokens(group)
     assert t.text.tolist() == [0, 0, 0, 0, 0, 1, 2, 2] and t.counts.all()
     assert t.cls[[4, 5, 7]].tolist() == [0, 0, 0] and t.hash[0] == t.hash[2] != t.hash[1] == t.hash[6]
-    pairs = lm.rows(t)[0][:, :2]
+    pairs = lm.rows(t)[0][:2].T
     c = t.coarse
     assert pairs[0, 0] == pairs[5, 0] == pairs[6, 0] == 0 and pairs[2, 0] == c[1] * lm.COARSE + c[0] and pairs[3, 1] == lm.COARSE**2 + c[1] * lm.COARSE + c[0]
