@@ -27,16 +27,40 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder stands in for it if all runs on this machine; on a cluster it is an error, as
+    each executor would write to a disk of its own.
+    """
+    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.spanwise.shared", None)
     if not set_dir:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.TemporaryDirectory(prefix="spanwise-")
         atexit.register(folder.cleanup)
         set_dir = f"file://{folder.name}"
-        spark.conf.set("spark.checkpoint.dir", set_dir)
+        spark.conf.set("spark.spanwise.shared", set_dir)
     return set_dir.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """This session's own part of the shared folder."""
+    name = spark.conf.get("spark.spanwise.session", None)
+    if not name:
+        name = uuid.uuid4().hex
+        spark.conf.set("spark.spanwise.session", name)
+    return f"{shared_dir(spark)}/spanwise/{name}"
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name, from stem, that df does not have."""
+    taken, name = {c.lower() for c in df.columns}, f"__{stem}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back.
 
@@ -44,7 +68,7 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     decided (row numbers, partition ids) cannot come out differently when a stage runs again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spanwise/{name}-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -109,7 +133,7 @@ def split_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes all intermediate tables in the shared folder. DataFrames that read them can't be used any more."""
+    """Deletes this session's intermediate tables in the shared folder. DataFrames that read them can't be used any more."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/spanwise")
+    path = jvm.org.apache.hadoop.fs.Path(session_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

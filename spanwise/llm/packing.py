@@ -33,7 +33,9 @@ class WordEncoder(dict):
     """UTF-8 words (runs without ASCII white space) to the bytes of their token ids, little-endian unsigned 32-bit.
 
     The tokenizer drops white space and merges never cross it, so a text's ids are its words' ids in turn. Words
-    repeat, so they are kept; plain words go straight to the tokenizer's model, all others through the tokenizer.
+    repeat, so they are kept. Words of plain characters are normalised and split here and go straight to the tokenizer's
+    model, all others through the tokenizer. ASCII is plain; any other character is if the tokenizer itself, when the
+    character is first met, gives the same ids as the short way, for Unicode's tables differ between versions.
     """
 
     def __init__(self, path: str):
@@ -50,26 +52,43 @@ class WordEncoder(dict):
         others = [b for b in range(256) if b not in set(printable)]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
         self.pieces: dict[str, bytes] = {}
+        self.plain: set[str] = set(map(chr, range(128)))
+        self.odd: set[str] = set()
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE:
             self.clear()
             self.pieces.clear()
         text = word.decode("utf-8", "replace")
-        if b"<|" in word:  # may hold a special token's text
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if b"<|" in word or not (text.isascii() or self.is_plain(text)):  # "<|" may begin a special token's text
+            ids = self.by_tokenizer(text)
         else:
-            text = "".join(c.lower() for c in unicodedata.normalize("NFC", text)) if not text.isascii() else text.lower()
-            if text.isalpha():  # most words: letters alone, or letters and a sign after them
-                found = (text,)
-            elif text[:-1].isalpha() and text[-1] in ".,;:!?)":
-                found = (text[:-1], text[-1])
-            else:
-                found = self.split(text)
-            ids = b"".join([self.pieces.get(p) or self.piece(p) for p in found])
+            ids = self.short_way(text)
         self[word] = ids
         return ids
 
+    def by_tokenizer(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def short_way(self, text: str) -> bytes:
+        text = "".join(c.lower() for c in unicodedata.normalize("NFC", text)) if not text.isascii() else text.lower()
+        if text.isascii() and text.isalpha():  # most words: letters alone, or letters and a sign after them
+            found = (text,)
+        elif text.isascii() and text[:-1].isalpha() and text[-1] in ".,;:!?)":
+            found = (text[:-1], text[-1])
+        else:
+            found = self.split(text)
+        return b"".join([self.pieces.get(p) or self.piece(p) for p in found])
+
+    def is_plain(self, text: str) -> bool:
+        if self.plain.issuperset(text):
+            return True
+        for c in set(text) - self.plain - self.odd:
+            # between letters, doubled, and after a digit: tells letters, numbers, marks, white space and all else apart
+            probe = f"a{c}{c}b1{c}"
+            (self.plain if self.by_tokenizer(probe) == self.short_way(probe) else self.odd).add(c)
+        return self.plain.issuperset(text)
+
     def piece(self, piece: str) -> bytes:
         mapped = piece if piece.isascii() and piece.isprintable() else "".join(self.letters[b] for b in piece.encode())
         ids = self.pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(mapped)])
@@ -87,36 +106,36 @@ def encoder(path: str) -> WordEncoder:
 
 
 def pieces(
-    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1
-) -> DataFrame:
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, with_ids: bool = True
+) -> DataFrame:
     """Cuts every document's token ids, with end_id after them, into pieces of at most `capacity`.
 
-    Returns id_col, start (ids of the document before the piece), length, doc_tokens, ids and their crc32. A null or
-    empty text is a piece of end_id alone; a null id stays null; repeated rows give repeated pieces; an empty table
-    gives none. Other columns of docs are left out.
+    Returns id_col, start (ids of the document before the piece), length, doc_tokens, the crc32 of the ids and, if
+    with_ids, the ids. A null or empty text is a piece of end_id alone; a null id stays null; repeated rows give repeated
+    pieces; an empty table gives none. Other columns of docs are left out.
     """
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         get = encoder(tokenizer).__getitem__
         for batch in batches:
-            rows, starts, lengths, totals, crcs, ids, n_ids = [], [], [], [], [], [], 0
+            rows, starts, lengths, totals, crcs, ids = [], [], [], [], [], []
             for i, text in enumerate(common.utf8(batch.column(1))):
                 whole = b"".join(map(get, text.split())) + end
                 total = len(whole) // 4
-                ids.append(whole)
+                if with_ids:
+                    ids.append(whole)
                 for start in range(0, total, capacity):
                     own = whole[4 * start : 4 * (start + capacity)]
                     rows.append(i), starts.append(start), lengths.append(len(own) // 4), totals.append(total)
                     crcs.append(zlib.crc32(own))
-            ends = np.cumsum([0, *lengths]).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            yield {
-                id_col: batch.column(0).take(pa.array(rows, pa.int64())), "start": starts, "length": lengths, "doc_tokens": totals,
-                "ids_crc32": crcs, "ids": pa.ListArray.from_arrays(pa.array(ends), flat),
-            }
-
-    schema = f"`{id_col}` {common.type_of(docs, id_col)}, start long, length long, doc_tokens long, ids_crc32 long, ids array<int>"
+            made = {id_col: batch.column(0).take(pa.array(rows, pa.int64())), "start": starts, "length": lengths, "doc_tokens": totals, "ids_crc32": crcs}
+            if with_ids:
+                ends = np.cumsum([0, *lengths]).astype(np.int32)
+                made["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            yield made
+
+    schema = f"`{id_col}` {common.type_of(docs, id_col)}, start long, length long, doc_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     return common.map_batches(docs, [id_col, text_col], run, schema)
 
 
@@ -170,40 +189,50 @@ def plan_rows(patterns: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int
     return rows
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, length_col: str = "length") -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, length_col: str = "length", heavy: tuple[str, ...] = ()) -> DataFrame:
     """Adds sequence_id and offset to items that each have a length from 1 to capacity.
 
     Items of a sequence follow each other without gaps from offset 0. Ties and repeated rows are told apart by their
     place in the stored table, so every row is placed once; an empty table gives no rows. Columns of items with the
-    names it adds are replaced. A length outside 1..capacity or null is an error.
+    names it adds are replaced. A length outside 1..capacity or null is an error. Columns named in `heavy` stay out of
+    the ranking and are joined to its result.
     """
     spark = items.sparkSession
     kept = [c for c in items.columns if c not in ("sequence_id", "offset")]
-    numbered = items.select(*kept, F.monotonically_increasing_id().alias("__item"))
-    table = common.stored(numbered, "pieces")
+    light = [c for c in kept if c not in heavy]
+    own = {c: common.free_name(items, c) for c in ("item", "salt", "n", "before", "rank", "length", "first", "ranks", "many", "sequence", "at")}
+    item, salt, rank, n, prior = (own[c] for c in ("item", "salt", "rank", "n", "before"))
+    table = common.stored(items.select(*kept, F.monotonically_increasing_id().alias(item)), "pieces")
     counted = {r[0]: r[1] for r in table.groupBy(length_col).count().collect()}  # at most `capacity` lengths
     if bad := [x for x in counted if x is None or not 1 <= x <= capacity]:
         raise ValueError(f"lengths outside 1..{capacity}: {bad[:5]}")
     plan = plan_rows(shortest_pack_first(counted, capacity))
     salts = max(1, math.isqrt(max(counted.values(), default=0)))  # of one length, as many groups as rows in each
-    salted = table.withColumn("__salt", F.pmod(F.xxhash64("__item"), F.lit(salts)))
-    before = Window.partitionBy(length_col).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    group = salted.groupBy(length_col, "__salt").agg(F.count("*").alias("__n"))
-    group = group.select(length_col, "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inner = Window.partitionBy(length_col, "__salt").orderBy("__item")
-    ranked = salted.withColumn("__rank", F.row_number().over(inner).cast("long") - 1).join(group, [length_col, "__salt"])
-    ranked = ranked.withColumn("__rank", F.col("__rank") + F.col("__before"))
-    slots = spark.createDataFrame(plan, "__length long, __first long, __ranks long, __many long, __sequence long, __at long")
-    hit = (F.col(length_col) == F.col("__length")) & (F.col("__rank") >= F.col("__first")) & (F.col("__rank") < F.col("__first") + F.col("__ranks"))
-    place = F.col("__rank") - F.col("__first")
-    return ranked.join(F.broadcast(slots), hit).select(
-        *kept,
-        F.expr("__sequence + (__rank - __first) div __many").alias("sequence_id"),
-        (F.col("__at") + place % F.col("__many") * F.col("__length")).alias("offset"),
+    salted = table.select(*light, item, F.pmod(F.xxhash64(item), F.lit(salts)).alias(salt))
+    before = Window.partitionBy(length_col).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    group = salted.groupBy(length_col, salt).agg(F.count("*").alias(n))
+    group = group.select(length_col, salt, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(prior))
+    inner = Window.partitionBy(length_col, salt).orderBy(item)
+    ranked = salted.withColumn(rank, F.row_number().over(inner).cast("long") - 1).join(group, [length_col, salt])
+    ranked = ranked.withColumn(rank, F.col(rank) + F.col(prior))
+    names = ("length", "first", "ranks", "many", "sequence", "at")
+    slots = spark.createDataFrame(plan, ", ".join(f"`{own[c]}` long" for c in names))
+    length, first, ranks, many, sequence, at = (F.col(own[c]) for c in names)
+    place = F.col(rank) - first
+    hit = (F.col(length_col) == length) & (place >= 0) & (place < ranks)
+    placed = ranked.join(F.broadcast(slots), hit).select(  # the plan's size is bounded by the capacity
+        *light, item, (sequence + F.call_function("div", place, many)).alias("sequence_id"), (at + place % many * length).alias("offset")
     )
+    if heavy:
+        placed = placed.join(table.select(item, *heavy), item)
+    return placed.select(*kept, "sequence_id", "offset")
+
 
+def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+    """Packs all documents: for each piece doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset, and its ids if asked for.
 
-def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """The digest of packing all documents: what op1 returns. The ids themselves come from pieces()."""
-    cut = pieces(docs, tokenizer, capacity=capacity).drop("ids")
-    return pack(cut, capacity).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    Null and empty texts, null ids, repeated rows, empty tables and other columns are as in pieces() and pack().
+    """
+    cut = pieces(docs, tokenizer, capacity=capacity, with_ids=with_ids)
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
+    return pack(cut, capacity, heavy=("ids",) * with_ids).select(*names)
