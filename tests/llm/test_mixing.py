@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanwise.llm import mixing
 
@@ -20,15 +21,45 @@ def water_fill(sizes, weights, most):
             fixed[k] = True
 
 
-@pytest.mark.parametrize("sizes", [[100, 100, 100], [5, 1000, 10, 2000], [0, 0, 9], [1, 2, 3, 4, 5, 6, 700], [0], []])
-def test_targets(sizes):
+def plain_targets(spark, sizes):
+    rows = spark.createDataFrame([(f"s{k:03d}", n) for k, n in enumerate(sizes)], "source string, size long")
+    return [r["target"] for r in sorted(mixing.targets(rows.repartition(3)).collect())]
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [5, 1000, 10, 2000], [0, 0, 9], [1, 2, 3, 4, 5, 6, 700], [0], [], [10**15, 1, 10**12, 7, 10**14], list(range(40))])
+def test_targets(spark, sizes):
     weights = [(1, 2, 3)[k % 3] for k in range(len(sizes))]
-    got = mixing.targets(sizes)
+    got = plain_targets(spark, sizes)
     if sum(sizes):
         assert got == pytest.approx(water_fill(sizes, weights, 3))
     assert sum(got) == pytest.approx(sum(sizes)) and all(t <= 3 * s for t, s in zip(got, sizes, strict=True))
 
 
+def test_more_sources_than_are_broadcast(spark):
+    n = 120_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("h"), F.col("id") % (n - 5000)).alias("source"), F.expr("repeat('w ', int(1 + id % 7 + if(id = 3, 5000, 0)))").alias("text"))
+    made = mixing.mix_words(docs)
+    r = made.agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("taken").alias("taken"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).first()
+    assert r["n"] == n and r["over"] <= 0 and abs(r["size"] - r["taken"]) < 0.05 * r["size"]
+    by_source = docs.select("doc_id", "source").join(made, "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"))
+    assert by_source.agg(F.max(F.abs(F.col("taken") - F.col("target")))).first()[0] <= 1
+
+
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_tables_of_sources_joined_either_way(documents, monkeypatch, limit):
+    want = sorted(map(repr, mixing.mix_words(documents).collect()))
+    monkeypatch.setattr(mixing, "FEW_SOURCES", limit)
+    assert sorted(map(repr, mixing.mix_words(documents).collect())) == want
+
+
+def test_clashing_names(spark):
+    names = ["__hash", "__cut", "__source", "__copies", "__times", "__copy", "hash", "cut", "of", "size"]
+    docs = spark.createDataFrame([(k, "a b c d"[: 1 + k % 7], f"s{k % 3}", *range(k, k + len(names))) for k in range(60)], ["doc_id", "text", "source", *names])
+    plain = sorted(r["doc_id"] for r in mixing.mix(docs.select("doc_id", "text", "source")).collect())
+    rows = mixing.mix(docs).collect()
+    assert sorted(r["doc_id"] for r in rows) == plain and all(r["__hash"] == r["doc_id"] and r["size"] == r["doc_id"] + 9 for r in rows)
+
+
 @pytest.mark.parametrize("table", ["documents", "odd_docs"])
 def test_words_taken(table, request):
     docs = request.getfixturevalue(table)
@@ -66,8 +97,8 @@ def test_mix_keeps_columns_and_repeats_whole_documents(documents):
 
 def test_larger_budgets_are_nested(documents):
     cuts = [mixing.thresholds(documents, "doc_id", "text", "source", "", w, 3)[1].collect() for w in ((1, 1, 1), (1, 1, 2))]
-    budget = [{r["__name"]: (r["__copies"], r["__cut"]) for r in c} for c in cuts]
-    share = [{r["__name"]: r["__target"] for r in c} for c in cuts]
+    budget = [{r["source"]: (r["copies"], r["cut"]) for r in c} for c in cuts]
+    share = [{r["source"]: r["target"] for r in c} for c in cuts]
     assert all((budget[0][s] <= budget[1][s]) == (share[0][s] <= share[1][s]) or budget[0][s] == budget[1][s] for s in share[0])
 
 
