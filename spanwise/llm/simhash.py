@@ -2,7 +2,9 @@
 
 Each document has a 64-bit fingerprint of its word shingles; fingerprints within `radius` bits are linked, and linked
 documents form groups. Two 64-bit values that differ in at most 3 bits agree in at least two of five blocks of bits, so
-equal values of a pair of blocks (ten pairs, 25 or 26 bits each) bring every link together in some shard. In each
+equal values of a pair of blocks (ten pairs, 25 or 26 bits each) bring every link together in some shard. A shard with
+more than CROWDED fingerprints is divided in the same way by its members' other bits, and once more, after which
+15 bits are left; so no shard has more than 2^15 fingerprints, whatever the corpus, and no link is lost. In each
 shard the fingerprints form a BK-tree: a node's children are keyed by their Hamming distance to it, and a search
 follows only edges within the radius of the distance it has found.
 
@@ -14,27 +16,32 @@ forest of its links and not its pairs, so groups of any size stay linear in rows
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.llm import common
 
 WIDTH, SEED, RADIUS = 3, 42, 3
-#: First bit and bits of each block.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Bits of the five blocks: of the fingerprint, of what is left of it when two blocks are equal, and of what is then left.
+LEVELS = ((13, 13, 13, 13, 12), (8, 8, 8, 8, 7), (5, 5, 5, 5, 4))
+#: Distinct fingerprints from which on a shard is divided.
+CROWDED = 1 << 12
 #: Shingles whose bits are counted at once, search states that a block of queries may make, and rows read ahead of a shard.
 SLICE, FRONTIER, READ_AHEAD = 1 << 16, 1 << 20, 200_000
-#: For near-duplicates by similarity: words in a shingle and 64-bit fingerprints that are compared, words in a shingle and
-#: fingerprints that are looked up by blocks, and the bits of 512 in which candidates may differ.
-NEAR_WIDTH, NEAR_WORDS, KEY_WIDTH, KEY_WORDS, NEAR_RADIUS = 5, 8, 2, 6, 128
-#: Two sets are similar if they share SIMILAR[0] parts in SIMILAR[1] of what either has; texts read ahead of a shard, and shingles compared at once.
-SIMILAR, TEXTS_AHEAD, COMPARED = (4, 5), 4096, 1 << 21
-#: Bands of minima of the five-word shingles that are looked up beside the blocks, minima in a band, and each minimum's multiplier.
+#: For near-duplicates by similarity: words in a shingle, 64-bit fingerprints that are compared, and of their 512 bits those in which
+#: candidates may differ.
+NEAR_WIDTH, NEAR_WORDS, NEAR_RADIUS = 5, 8, 128
+#: Sketches and texts that one task compares within a shard; larger shards are dealt out and what is left of each part meets again.
+SKETCHES, TEXTS = 1 << 15, 1 << 12
+#: Two sets are similar if they share SIMILAR[0] parts in SIMILAR[1] of what either has; shingles compared at once.
+SIMILAR, COMPARED = (4, 5), 1 << 21
+#: Bands of minima of the five-word shingles that bring candidates together, minima in a band, and each minimum's multiplier.
 BANDS, BAND_ROWS = 16, 4
 MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
 
@@ -155,7 +162,33 @@ def joined_groups(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
             group = short
 
 
-def spanning(keys: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+class Runs:
+    """Runs of equal keys without a tree, for radii at which a tree would leave out nothing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        first = np.concatenate(([True], keys[1:] != keys[:-1]))
+        starts = np.flatnonzero(first)
+        run = np.cumsum(first) - 1
+        self.values, self.root, self.end = values, starts[run], np.append(starts[1:], len(keys))[run]
+
+    def near(self, queries: np.ndarray, radius: int, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (query, later node of its run) within the radius and not in one group yet, some queries at a time."""
+        many = self.end[queries] - queries - 1
+        upto, at = np.cumsum(many), 0
+        while at < len(queries):
+            done = upto[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(upto, done + FRONTIER // self.values.shape[1], "right")))
+            own, n = queries[at:end], many[at:end]
+            q = np.repeat(own, n)
+            node = q + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            other = group[node] != group[q]
+            q, node = q[other], node[other]
+            hit = np.bitwise_count(self.values[q] ^ self.values[node]).sum(axis=1, dtype=np.int64) <= radius
+            yield q[hit], node[hit]
+            at = end
+
+
+def spanning(keys: np.ndarray, values: np.ndarray, radius: int, kind: type = Forest) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what is linked within each run of equal keys, as positions: (least member, other member).
 
     Queries come in growing blocks. A large group is found by its first queries, and then the others pass it by.
@@ -167,7 +200,7 @@ def spanning(keys: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndar
     if not len(own):
         return own, own
     values = values[own].reshape(len(own), -1)
-    forest, group = Forest(keys[own], values), np.arange(len(own))
+    forest, group = kind(keys[own], values), np.arange(len(own))
     # the first queries of every run before the second ones, and so on: all runs shrink alike
     rank = np.arange(len(own)) - forest.root
     order = np.argsort(rank, kind="stable")
@@ -211,17 +244,21 @@ def sharded(shards: DataFrame, columns: list[str], fn, schema: str, ahead: int =
     return common.map_batches(spread, ["key", *columns], run, schema)
 
 
-def block_keys(columns: list[str]) -> list:
-    """For each 64-bit column its ten pairs of blocks as keys that no other pair can have."""
-    keys = []
-    for c, column in enumerate(columns):
-        block = [F.shiftrightunsigned(column, lo).bitwiseAND((1 << bits) - 1) for lo, bits in BLOCKS]
-        for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2)):
-            keys.append(F.lit((c * 10 + k) << 26).cast("long") + F.shiftleft(block[i], 13) + block[j])
-    return keys
+def subkeys(key: Column, rest: Column, widths: tuple[int, ...]) -> Column:
+    """For each pair of rest's five blocks: key, lengthened by the pair and the two blocks, and the other three blocks as rest."""
+    starts = [sum(widths[:k]) for k in range(5)]
+    block = [F.shiftrightunsigned(rest, lo).bitwiseAND((1 << bits) - 1) for lo, bits in zip(starts, widths, strict=True)]
+    wide, found = widths[0], []
+    for k, (i, j) in enumerate(combinations(range(5), 2)):
+        own = F.lit(k << 2 * wide).cast("long") + F.shiftleft(block[i], wide) + block[j]
+        left, at = F.lit(0).cast("long"), 0
+        for m in set(range(5)) - {i, j}:
+            left, at = left + F.shiftleft(block[m], at), at + widths[m]
+        found.append(F.struct(F.shiftleft(key, 2 * wide + 4).bitwiseOR(own).alias("key"), left.alias("rest")))
+    return F.array(*found)
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(prints: DataFrame, radius: int = RADIUS, crowded: int = CROWDED) -> DataFrame:
     """A spanning set of links (a, b) between distinct fingerprints (column fp) at most `radius` bits apart."""
     if radius > 3:
         raise ValueError("five blocks of which two agree find every link up to three bits only")
@@ -231,7 +268,21 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         a, b = spanning(keys, fp.view(np.uint64), radius)
         return {"a": fp[a], "b": fp[b]}
 
-    return sharded(prints.select(F.explode(F.array(*block_keys(["fp"]))).alias("key"), "fp"), ["fp"], run, "a long, b long").distinct()
+    rows, made = prints.select(F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"), "fp"), []
+    for level, widths in enumerate(LEVELS):
+        rows = rows.select("fp", F.inline(subkeys(F.col("key"), F.col("rest"), widths)))
+        whole = rows
+        if level + 1 < len(LEVELS):
+            full = common.stored(rows.groupBy("key").count().filter(F.col("count") > crowded).select("key"), "crowded")
+            if divided := not full.isEmpty():
+                whole = rows.join(full, "key", "left_anti")
+        else:
+            divided = False
+        made.append(sharded(whole, ["fp"], run, "a long, b long"))
+        if not divided:
+            break
+        rows = common.stored(rows.join(full, "key", "left_semi"), "divided")
+    return reduce(DataFrame.unionByName, made).distinct()
 
 
 def shingle_set(words: list[bytes]) -> np.ndarray:
@@ -254,49 +305,90 @@ def bands(values: np.ndarray) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id_col, `print` (a digest of the set of five-word shingles), `near` (NEAR_WORDS 64-bit fingerprints of that set, as bytes),
-    `bands` (keys of its minima) and k0, k1 ... (KEY_WORDS fingerprints of two-word shingles)."""
+    """id_col, `print` (a digest of the set of five-word shingles), `near` (NEAR_WORDS 64-bit fingerprints of that set, as bytes; the
+    first is the set's SimHash) and `bands` (keys of its minima)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            prints, near, minima, keys = [], [], [], []
+            prints, near, minima = [], [], []
             for text in common.utf8(batch.column(1)):
-                words = text.lower().split()
-                values = shingle_set(words)
+                values = shingle_set(text.lower().split())
                 prints.append(hashlib.blake2b(values.tobytes(), digest_size=16).hexdigest())
-                near.append(np.array([majority(remixed(values, k)) for k in range(NEAR_WORDS)], "<u8").tobytes())
+                near.append(np.array([majority(remixed(values, k)) for k in range(NEAR_WORDS)], "<u8"))
                 minima.append(bands(values))
-                values = shingle_values(words, KEY_WIDTH)
-                keys.append([majority(remixed(values, k)) for k in range(KEY_WORDS)])
-            columns = np.array(keys, np.uint64).reshape(-1, KEY_WORDS).view(np.int64)
-            yield {id_col: batch.column(0), "print": prints, "near": near, "bands": [m.tolist() for m in minima]} | {f"k{k}": columns[:, k] for k in range(KEY_WORDS)}
+            first = np.array([x[0] for x in near], np.uint64).view(np.int64)
+            yield {id_col: batch.column(0), "print": prints, "fp": first, "near": [x.tobytes() for x in near], "bands": [m.tolist() for m in minima]}
 
-    keys = ", ".join(f"k{k} long" for k in range(KEY_WORDS))
-    return common.map_batches(docs, [id_col, text_col], run, f"`{id_col}` {common.type_of(docs, id_col)}, print string, near binary, bands array<long>, {keys}")
+    return common.map_batches(docs, [id_col, text_col], run, f"`{id_col}` {common.type_of(docs, id_col)}, print string, fp long, near binary, bands array<long>")
 
 
-def wide_links(nodes: DataFrame, radius: int = NEAR_RADIUS) -> DataFrame:
-    """A spanning set of links (a, b) between nodes (node, near, bands, k0, k1 ...) whose wide fingerprints differ in at most `radius` bits.
+def linked(shards: DataFrame, payload: DataFrame, column: str, limit: int, roots: Callable[[np.ndarray, pa.ChunkedArray], np.ndarray]) -> DataFrame:
+    """Links (a, b) between nodes that roots() puts into one group. shards: stored (key, node); payload: (node, column).
 
-    Only shards in which nodes meet need the wide fingerprints, so shards are formed of light rows first.
+    roots() gets sorted keys and the column and returns for each row the position of the first row of its group. A
+    shard of more than `limit` nodes is dealt out by lot; the first node of each group of each part then meets those of the
+    other parts, again and again while there are too many and each round leaves out a quarter at least. So no task
+    holds more than about `limit` nodes of a shard. A node that left such a shard was linked to one that stayed.
     """
+    made, level = [], 0
+    while True:
+        full = common.stored(shards.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("key", F.ceil(F.col("n") / limit).alias("parts")), "full")
+        last = full.isEmpty()
+        if last:
+            dealt = shards.select("key", "node", F.lit(None).cast("long").alias("whole"))
+        else:
+            part = F.xxhash64("key", F.pmod(F.xxhash64("node", F.lit(level)), F.col("parts")))
+            hot = F.col("parts").isNotNull()
+            dealt = shards.join(full, "key", "left").select(F.when(hot, part).otherwise(F.col("key")).alias("key"), "node", F.when(hot, F.col("key")).alias("whole"))
+
+        def run(keys: np.ndarray, rows: pa.Table) -> dict:
+            node, whole = rows.column(1).to_numpy(), rows.column(2).combine_chunks()
+            root = node[roots(keys, rows.column(3))]
+            own = (node != root) | whole.is_valid().to_numpy(zero_copy_only=False)
+            return {"a": root[own], "b": node[own], "whole": whole.filter(pa.array(own))}
+
+        rows = dealt.join(payload, "node")
+        out = common.stored(sharded(rows, ["node", "whole", column], run, "a long, b long, whole long", min(limit, READ_AHEAD)), "linked")
+        made.append(out.filter("a <> b").select("a", "b"))
+        if last:
+            break
+        left = common.stored(out.filter("a = b and whole is not null").select(F.col("whole").alias("key"), F.col("a").alias("node")), "left")
+        before = dealt.filter("whole is not null").count()
+        shards, level = left, level + 1
+        if 4 * left.count() > 3 * before:
+            break
+    return reduce(DataFrame.unionByName, made).distinct()
+
+
+def met(nodes: DataFrame) -> DataFrame:
+    """Stored (key, node): the bands that several nodes have, each with its nodes. Light rows only."""
 
-    def crowded(keys: np.ndarray, rows: pa.Table) -> dict:
+    def run(keys: np.ndarray, rows: pa.Table) -> dict:
         shared = np.zeros(len(keys), bool)
         shared[1:] = keys[1:] == keys[:-1]
         shared[:-1] |= shared[1:]
         return {"key": keys[shared], "node": rows.column(1).to_numpy()[shared]}
 
-    def run(keys: np.ndarray, rows: pa.Table) -> dict:
-        node = rows.column(1).to_numpy()
-        near = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint64).reshape(-1, NEAR_WORDS)
-        a, b = spanning(keys, near, radius)
-        return {"a": node[a], "b": node[b]}
+    return common.stored(sharded(nodes.select(F.explode("bands").alias("key"), "node"), ["node"], run, "key long, node long"), "met")
+
 
-    names = [f"k{k}" for k in range(KEY_WORDS)]
-    shards = nodes.select(F.explode(F.concat(F.array(*block_keys(names)), "bands")).alias("key"), "node")
-    met = common.stored(sharded(shards, ["node"], crowded, "key long, node long"), "crowded")
-    return sharded(met.join(nodes.select("node", "near"), "node"), ["node", "near"], run, "a long, b long").distinct()
+def sketch_roots(keys: np.ndarray, near: pa.ChunkedArray, radius: int = NEAR_RADIUS) -> np.ndarray:
+    """For linked(): groups of equal keys whose wide fingerprints are connected by differences of at most `radius` bits."""
+    values = np.frombuffer(b"".join(near.to_pylist()), np.uint64).reshape(-1, NEAR_WORDS)
+    a, b = spanning(keys, values, radius, Runs)
+    root = np.arange(len(keys))
+    root[b] = a
+    return root
+
+
+def text_roots(keys: np.ndarray, texts: pa.ChunkedArray) -> np.ndarray:
+    """For linked(): groups of equal keys connected by exact similarity of the texts' sets of shingles."""
+    texts = common.utf8(texts)
+    root = np.arange(len(keys))
+    edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
+    for a, b in zip(edges, edges[1:], strict=False):
+        root[a:b] = a + similar_groups([shingle_set(t.lower().split()) for t in texts[a:b]])
+    return root
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -362,23 +454,21 @@ def similar_groups(sets: list[np.ndarray]) -> np.ndarray:
     return group
 
 
-def confirmed(candidates: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, root) for every candidate (node, root: its component): root is now the least node it is connected with by exact similarity.
+def confirmed(candidates: DataFrame, shards: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between candidates (node, root: its component) by exact similarity.
 
-    Each candidate's text moves once, to the shard of its component; a pair that might be similar is in one component.
+    The texts of a component of up to TEXTS nodes meet in one shard, so a pair that might be similar is compared. Those of a
+    larger one meet by the bands in which they met first (shards), each text as often as it has such bands.
     """
-
-    def run(keys: np.ndarray, rows: pa.Table) -> dict:
-        node, texts = rows.column(1).to_numpy(), common.utf8(rows.column(2))
-        order, root = np.lexsort((node, keys)), node.copy()
-        runs = np.split(order, np.flatnonzero(np.diff(keys[order])) + 1) if len(order) else []
-        for members in runs:
-            root[members] = node[members][similar_groups([shingle_set(texts[k].lower().split()) for k in members])]
-        return {"node": node, "root": root}
-
-    every = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
-    return sharded(every.join(texts, "node").select(F.col("root").alias("key"), "node", "text"), ["node", "text"], run, "node long, root long", TEXTS_AHEAD)
+    every = common.stored(candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct()).select(F.col("root").alias("key"), "node"), "every")
+    large = common.stored(every.groupBy("key").count().filter(F.col("count") > TEXTS).select("key"), "large")
+    if large.isEmpty():
+        return linked(every, texts, "text", TEXTS, text_roots)
+    small = common.stored(every.join(large, "key", "left_anti"), "small")
+    inside = every.join(large, "key", "left_semi").select("node")
+    rest = common.stored(shards.join(inside, "node", "left_semi").select("key", "node"), "rest")
+    return linked(small, texts, "text", TEXTS, text_roots).unionByName(linked(rest, texts, "text", TEXTS, text_roots)).distinct()
 
 
 def grouped(prints: DataFrame, member: str, radius: int = RADIUS) -> DataFrame:
@@ -404,38 +494,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return grouped(prints, id_col, radius).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = NEAR_RADIUS) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, first): the smallest id of the group of documents connected by pairs with a Jaccard similarity of 0.8 or
     more between their sets of five-word shingles.
 
-    Every link is confirmed by the sets themselves, so nothing below 0.8 is linked. Candidates are pairs that agree in two of
-    five blocks of one of six fingerprints of two-word shingles, which words changed here and there change less, or in one
-    of BANDS bands of minima of the five-word shingles, which depends on the similarity alone, wherever the changes are: at
-    0.8 two documents share none with a probability of (1 - 0.8^4)^16, 0.0002. Of these, pairs whose wide fingerprints
-    differ in more than `radius` bits are left out: the share of bits in which two SimHash fingerprints differ is the
-    angle between their sets, in units of half a turn, 0.151 at a similarity of 0.8, and NEAR_RADIUS is over five
-    standard deviations more. id_col must be unique, and a long.
+    Every link is confirmed by the sets themselves, so nothing below 0.8 is linked. Candidates are pairs whose SimHash
+    fingerprints of that set differ in at most RADIUS bits, found by BK-trees, and pairs that share one of BANDS bands of minima
+    of the set and whose wide fingerprints differ in at most NEAR_RADIUS of 512 bits. At 0.8 two documents share no band
+    with a probability of (1 - 0.8^4)^16, 0.0002, wherever their differences are; the share of bits in which two fingerprints
+    differ is the angle between the sets, in units of half a turn, 0.151 at a similarity of 0.8, and NEAR_RADIUS is over
+    five standard deviations more. At such a radius a BK-tree leaves out no edge, so wide fingerprints are compared without
+    one, within a band only. id_col must be unique, and a long. Null and empty texts are one group; an empty table
+    gives no rows; other columns are left out.
     """
     prints = common.stored(wide_fingerprints(docs, id_col, text_col), "fingerprints")
-    names = [f"k{k}" for k in range(KEY_WORDS)]
     # one node for each set of shingles, with the columns of its least id
-    least = prints.groupBy("print").agg(F.min(F.struct(F.col(id_col).alias("node"), "near", "bands", *names)).alias("least"))
+    least = prints.groupBy("print").agg(F.min(F.struct(F.col(id_col).alias("node"), "fp", "near", "bands")).alias("least"))
     nodes = common.stored(least.select("print", "least.*"), "nodes")
-    candidates = common.stored(components(wide_links(nodes, radius)), "candidates")
-    roots = common.stored(confirmed(candidates, docs, id_col, text_col), "confirmed")
+    close = links(nodes.select("fp").distinct())
+    first = nodes.groupBy("fp").agg(F.min("node").alias("of"))
+    by_tree = close.join(first, F.col("a") == F.col("fp")).select(F.col("of").alias("a"), "b").join(first, F.col("b") == F.col("fp")).select("a", F.col("of").alias("b"))
+    same = nodes.join(first, "fp").filter("node <> of").select(F.col("of").alias("a"), F.col("node").alias("b"))
+    shards = met(nodes)
+    by_bands = linked(shards, nodes.select("node", "near"), "near", SKETCHES, sketch_roots)
+    candidates = common.stored(components(by_tree.unionByName(same).unionByName(by_bands)), "candidates")
+    roots = common.stored(components(confirmed(candidates, shards, docs, id_col, text_col)), "confirmed")
     named = common.stored(nodes.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("first")), "named")
     # copies: as many rows as documents may share one set
     return common.split_join(prints.select(id_col, "print"), named, "print").select(id_col, "first")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = NEAR_RADIUS) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near-duplicates (see near_groups), that of the smallest id (null ids last), with the columns of docs.
 
     Rows are numbered in a stored table first, so that of repeated rows one stays, and ranks by id take the number's place
-    where groups are formed. Texts without words are one group.
+    where groups are formed. Null and empty texts are one group; an empty table gives no rows.
     """
-    rows = common.stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    groups = common.stored(near_groups(rows, "__row", text_col, radius), "groups")
-    ids = rows.select("__row", F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("member"))
-    kept = groups.join(ids, "__row").groupBy("first").agg(F.min("member").alias("least")).select(F.col("least.row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    row = common.free_name(docs, "row")
+    rows = common.stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = common.stored(near_groups(rows, row, text_col), "groups")
+    ids = rows.select(row, F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("member"))
+    kept = groups.join(ids, row).groupBy("first").agg(F.min("member").alias("least")).select(F.col("least.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)

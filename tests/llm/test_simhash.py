@@ -190,3 +190,76 @@ def test_one_of_each_group_stays(odd_docs, no_docs):
 def test_radius_beyond_the_blocks(spark):
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([(1,)], "fp long"), 4)
+
+
+def test_a_hot_shard_is_divided(spark, monkeypatch):
+    rng = random.Random(8)
+    values = {(rng.getrandbits(38) << 26) | 0x2ABCDEF for _ in range(1500)}  # the first two blocks are those of all
+    for v in sorted(values)[:200]:
+        for _ in range(3):
+            v ^= 1 << rng.randrange(26, 64)
+            values.add(v)
+    items = list(enumerate(sorted(values)))
+    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for _, v in items], "fp long")
+    seen = []
+    whole = simhash.sharded
+
+    def watched(shards, *rest):
+        seen.append(max((r["count"] for r in shards.groupBy("key").count().collect()), default=0))
+        return whole(shards, *rest)
+
+    monkeypatch.setattr(simhash, "sharded", watched)
+    found = {(a & (1 << 64) - 1, b & (1 << 64) - 1) for a, b in simhash.links(df, crowded=100).collect()}
+    assert len(seen) > 1 and max(seen) <= 100
+    root = {v: v for _, v in items}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in found:
+        root[find(a)] = find(b)
+    want = groups(items, near)
+    by_root = {}
+    for (k, v), g in zip(items, want, strict=True):
+        assert by_root.setdefault(find(v), g) == g
+    assert len(by_root) == len(set(want))
+
+
+@pytest.mark.parametrize("widths", simhash.LEVELS)
+def test_every_pair_of_three_bits_shares_a_key(spark, widths):
+    rng, bits = random.Random(1), sum(widths)
+    pairs = []
+    for k in range(300):
+        v = w = rng.getrandbits(bits)
+        for b in rng.sample(range(bits), 3):
+            w ^= 1 << b
+        pairs += [(2 * k, v), (2 * k + 1, w)]
+    df = spark.createDataFrame([(k, v - (1 << 64) if v >> 63 else v) for k, v in pairs], "k long, v long")
+    made = df.select("k", "v", simhash.F.inline(simhash.subkeys(simhash.F.lit(3).cast("long"), simhash.F.col("v"), widths))).collect()
+    keys = {}
+    for r in made:
+        keys.setdefault(r["k"], set()).add(r["key"])
+        assert 0 <= r["rest"] < 1 << (39, 24, 15)[simhash.LEVELS.index(widths)]
+    assert all(len(keys[k]) == 10 and keys[2 * (k // 2)] & keys[2 * (k // 2) + 1] for k in keys)
+
+
+def test_hot_bands_and_large_components_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SKETCHES", 20)
+    monkeypatch.setattr(simhash, "TEXTS", 20)
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    texts = [changed(rng, words, 0.003) for _ in range(200)]  # near copies of one text
+    texts += [" ".join(f"x{rng.randrange(10**6)}" for _ in range(50)) for _ in range(30)]
+    got = {r["id"]: r["first"] for r in simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id").collect()}
+    assert len({got[k] for k in range(200)}) == 1 and [got[k] for k in range(200, 230)] == list(range(200, 230))
+
+
+def test_recall_of_a_query_set_against_all(spark, sf_dir):
+    """Ids divisible by 50 against all rows: of the pairs with a similarity of 0.8 or more, nine in ten at least are in one group."""
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").filter("doc_id is not null").dropDuplicates(["doc_id"])
+    sets = {r["doc_id"]: frozenset(simhash.shingle_set((r["text"] or "").lower().encode().split()).tolist()) for r in docs.select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r["first"] for r in simhash.near_groups(docs).collect()}
+    pairs = [(a, b) for a in sets if a % 50 == 0 for b in sets if a != b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert len(pairs) > 3 and sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
