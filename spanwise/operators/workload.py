@@ -1,4 +1,5 @@
-"""Eight decision-support queries. Money is in whole units of a hundredth (cents) of each factor, so sums are exact.
+"""Eight decision-support queries. Money is in whole units of a hundredth (cents) of each factor, so sums are exact; sums
+are decimal(38,0), so that no number of rows overflows them. Empty tables and windows without rows give zeros, and null shares.
 
 Each query takes (spark, sf_dir) and its parameters; the defaults are windows and constants that the supplied data meet.
 """
@@ -29,14 +30,15 @@ def revenue() -> Column:
 
 
 def pricing_summary(spark: SparkSession, sf_dir: str, until: str = "1998-12-01", days: int = 90) -> DataFrame:
+    """Sums and means of items shipped by a day, for each return flag and line status, declared ones without items too."""
     rows = tables.lineitem(spark, sf_dir).filter(F.col("shipdate") <= F.lit(date.fromisoformat(until) - timedelta(days)))
     sums = {
-        "sum_qty": F.sum("qty"), "sum_base": F.sum("price"), "sum_disc_price": F.sum(revenue()),
-        "sum_charge": F.sum(revenue() * (100 + F.col("tax"))), "sum_disc": F.sum("disc"), "n": F.count("*"),
+        "sum_qty": agg.total(F.col("qty")), "sum_base": agg.total(F.col("price")), "sum_disc_price": agg.total(revenue()),
+        "sum_charge": agg.total(revenue() * (100 + F.col("tax"))), "sum_disc": agg.total(F.col("disc")), "n": F.count("*"),
     }
     flags = {"l_returnflag": ["A", "N", "R"], "l_linestatus": ["F", "O"]}
     grouped = agg.group_by_domain(rows, flags, sums)
-    averages = {f"avg_{x}": F.try_divide(F.col(f"sum_{x}"), F.col("n")) for x in ("qty", "base", "disc")}
+    averages = {f"avg_{x}": F.try_divide(F.col(f"sum_{x}").cast("double"), F.col("n").cast("double")) for x in ("qty", "base", "disc")}
     return grouped.withColumns(averages).drop("domain_order")
 
 
@@ -65,19 +67,21 @@ def late_items(spark: SparkSession, sf_dir: str, since: str = "1996-07-01", unti
 
 def _forecast(spark: SparkSession, sf_dir: str, since: str, lo: int, hi: int, qty: int) -> DataFrame:
     until = date.fromisoformat(since) + timedelta(YEAR)
+    # what the derived columns imply for the stored ones reaches the scan
+    stored = p.all_of(p.between("l_discount", F.lit((lo - 1) / 100), F.lit((hi + 1) / 100)), p.lt("l_quantity", F.lit(float(qty))))
     return tables.lineitem(spark, sf_dir).filter(
-        p.all_of(p.gte("shipdate", day(since)), p.lt("shipdate", F.lit(until)), p.between("disc", F.lit(lo), F.lit(hi)), p.lt("qty", F.lit(qty)))
+        p.all_of(stored, p.gte("shipdate", day(since)), p.lt("shipdate", F.lit(until)), p.between("disc", F.lit(lo), F.lit(hi)), p.lt("qty", F.lit(qty)))
     )
 
 
 def forecast(spark: SparkSession, sf_dir: str, since: str = "1996-01-01", lo: int = 5, hi: int = 7, qty: int = 24) -> DataFrame:
     """What the discounts came to, in units of 1/10000."""
-    return _forecast(spark, sf_dir, since, lo, hi, qty).agg(F.coalesce(F.sum(F.col("price") * F.col("disc")), F.lit(0)).alias("revenue"))
+    return _forecast(spark, sf_dir, since, lo, hi, qty).agg(agg.sum_if(F.lit(True), F.col("price") * F.col("disc")).alias("revenue"))
 
 
 def forecast_net(spark: SparkSession, sf_dir: str, since: str = "1996-01-01", lo: int = 5, hi: int = 7, qty: int = 24) -> DataFrame:
     """What the same items brought in, in whole cents each."""
-    return _forecast(spark, sf_dir, since, lo, hi, qty).agg(F.coalesce(F.sum(F.expr("price * (100 - disc) div 100")), F.lit(0)).alias("revenue"))
+    return _forecast(spark, sf_dir, since, lo, hi, qty).agg(agg.sum_if(F.lit(True), F.expr("price * (100 - disc) div 100")).alias("revenue"))
 
 
 def market_share(spark: SparkSession, sf_dir: str, nation: str = "NATION_9", region: str = "AMERICA", kind: str = "ECONOMY") -> DataFrame:
@@ -93,7 +97,7 @@ def market_share(spark: SparkSession, sf_dir: str, nation: str = "NATION_9", reg
         (read("supplier"), "l_suppkey", "s_suppkey"), (seller, "s_nationkey", "s_n_nationkey"),
     )
     own = agg.sum_if(F.col("s_n_name") == nation, revenue())
-    return facts.groupBy(F.year("orderdate").alias("year")).agg(own.alias("num"), F.sum(revenue()).alias("den")).withColumn("share", agg.ratio(F.col("num"), F.col("den")))
+    return facts.groupBy(F.year("orderdate").alias("year")).agg(own.alias("num"), agg.total(revenue()).alias("den")).withColumn("share", agg.ratio(F.col("num"), F.col("den")))
 
 
 def ship_modes(spark: SparkSession, sf_dir: str, modes: tuple[str, ...] = ("MAIL", "SHIP"), since: str = "1997-01-01") -> DataFrame:
@@ -108,9 +112,10 @@ def ship_modes(spark: SparkSession, sf_dir: str, modes: tuple[str, ...] = ("MAIL
 
 
 def promotion(spark: SparkSession, sf_dir: str, since: str = "1996-09-01", until: str = "1996-10-01") -> DataFrame:
+    """The share of revenue that parts on promotion have, of items shipped in a window."""
     rows = tables.lineitem(spark, sf_dir).filter(p.all_of(p.gte("shipdate", day(since)), p.lt("shipdate", day(until))))
     joined = joins.flagged_join(rows, tables.table(spark, sf_dir, "part"), "l_partkey", "p_partkey", F.col("p_type").startswith("PROMO"), "promo")
-    sums = joined.agg(agg.sum_if(F.col("promo"), revenue()).alias("num"), F.coalesce(F.sum(revenue()), F.lit(0)).alias("den"))
+    sums = joined.agg(agg.sum_if(F.col("promo"), revenue()).alias("num"), agg.sum_if(F.lit(True), revenue()).alias("den"))
     return sums.withColumn("share", agg.ratio(F.col("num"), F.col("den")))
 
 
@@ -125,15 +130,18 @@ def small_orders_global(spark: SparkSession, sf_dir: str, brand: str = "Brand#23
     """Items of a brand and container below a fifth of the mean quantity of all items, cut to a whole number."""
     mean = tables.lineitem(spark, sf_dir).agg(F.expr("sum(qty) div count(qty)").alias("mean"))  # one row
     found = _brand_items(spark, sf_dir, brand, container).crossJoin(F.broadcast(mean)).filter(10 * F.col("qty") < 2 * F.col("mean"))
-    return found.agg(F.coalesce(F.sum("price"), F.lit(0)).alias("sum_price"), F.count("*").alias("n"))
+    return found.agg(agg.sum_if(F.lit(True), F.col("price")).alias("sum_price"), F.count("*").alias("n"))
 
 
 def small_orders(spark: SparkSession, sf_dir: str, brand: str = "Brand#23", container: str | None = None) -> DataFrame:
-    """Items of a brand (and container) below a fifth of their part's mean quantity; exact, without division."""
+    """Items of a brand (and container) below a fifth of their part's mean quantity; exact, without division.
+
+    The join leaves all items of the chosen parts, so only these are summed for the means.
+    """
     chosen = _brand_items(spark, sf_dir, brand, container)
-    means = tables.lineitem(spark, sf_dir).groupBy(F.col("l_partkey").alias("mean_of")).agg(F.sum("qty").alias("total"), F.count("qty").alias("many"))
+    means = chosen.groupBy(F.col("l_partkey").alias("mean_of")).agg(F.sum("qty").alias("total"), F.count("qty").alias("many"))
     found = joins.key_join(chosen, means, "l_partkey", "mean_of").filter(5 * F.col("qty") * F.col("many") < F.col("total"))
-    return found.agg(F.coalesce(F.sum("price"), F.lit(0)).alias("sum_price"), F.count("*").alias("n"))
+    return found.agg(agg.sum_if(F.lit(True), F.col("price")).alias("sum_price"), F.count("*").alias("n"))
 
 
 #: Brands, container prefix, quantities and largest size of each branch.
@@ -152,4 +160,4 @@ def discounted(spark: SparkSession, sf_dir: str, branches=BRANCHES) -> DataFrame
         for brands, containers, lo, hi, size in branches
     ]
     found = joins.branches_join(rows, tables.part(spark, sf_dir), "l_partkey", "p_partkey", conditions)
-    return found.agg(F.coalesce(F.sum(revenue()), F.lit(0)).alias("revenue"), F.count("*").alias("n"))
+    return found.agg(agg.sum_if(F.lit(True), revenue()).alias("revenue"), F.count("*").alias("n"))

@@ -11,19 +11,23 @@ COMPARE, ROTATE, REDUCE = 175.0, 0.112, 15
 INFEASIBLE = 1 << 62
 
 
-def ceil_div(a: Column, b: Column | int) -> Column:
-    b = F.lit(b) if isinstance(b, int) else b
-    return F.floor((a + b - 1) / b).cast("long")
+def _column(x: Column | int) -> Column:
+    return x if isinstance(x, Column) else F.lit(x).cast("long")
 
 
-def floor_div(a: Column | int, b: Column) -> Column:
-    a = F.lit(a) if isinstance(a, int) else a
-    return F.floor(a / b).cast("long")
+def floor_div(a: Column | int, b: Column | int) -> Column:
+    """Whole-number division, exact for all longs (and decimals without a fraction); a and b are not negative."""
+    return F.call_function("div", _column(a), _column(b))
 
 
-def batches(outer: Column, inner: Column, slots: int) -> Column:
+def ceil_div(a: Column | int, b: Column | int) -> Column:
+    a, b = _column(a), _column(b)
+    return floor_div(a, b) + (a % b > 0).cast("long")
+
+
+def batches(outer: Column, inner: Column, slots: Column | int) -> Column:
     """Vectors that the outer side fills when the inner side is repeated as often as fits, once at least."""
-    return ceil_div(outer, 2 * F.greatest(F.lit(1), floor_div(slots // 2, inner)))
+    return ceil_div(outer, 2 * F.greatest(F.lit(1).cast("long"), floor_div(floor_div(slots, 2), inner)))
 
 
 def feasible_batches(outer: Column, inner: Column, slots: int) -> Column:
@@ -72,7 +76,7 @@ def operations(outer: Column, inner: Column, slots: int) -> dict[str, Column]:
     An outer value is replicated (log2 of the slots, and one, rotations and additions). Each inner vector takes two
     comparisons and a product, one plain product more if it is not full, and a reduction over its own length.
     """
-    whole, part = floor_div(inner, F.lit(slots)), inner % slots
+    whole, part = floor_div(inner, slots), inner % slots
     chunks = whole + (part > 0).cast("long")
     spread = (slots - 1).bit_length() + 1
     reduced = whole * spread + F.when(part > 0, log2_up(part) + 1).otherwise(0)
@@ -96,14 +100,14 @@ def seconds(df: DataFrame, prefix: str, prices: dict[str, float]) -> Column:
 
 
 def memory(df: DataFrame, slots: int) -> DataFrame:
-    """Adds vectors held by each layout: naive, fixed, tiled (all batches kept) and fused (one at a time)."""
+    """Adds vectors held by each layout: naive, fixed, tiled (all batches kept) and fused (one at a time). Those of the last two
+    are null where neither side fits a row."""
     inner, outer = F.least("n_b", "m_b"), F.greatest("n_b", "m_b")
-    n = feasible_batches(F.col("n_b"), F.col("m_b"), slots)
-    m = feasible_batches(F.col("m_b"), F.col("n_b"), slots)
-    found = df.withColumn("__nb", F.least(n, m))
-    layout = {"naive": F.col("n_b") + ceil_div(F.col("m_b"), slots), "fixed": inner + ceil_div(outer, slots), "tiled": 1 + F.col("__nb"), "fused": 1 + F.col("__nb")}
-    work = {"naive": F.lit(6), "fixed": F.lit(6), "tiled": 6 + F.col("__nb"), "fused": F.lit(6)}
-    return found.withColumns({f"{k}_layout": layout[k] for k in layout} | {f"{k}_work": work[k] for k in work} | {f"{k}_resident": layout[k] + work[k] for k in layout}).drop("__nb")
+    least = F.least(feasible_batches(F.col("n_b"), F.col("m_b"), slots), feasible_batches(F.col("m_b"), F.col("n_b"), slots))
+    n = F.when(least < INFEASIBLE, least)
+    layout = {"naive": F.col("n_b") + ceil_div(F.col("m_b"), slots), "fixed": inner + ceil_div(outer, slots), "tiled": 1 + n, "fused": 1 + n}
+    work = {"naive": F.lit(6), "fixed": F.lit(6), "tiled": 6 + n, "fused": F.when(n.isNotNull(), 6)}
+    return df.withColumns({f"{k}_layout": layout[k] for k in layout} | {f"{k}_work": work[k] for k in work} | {f"{k}_resident": layout[k] + work[k] for k in layout})
 
 
 def gate(speedup: Column) -> Column:

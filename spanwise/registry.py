@@ -1,11 +1,13 @@
 """Named queries over the supplied tables, and the same as SQL.
 
-Every entry shows one operator. SQL is written on its own, from the definitions and not from the DataFrame code.
+Every entry shows one operator. SQL is written on its own, from the definitions and not from the DataFrame code. Operators
+return sums as decimal(38,0); queries return them as longs, as their SQL does.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +46,12 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return add
 
 
+def in_longs(df: DataFrame) -> DataFrame:
+    """df with whole-number decimals as longs."""
+    wide = {c for c, kind in df.dtypes if kind == "decimal(38,0)"}
+    return df.select(*(F.col(f"`{c}`").cast("long").alias(c) if c in wide else F.col(f"`{c}`") for c in df.columns)) if wide else df
+
+
 # Predicates: the keys of the rows that pass.
 
 
@@ -107,7 +115,7 @@ def a_count(spark, sf_dir):
 
 @query(f"WITH {LI} SELECT CAST(sum(price) AS BIGINT) AS total FROM li WHERE qty < 24")
 def a_sum(spark, sf_dir):
-    return _li(spark, sf_dir).filter(p.lt("qty", F.lit(24))).agg(F.sum("price").alias("total"))
+    return _li(spark, sf_dir).filter(p.lt("qty", F.lit(24))).agg(agg.total(F.col("price")).alias("total"))
 
 
 @query(f"WITH {LI} SELECT l_returnflag, CAST(sum(qty) AS BIGINT) AS sum_qty, count(qty) AS count_qty, CAST(sum(qty) AS DOUBLE) / count(qty) AS avg_qty FROM li GROUP BY 1")
@@ -136,7 +144,7 @@ def a_cond_sum(spark, sf_dir):
 
 @query(f"WITH {LI} SELECT num, den, CAST(num AS DOUBLE) / den AS share FROM (SELECT CAST(sum(CASE WHEN disc >= 5 THEN price ELSE 0 END) AS BIGINT) AS num, CAST(sum(price) AS BIGINT) AS den FROM li)")
 def a_ratio(spark, sf_dir):
-    sums = _li(spark, sf_dir).agg(agg.sum_if(F.col("disc") >= 5, F.col("price")).alias("num"), F.sum("price").alias("den"))
+    sums = _li(spark, sf_dir).agg(agg.sum_if(F.col("disc") >= 5, F.col("price")).alias("num"), agg.total(F.col("price")).alias("den"))
     return sums.withColumn("share", agg.ratio(F.col("num"), F.col("den")))
 
 
@@ -148,7 +156,10 @@ def a_scalar_subquery(spark, sf_dir):
 
 @query(f"WITH {LI} SELECT l_returnflag, quantile_cont(price, 0.5) AS mid, quantile_cont(price, 0.95) AS high, max(price) AS most FROM li GROUP BY 1")
 def a_percentile(spark, sf_dir):
-    return _li(spark, sf_dir).groupBy("l_returnflag").agg(F.expr("percentile(price, 0.5)").alias("mid"), F.expr("percentile(price, 0.95)").alias("high"), F.max("price").alias("most"))
+    li = _li(spark, sf_dir)
+    counted = li.groupBy("l_returnflag", "price").agg(F.count("*").alias("n"))
+    middle = agg.percentiles(counted, "l_returnflag", "price", {"mid": 0.5, "high": 0.95}, width=1 << 16)
+    return middle.join(li.groupBy("l_returnflag").agg(F.max("price").alias("most")), "l_returnflag")
 
 
 # Joins.
@@ -206,7 +217,8 @@ def j_count_variant(spark, sf_dir):
 
 QUERIES |= {
     "q1": workload.pricing_summary, "q4_exists": workload.late_orders, "q4_join_count": workload.late_items, "q6": workload.forecast, "q6_net": workload.forecast_net,
-    "q8": workload.market_share, "q12": workload.ship_modes, "q14": workload.promotion, "q17_global_avg": workload.small_orders_global, "q17_correlated": workload.small_orders, "q19": workload.discounted,
+    "q8": workload.market_share, "q12": workload.ship_modes, "q14": workload.promotion, "q17_global_avg": workload.small_orders_global, "q17_correlated": workload.small_orders,
+    "q17_container": lambda spark, sf_dir: workload.small_orders(spark, sf_dir, container="MED BOX"), "q19": workload.discounted,
 }
 _PRIORITIES = "(VALUES ('1-URGENT'),('2-HIGH'),('3-MEDIUM'),('4-NOT SPECIFIED'),('5-LOW')) d(o_orderpriority)"
 _QUARTER = "o_orderdate >= DATE '1996-07-01' AND CAST(o_orderdate AS DATE) < DATE '1996-10-01'"
@@ -230,6 +242,7 @@ ORACLES |= {
     "q14": f"WITH {LI}, g AS (SELECT CAST(coalesce(sum(CASE WHEN p_type LIKE 'PROMO%' THEN price*(100-disc) END),0) AS BIGINT) AS num, CAST(coalesce(sum(price*(100-disc)),0) AS BIGINT) AS den FROM li JOIN part ON l_partkey = p_partkey WHERE shipdate >= DATE '1996-09-01' AND shipdate < DATE '1996-10-01') SELECT *, CAST(num AS DOUBLE) / nullif(den, 0) AS share FROM g",
     "q17_global_avg": f"WITH {LI}, {PA} SELECT CAST(coalesce(sum(price),0) AS BIGINT) AS sum_price, count(*) AS n FROM li JOIN pa ON l_partkey = p_partkey WHERE p_brand = 'Brand#23' AND container = 'MED BOX' AND 10 * qty < 2 * (SELECT sum(qty) // count(qty) FROM li)",
     "q17_correlated": f"WITH {LI} SELECT CAST(coalesce(sum(price),0) AS BIGINT) AS sum_price, count(*) AS n FROM li JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#23' AND 5 * qty * (SELECT count(qty) FROM li i WHERE i.l_partkey = p_partkey) < (SELECT sum(qty) FROM li i WHERE i.l_partkey = p_partkey)",
+    "q17_container": f"WITH {LI}, {PA} SELECT CAST(coalesce(sum(price),0) AS BIGINT) AS sum_price, count(*) AS n FROM li JOIN pa ON l_partkey = p_partkey WHERE p_brand = 'Brand#23' AND container = 'MED BOX' AND 5 * qty * (SELECT count(qty) FROM li i WHERE i.l_partkey = p_partkey) < (SELECT sum(qty) FROM li i WHERE i.l_partkey = p_partkey)",
     "q19": f"""WITH {LI}, {PA} SELECT CAST(coalesce(sum(price*(100-disc)),0) AS BIGINT) AS revenue, count(*) AS n FROM li JOIN pa ON l_partkey = p_partkey WHERE shipmode IN ('AIR','REG AIR') AND shipinstruct = 'DELIVER IN PERSON' AND (
      (p_brand IN ('Brand#12','Brand#1','Brand#2','Brand#3') AND container IN ('SM CASE','SM BOX','SM PACK','SM PKG') AND qty BETWEEN 1 AND 11 AND p_size BETWEEN 1 AND 15) OR
      (p_brand IN ('Brand#23','Brand#4','Brand#5','Brand#6') AND container IN ('MED BAG','MED BOX','MED PKG','MED PACK') AND qty BETWEEN 10 AND 20 AND p_size BETWEEN 1 AND 25) OR
@@ -253,11 +266,14 @@ def _band_sql(delta: int, block: bool) -> str:
     )
 
 
+def _clicks_and_purchases(spark, sf_dir) -> tuple:
+    """The events, which of them are clicks, and which are purchases."""
+    return tables.events(spark, sf_dir), F.col("event_type") == "click", F.col("event_type") == "purchase"
+
+
 def _band(name: str, delta: int, block: bool, strategy: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        a, b = _sides(spark, sf_dir)
-        keys = ["user_id"] if block else []
-        return bandjoin.band_aggregate(a, b, delta, keys, keys, strategy)
+        return bandjoin.band_within(*_clicks_and_purchases(spark, sf_dir), "day", "payload", delta, ["user_id"] if block else [], strategy)
 
     QUERIES[name] = run
     ORACLES[name] = _band_sql(delta, block)
@@ -266,12 +282,18 @@ def _band(name: str, delta: int, block: bool, strategy: str) -> None:
 _band("bj_block", 3, True, bandjoin.ROWS)
 _band("bj_block_hist", 3, True, bandjoin.HISTOGRAM)
 _band("bj_window", 3, True, bandjoin.WINDOW)
-_band("bj_bins", 3, False, bandjoin.ROWS)
+_band("bj_bins", 7, False, bandjoin.HISTOGRAM)
 _band("bj_global_hist", 3, False, bandjoin.HISTOGRAM)
 _band("bj_date30", 30, False, bandjoin.HISTOGRAM)
 _band("bj_payload_both", 30, True, bandjoin.HISTOGRAM)
 
 
+@query(_band_sql(5, True))
+def bj_two_tables(spark, sf_dir):
+    """The sides as two tables."""
+    return bandjoin.band_aggregate(*_sides(spark, sf_dir), 5, ["user_id"], ["user_id"])
+
+
 @query(f"WITH {EV} SELECT a.event_id AS a_id, b.event_id AS b_id FROM ev a JOIN ev b ON a.user_id = b.user_id AND abs(a.day - b.day) <= 3 WHERE a.event_type = 'click' AND b.event_type = 'purchase'")
 def bj_pairs(spark, sf_dir):
     a, b = _sides(spark, sf_dir)
@@ -283,8 +305,8 @@ def bj_pairs(spark, sf_dir):
 @query(_band_sql(3, True), "bj_auto")
 def bj_auto(spark, sf_dir):
     a, b = _sides(spark, sf_dir)
-    chosen = bandjoin.choose(bandjoin.statistics(a, ["user_id"]), bandjoin.statistics(b, ["user_id"]), True, 3)
-    return bandjoin.band_aggregate(a, b, 3, ["user_id"], ["user_id"], chosen)
+    chosen = bandjoin.choose(*bandjoin.statistics(a, b, ["user_id"], ["user_id"]), True, 3)
+    return bandjoin.band_within(*_clicks_and_purchases(spark, sf_dir), "day", "payload", 3, ["user_id"], chosen)
 
 
 @query(
@@ -292,10 +314,10 @@ def bj_auto(spark, sf_dir):
     "FROM (SELECT count(*) AS pairs FROM ev a JOIN ev b ON abs(a.day - b.day) <= 3 WHERE a.event_type = 'click' AND b.event_type = 'purchase')"
 )
 def bj_match_rate(spark, sf_dir):
-    a, b = _sides(spark, sf_dir)
-    sizes = a.rows.agg(F.count("*").alias("n")).crossJoin(b.rows.agg(F.count("*").alias("m")))
-    met = bandjoin.band_aggregate(a, b, 3).crossJoin(sizes)
-    return met.select("pairs", (F.col("pairs") / (F.col("n") * F.col("m"))).alias("rate"))
+    events, is_a, is_b = _clicks_and_purchases(spark, sf_dir)
+    sizes = events.agg(F.count_if(is_a).alias("n"), F.count_if(is_b).alias("m"))
+    met = bandjoin.band_within(events, is_a, is_b, "day", None, 3).crossJoin(F.broadcast(sizes))  # one row
+    return met.select("pairs", (F.col("pairs").cast("double") / (F.col("n").cast("double") * F.col("m"))).alias("rate"))
 
 
 @query(
@@ -308,7 +330,7 @@ def bj_per_outer(spark, sf_dir):
     left = a.rows.select(F.col("event_id").alias("a_id"), F.col("user_id").alias("a_user"), F.col("day").alias("a_day"), "payload")
     right = b.rows.select(F.col("user_id").alias("b_user"), F.col("day").alias("b_day"))
     each = bandjoin.band_pairs(left, right, "a_day", "b_day", 3, [("a_user", "b_user")]).groupBy("a_id", "payload").agg(F.count("*").alias("n"))
-    return each.agg(F.count("*").alias("matched"), F.sum("n").alias("pairs"), F.sum(F.col("n") * F.col("payload")).alias("sum_a"), F.max("n").alias("most"))
+    return each.agg(F.count("*").alias("matched"), agg.total(F.col("n")).alias("pairs"), agg.total(F.col("n") * F.col("payload")).alias("sum_a"), F.max("n").alias("most"))
 
 
 # Blocking.
@@ -325,9 +347,8 @@ def _buckets_sql() -> str:
 
 
 def buckets(spark, sf_dir) -> DataFrame:
-    a, b = _sides(spark, sf_dir)
     month, user = F.month("ts").cast("string"), F.col("user_id").cast("string")
-    return blocking.ladder(a.rows, b.rows, {"coarse": month, "medium": user, "fine": F.concat_ws("|", user, month)})
+    return blocking.ladder(*_clicks_and_purchases(spark, sf_dir), {"coarse": month, "medium": user, "fine": F.concat_ws("|", user, month)})
 
 
 BK = _buckets_sql()
@@ -340,10 +361,17 @@ def bk_bucket_stats(spark, sf_dir):
 
 @query(f"WITH {BK} SELECT granularity, count(*) AS buckets, CAST(sum(work) AS BIGINT) AS work, max(n_b) AS max_n, max(m_b) AS max_m FROM bk GROUP BY 1")
 def bk_granularity_ladder(spark, sf_dir):
-    return buckets(spark, sf_dir).groupBy("granularity").agg(F.count("*").alias("buckets"), F.sum("work").alias("work"), F.max("n_b").alias("max_n"), F.max("m_b").alias("max_m"))
+    return buckets(spark, sf_dir).groupBy("granularity").agg(F.count("*").alias("buckets"), agg.total(F.col("work")).alias("work"), F.max("n_b").alias("max_n"), F.max("m_b").alias("max_m"))
 
 
-@query()
+#: Sounds of the segments, by hand.
+_SOUNDS = (("AUTOMOBILE", "A351"), ("BUILDING", "B435"), ("FURNITURE", "F653"), ("HOUSEHOLD", "H243"), ("MACHINERY", "M256"))
+
+
+@query(
+    "WITH s(name, sound) AS (VALUES " + ", ".join(map(str, _SOUNDS)) + "), c AS (SELECT c_custkey, sound, lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS postcode, CAST(year(DATE '1950-01-01' + CAST(c_custkey % 9000 AS INTEGER)) AS VARCHAR) AS born "
+    "FROM customer LEFT JOIN s ON c_mktsegment = name) SELECT c_custkey, born AS coarse, sound || '|' || born AS medium, substr(postcode, 1, 3) || '|' || sound || '|' || born AS fine FROM c"
+)
 def bk_soundex(spark, sf_dir):
     who = tables.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("name"), F.lpad(F.col("c_custkey").cast("string"), 5, "0").alias("postcode"), F.date_add(F.lit("1950-01-01").cast("date"), (F.col("c_custkey") % 9000).cast("int")).alias("born"))
     return who.select("c_custkey", blocking.year_key(F.col("born")).alias("coarse"), blocking.sound_key(F.col("name"), F.col("born")).alias("medium"), blocking.place_key(F.col("postcode"), F.col("name"), F.col("born")).alias("fine"))
@@ -401,11 +429,12 @@ def pl_naive_counts(spark, sf_dir):
 
 
 @query(
-    f"WITH {BK}, x AS (SELECT *, least({_FA}, {_FB}) AS nb FROM bk) SELECT granularity, bucket, n_b + (m_b + {SLOTS - 1}) // {SLOTS} + 6 AS naive_resident, {_INNER} + ({_OUTER} + {SLOTS - 1}) // {SLOTS} + 6 AS fixed_resident, 7 + 2 * nb AS tiled_resident, 7 + nb AS fused_resident FROM x WHERE nb < {_BIG}"
+    f"WITH {BK}, x AS (SELECT *, nullif(least({_FA}, {_FB}), {_BIG}) AS nb FROM bk) SELECT granularity, bucket, n_b + (m_b + {SLOTS - 1}) // {SLOTS} + 6 AS naive_resident, "
+    f"{_INNER} + ({_OUTER} + {SLOTS - 1}) // {SLOTS} + 6 AS fixed_resident, 7 + 2 * nb AS tiled_resident, 7 + nb AS fused_resident FROM x"
 )
 def pl_memory(spark, sf_dir):
-    fits = buckets(spark, sf_dir).filter(F.least("n_b", "m_b") <= SLOTS // 2)
-    return cost.memory(fits, SLOTS).select("granularity", "bucket", "naive_resident", "fixed_resident", "tiled_resident", "fused_resident")
+    """Of every bucket; the layouts that need a side to fit a row are null where none does."""
+    return cost.memory(buckets(spark, sf_dir), SLOTS).select("granularity", "bucket", "naive_resident", "fixed_resident", "tiled_resident", "fused_resident")
 
 
 _SLOTS, _FACTORS = (32, 64, 128), (0.1, 0.5, 1.0, 2.0, 5.0, 10.0)
@@ -451,13 +480,19 @@ def pl_grouping(spark, sf_dir):
     return experiments.grouping(buckets(spark, sf_dir), SLOTS).select("granularity", "buckets", "shapes", "pairs", "by_shape", "greedy", F.round("by_shape_used", 9).alias("by_shape_used"))
 
 
-@query(
-    f"WITH {BK}, x AS (SELECT granularity, {_PRICE.format(_NB_A)} AS a, {_PRICE.format(_NB_B)} AS b FROM bk WHERE {_OUTER} >= 2 * {_INNER} AND work >= {SLOTS}) "
-    "SELECT granularity, count(*) AS buckets, CAST(sum(CASE WHEN b < a THEN 1 ELSE 0 END) AS BIGINT) AS flips, round(quantile_cont(greatest(a, b) / least(a, b), 0.5), 6) AS speedup_median, round(quantile_cont(greatest(a, b) / least(a, b), 0.95), 6) AS speedup_p95, round(max(greatest(a, b) / least(a, b)), 6) AS speedup_max, round(sum(greatest(a, b)) / sum(least(a, b)), 6) AS speedup_weighted, round(sum(greatest(0.0, a - b)) / 3600, 6) AS saved_hours FROM x GROUP BY 1"
-)
+_TAIL = f"""tail0 AS (SELECT granularity, work, work >= {SLOTS} AS large, work >= {SLOTS} AND {_OUTER} >= 2 * {_INNER} AS lop, {_PRICE.format(_NB_A)} AS a, {_PRICE.format(_NB_B)} AS b FROM bk),
+ tail AS (SELECT granularity, count(*) FILTER (large) AS large, count(*) FILTER (lop) AS lopsided, coalesce(100.0::DOUBLE * sum(work) FILTER (lop) / sum(work), 0) AS lopsided_work,
+  CASE WHEN count(*) FILTER (lop) = 0 THEN 0.0::DOUBLE ELSE (count(*) FILTER (lop AND b < a))::DOUBLE / count(*) FILTER (lop) END AS flip_rate,
+  coalesce(sum(a) FILTER (lop) / sum(least(a, b)) FILTER (lop), 1.0) AS speedup_weighted, coalesce(quantile_cont(greatest(a, b) / least(a, b), 0.5) FILTER (lop), 1.0) AS speedup_median,
+  coalesce(quantile_cont(greatest(a, b) / least(a, b), 0.95) FILTER (lop), 1.0) AS speedup_p95, coalesce(max(greatest(a, b) / least(a, b)) FILTER (lop), 1.0) AS speedup_max,
+  coalesce(sum(a - b) FILTER (lop AND b < a), 0.0) / 3600 AS saved_hours FROM tail0 GROUP BY 1)"""
+_TAIL_COLUMNS = ("lopsided_work", "flip_rate", "speedup_weighted", "speedup_median", "speedup_p95", "speedup_max", "saved_hours")
+
+
+@query(f"WITH {BK}, {_TAIL} SELECT granularity, large, lopsided, " + ", ".join(f"round({c}, 6) AS {c}" for c in _TAIL_COLUMNS) + " FROM tail")
 def pl_orientation_tail(spark, sf_dir):
     made = experiments.orientation_tail(buckets(spark, sf_dir), SLOTS)
-    return made.select("granularity", "buckets", "flips", *(F.round(c, 6).alias(c) for c in ("speedup_median", "speedup_p95", "speedup_max", "speedup_weighted", "saved_hours")))
+    return made.select("granularity", "large", "lopsided", *(F.round(c, 6).alias(c) for c in _TAIL_COLUMNS))
 
 
 _CROSS = "CAST(CAST('0x' || substr(md5(bucket), 1, 8) AS BIGINT) % 4 AS INTEGER)"
@@ -467,17 +502,24 @@ def _classes_sql(cls: str, source: str = "bk") -> str:
     return f"cl AS (SELECT *, {cls} AS class FROM {source}), cc AS (SELECT granularity, class, CAST(coalesce(sum(work) FILTER ({_TINY}), 0) AS BIGINT) AS tiny_pairs, CAST(coalesce(sum({_NB}) FILTER (NOT {_TINY}), 0) AS BIGINT) AS large_batches FROM cl GROUP BY 1, 2)"
 
 
-_CC_OUT = f"SELECT granularity, class, tiny_pairs, large_batches, (tiny_pairs + {SLOTS - 1}) // {SLOTS} AS packed FROM cc"
+_PACKED = f"((tiny_pairs + {SLOTS - 1}) // {SLOTS})"
+_CC_OUT = f"SELECT granularity, class, tiny_pairs, large_batches, {_PACKED} AS packed, round({_PACKED} * (350.0::DOUBLE + 5 * 0.112::DOUBLE) + large_batches * 351.68::DOUBLE, 4) AS seconds FROM cc"
+
+
+def _classed(classed: DataFrame) -> DataFrame:
+    return experiments.class_costs(classed, SLOTS).withColumn("seconds", F.round("seconds", 4))
+
+
 
 
 @query(f"WITH {BK}, {_classes_sql(_CROSS)} {_CC_OUT}")
 def pl_predclass(spark, sf_dir):
-    return experiments.class_costs(experiments.crosscut(buckets(spark, sf_dir), 4), SLOTS).drop("seconds")
+    return _classed(experiments.crosscut(buckets(spark, sf_dir), 4))
 
 
 @query(f"WITH {BK}, {_classes_sql('CAST(least(3, (row_number() OVER (PARTITION BY granularity ORDER BY work DESC, substr(md5(bucket), 1, 3), bucket) - 1) * 4 // count(*) OVER (PARTITION BY granularity)) AS INTEGER)')} {_CC_OUT}")
 def pl_predclass_aligned(spark, sf_dir):
-    return experiments.class_costs(experiments.aligned(buckets(spark, sf_dir), 4), SLOTS).drop("seconds")
+    return _classed(experiments.aligned(buckets(spark, sf_dir), 4))
 
 
 _LOT = "CAST('0x' || substr(md5('p' || bucket), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
@@ -485,7 +527,7 @@ _LOT = "CAST('0x' || substr(md5('p' || bucket), 1, 8) AS BIGINT) / 4294967296.0:
 
 @query(f"WITH {BK}, {_classes_sql(f'CASE WHEN {_LOT} < 0.3 THEN 0 WHEN {_LOT} < 0.7 THEN 1 ELSE 2 END')} {_CC_OUT}")
 def pl_predclass_proportional(spark, sf_dir):
-    return experiments.class_costs(experiments.proportional(buckets(spark, sf_dir)), SLOTS).drop("seconds")
+    return _classed(experiments.proportional(buckets(spark, sf_dir)))
 
 
 @query(
@@ -498,15 +540,21 @@ def pl_predmerge(spark, sf_dir):
     return experiments.merged_classes(experiments.class_costs(experiments.crosscut(buckets(spark, sf_dir), 4), SLOTS), SLOTS)
 
 
+_LEAK = """w0 AS (SELECT width, 100000 * width / 3650::DOUBLE AS rows, greatest(1, 3650 // width)::BIGINT AS n_blocks FROM (VALUES (3650),(365),(30),(7),(1)) w(width)),
+ w1 AS (SELECT width, n_blocks, round_even(rows, 0)::BIGINT AS n_block, round_even(rows * rows, 0)::BIGINT AS work FROM w0),
+ w2 AS (SELECT *, CASE WHEN work = 0 THEN 'empty' WHEN work < 32768 THEN 'tiny' ELSE 'large' END AS regime, 2 * greatest(1, 16384 // greatest(n_block, 1)) AS per FROM w1),
+ leak AS (SELECT width, n_blocks, n_block, work, regime, CASE regime WHEN 'empty' THEN 0 WHEN 'tiny' THEN (n_blocks * work + 32767) // 32768 ELSE n_blocks * ((n_block + per - 1) // per) END::BIGINT AS vectors FROM w2)"""
+
+
 @query(
-    "SELECT CAST(width AS INTEGER) AS width, n_block, CAST(greatest(1, 3650 // width) AS BIGINT) AS n_blocks, n_block * n_block AS work, least(1.0::DOUBLE, 60.0::DOUBLE / width) AS recall_loss_bound, CASE WHEN n_block * n_block < 32768 THEN 'tiny' ELSE 'large' END AS regime "
-    "FROM (SELECT width, 100000 * width / 3650::DOUBLE AS n_block FROM (VALUES (3650),(365),(30),(7),(1)) w(width))"
+    f"WITH {_LEAK} SELECT width::INTEGER AS width, n_blocks, n_block, work, regime, vectors, round(CASE regime WHEN 'tiny' THEN vectors * 350.56::DOUBLE WHEN 'large' THEN vectors * 351.68::DOUBLE ELSE 0 END / 3600, 6) AS hours, "
+    "n_blocks AS leakage, least(1.0::DOUBLE, 60.0::DOUBLE / width) AS recall_loss_bound FROM leak"
 )
 def pl_leakage(spark, sf_dir):
-    return experiments.leakage(spark, (3650, 365, 30, 7, 1))
+    return experiments.leakage(spark, (3650, 365, 30, 7, 1)).withColumn("hours", F.round("hours", 6))
 
 
-@query("SELECT CAST(2 AS BIGINT) AS regimes, true AS flips")
+@query(f"WITH {_LEAK} SELECT count(DISTINCT regime) AS regimes, count(DISTINCT regime) > 1 AS flips FROM leak WHERE width IN (3650, 7, 1)")
 def pl_plan_flip(spark, sf_dir):
     return experiments.plan_flips(experiments.leakage(spark, (3650, 7, 1)))
 
@@ -515,10 +563,9 @@ def pl_plan_flip(spark, sf_dir):
     f"WITH {EV} SELECT count(*) AS all_pairs, count(*) FILTER (a.day // 7 = b.day // 7) AS kept_pairs, 1 - CAST(count(*) FILTER (a.day // 7 = b.day // 7) AS DOUBLE) / count(*) AS recall_lost FROM ev a JOIN ev b ON abs(a.day - b.day) <= 3 WHERE a.event_type = 'click' AND b.event_type = 'purchase'"
 )
 def pl_true_recall(spark, sf_dir):
-    a, b = _sides(spark, sf_dir)
-    week = F.floor(F.col("day") / 7)
-    blocked = [s._replace(rows=s.rows.withColumn("week", week)) for s in (a, b)]
-    return experiments.block_recall(bandjoin.band_aggregate(a, b, 3), bandjoin.band_aggregate(*blocked, 3, ["week"], ["week"]))
+    events, is_a, is_b = _clicks_and_purchases(spark, sf_dir)
+    weeks = events.withColumn("week", F.floor(F.col("day") / 7))
+    return experiments.block_recall(bandjoin.band_within(events, is_a, is_b, "day", None, 3), bandjoin.band_within(weeks, is_a, is_b, "day", None, 3, ["week"]))
 
 
 @query(f"WITH {_sweep_sql()} SELECT granularity, CASE WHEN naive/tiled >= 20 THEN 'STRONG' WHEN naive/tiled >= 10 THEN 'GOOD' WHEN naive/tiled >= 5 THEN 'OK' WHEN naive/tiled >= 2 THEN 'MARGINAL' ELSE 'WEAK' END AS gate FROM sw WHERE slots = 64 AND factor = 1.0")
@@ -528,7 +575,7 @@ def pl_gate_label(spark, sf_dir):
 
 @query()
 def pl_zipf(spark, sf_dir):
-    return tables.zipf_buckets(spark, "medium", 20_000, 1.0e8, 1974, 1028)
+    return tables.zipf_buckets(spark, "medium", 216_197, 1.37e9, 1974, 1028)
 
 
 _PRICES = {"comparisons": 175.0, "rotations": 0.125, "products": 0.375, "plain_products": 0.0009765625, "additions": 0.00048828125}
@@ -567,9 +614,40 @@ def pl_scaling(spark, sf_dir):
     return experiments.scaling(spark.createDataFrame([(1, 100.0), (2, 52.0), (4, 28.0), (8, 16.0)], "workers long, wall double"))
 
 
-@query("SELECT CASE WHEN g >= 0.05 AND o >= 1.05 THEN 'both' WHEN g >= 0.05 THEN 'grouping' WHEN o >= 1.05 THEN 'orientation' ELSE 'neither' END AS choice, g, o FROM (VALUES (0.1::DOUBLE, 1.2::DOUBLE), (0.1, 1.0), (0.0, 1.2), (0.0, 1.0)) v(g, o)")
+@query(
+    f"""WITH {BK}, {_TAIL}, s AS (SELECT granularity, count(*) FILTER ({_TINY}) AS tiny, coalesce(sum(work) FILTER ({_TINY}), 0) AS pairs, coalesce(sum({_NB}) FILTER (NOT {_TINY}), 0) AS large FROM bk GROUP BY 1),
+     c AS (SELECT granularity, (pairs + {SLOTS - 1}) // {SLOTS} AS packed, tiny, large * 351.68::DOUBLE AS large_s FROM s),
+     h AS (SELECT granularity, packed * 350.0::DOUBLE + large_s AS g0, packed * 351.68::DOUBLE + large_s AS g15, tiny * 351.68::DOUBLE + large_s AS alone FROM c),
+     sh AS (SELECT granularity, {_INNER} AS inner_, (sum(work) + {SLOTS - 1}) // {SLOTS} AS vectors, sum(work) AS pairs FROM bk WHERE {_TINY} GROUP BY 1, 2),
+     gr AS (SELECT granularity, sum(vectors) AS by_shape, (sum(pairs) + {SLOTS - 1}) // {SLOTS} AS greedy FROM sh GROUP BY 1),
+     one AS (SELECT arg_min(granularity, struct_pack(x := g0, y := granularity)) AS g0_winner, min(g0) / 3600 AS g0_hours, arg_min(granularity, struct_pack(x := g15, y := granularity)) AS g15_winner, min(g15) / 3600 AS g15_hours,
+      arg_min(granularity, struct_pack(x := alone, y := granularity)) AS unpacked_winner, min(alone) / 3600 AS unpacked_hours FROM h),
+     gaps AS (SELECT coalesce(max((by_shape - greedy)::DOUBLE / greedy * 100) FILTER (greedy > 0), 0.0) AS grouping_gap FROM gr),
+     gains AS (SELECT max(speedup_weighted) AS orientation_gain, max(saved_hours) AS orientation_hours FROM tail)
+     SELECT g0_winner, round(g0_hours, 6) AS g0_hours, g15_winner, round(g15_hours, 6) AS g15_hours, unpacked_winner, round(unpacked_hours, 6) AS unpacked_hours, round(grouping_gap, 6) AS grouping_gap,
+      round(orientation_gain, 6) AS orientation_gain, round(orientation_hours, 6) AS orientation_hours,
+      CASE WHEN g0_winner = 'fine' AND grouping_gap < 5 AND orientation_gain < 1.05 THEN 2 WHEN g0_winner = 'medium' AND g15_winner = 'medium' AND orientation_gain >= 1.05 THEN 1 ELSE 3 END AS scenario FROM one, gaps, gains"""
+)
 def pl_decision(spark, sf_dir):
-    return spark.createDataFrame([(0.1, 1.2), (0.1, 1.0), (0.0, 1.2), (0.0, 1.0)], "g double, o double").select(experiments.decision(F.col("g"), F.col("o")).alias("choice"), "g", "o")
+    """What packing, grouping and orientation say together of the data's buckets."""
+    rows = buckets(spark, sf_dir)
+    made = experiments.decision(experiments.packing(rows, SLOTS), experiments.grouping(rows, SLOTS), experiments.orientation_tail(rows, SLOTS))
+    return made.select(*(F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in made.dtypes))
+
+
+# Published runs: sizes and seconds.
+_RUNS = ((256, 512, 1286.99), (256, 512, 1282.56), (512, 256, 1292.07), (512, 256, 1291.91), (1974, 1028, 20961.98), (1974, 1028, 20965.08))
+
+
+@query(
+    "WITH r AS (SELECT n_b::BIGINT AS n_b, m_b::BIGINT AS m_b, wall::DOUBLE AS wall FROM (VALUES " + ", ".join(map(str, _RUNS)) + ") v(n_b, m_b, wall)), "
+    "n AS (SELECT *, 2 * least((n_b + 2 * (16384 // m_b) - 1) // (2 * (16384 // m_b)), (m_b + 2 * (16384 // n_b) - 1) // (2 * (16384 // n_b))) AS comparisons FROM r) "
+    "SELECT *, comparisons * 175.0::DOUBLE AS predicted, round(wall / (comparisons * 175.0::DOUBLE), 6) AS ratio FROM n"
+)
+def pl_measured(spark, sf_dir):
+    """Measured times against what their comparisons alone predict."""
+    runs = spark.createDataFrame(list(_RUNS), "n_b long, m_b long, wall double")
+    return experiments.measured(runs, 32768).withColumn("ratio", F.round("ratio", 6))
 
 
 # Arithmetic modulo a prime, as an option.
@@ -582,7 +660,7 @@ def z_mod_count(spark, sf_dir):
 
 @query(f"WITH {LI} SELECT CAST(sum(price) % 65537 AS BIGINT) AS total FROM li")
 def z_mod_sum(spark, sf_dir):
-    return _li(spark, sf_dir).agg(values.mod_p(F.sum("price")).alias("total"))
+    return _li(spark, sf_dir).agg(values.mod_p(agg.total(F.col("price"))).alias("total"))
 
 
 @query(f"WITH {LI} SELECT l_orderkey, l_linenumber, CASE WHEN price % 65537 > 32768 THEN price % 65537 - 65537 ELSE price % 65537 END AS v FROM li")
@@ -618,12 +696,23 @@ def s_date_band(spark, sf_dir):
     return bandjoin.band_aggregate(bandjoin.Side(a, "x", "x_payload"), bandjoin.Side(b, "y", "y_payload"), 30)
 
 
+@query(
+    "WITH a AS (SELECT 10000 + i * 7 % 3650 AS x, i % 100 + 1 AS p FROM range(256) r(i)), b AS (SELECT 10000 + i * 11 % 3650 AS y, i % 100 + 1 AS q FROM range(512) r(i)) "
+    "SELECT count(*) AS pairs, CAST(sum(p) AS BIGINT) AS sum_a, CAST(sum(q) AS BIGINT) AS sum_b FROM a JOIN b ON abs(x - y) <= 30"
+)
+def bj_naive(spark, sf_dir):
+    """All rows against all, at the fixture's size: there only to be measured against."""
+    a, b = tables.date_band(spark, 256, 7, "x"), tables.date_band(spark, 512, 11, "y")
+    return bandjoin.band_aggregate(bandjoin.Side(a, "x", "x_payload"), bandjoin.Side(b, "y", "y_payload"), 30, strategy=bandjoin.NESTED)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The block-keyed band join, and beside it what the cost model says of its buckets."""
-    a, b = _sides(spark, sf_dir)
-    sized = cost.best_orientation(cost.tiled(blocking.bucket_stats(a.rows, b.rows, F.col("user_id"), F.col("user_id"), "medium"), SLOTS), SLOTS)
-    totals = sized.agg(F.count("*").alias("buckets"), F.sum("work").alias("work"), F.sum("comparisons").alias("comparisons"), F.sum("batches_best").alias("batches_best"))
-    return bandjoin.band_aggregate(a, b, 3, ["user_id"], ["user_id"]).crossJoin(F.broadcast(totals))
+    events, is_a, is_b = _clicks_and_purchases(spark, sf_dir)
+    sized = cost.best_orientation(cost.tiled(blocking.ladder(events, is_a, is_b, {"medium": F.col("user_id")}), SLOTS), SLOTS)
+    totals = sized.agg(F.count("*").alias("buckets"), *(agg.total(F.col(c)).alias(c) for c in ("work", "comparisons", "batches_best")))
+    made = bandjoin.band_within(events, is_a, is_b, "day", "payload", 3, ["user_id"])
+    return in_longs(made.crossJoin(F.broadcast(totals)))  # one row
 
 
 @query(
@@ -632,3 +721,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def f_flagship(spark, sf_dir):
     return flagship(spark, sf_dir)
+
+
+def _as_longs(f: Query) -> Query:
+    return wraps(f)(lambda spark, sf_dir: in_longs(f(spark, sf_dir)))
+
+
+QUERIES = {name: _as_longs(f) for name, f in QUERIES.items()}

@@ -99,6 +99,16 @@ def write_calibration(row: dict[str, float], spark: SparkSession, path: str) ->
     spark.createDataFrame([(f"{k}={v:.9f}",) for k, v in row.items()], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+# Columns of the results file, in order.
+RESULT_COLUMNS = (
+    "n_b m_b total_slots row_slots ct_mb gt_count dateband backend cmp_tot he_rot he_mul_ct he_mul_pt he_add_ct he_sub_ct "
+    "wall_actual_s wall_extrap_s peak_cts peak_mem_mb correct sum_fhe sum_gt layout_cts work_cts mat_cts resident_cts"
+).split()
+
+
 def append_results(df: DataFrame, path: str) -> None:
-    """Adds a run's results to a folder of CSV files."""
-    df.write.mode("append").option("header", True).csv(path)
+    """Adds a run's results to a folder of CSV files with RESULT_COLUMNS; those that df has not are empty, others are an error."""
+    if unknown := set(df.columns) - set(RESULT_COLUMNS):
+        raise ValueError(f"no columns of the results file: {sorted(unknown)}")
+    every = df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in RESULT_COLUMNS))
+    every.write.mode("append").option("header", True).csv(path)
