@@ -17,13 +17,12 @@ from pyspark.sql import functions as F
 
 from spanwise.llm import common
 
-#: Trigram buckets, the penalty (in nats) of a switch, and the least share of a script that makes a language a candidate.
-BITS, PENALTY, LEAST_SHARE = 18, 12.0, 0.002
+#: Trigram buckets as a power of two, the penalty (in nats) of a switch, and the least share of a script that makes a language a candidate.
+BITS, PENALTY, LEAST_SHARE = 16, 12.0, 0.002
 #: Texts that are learnt from, for each language; chosen by hash, so the bound holds on average.
 TRAIN_TEXTS = 4000
-MAX_LANGUAGES = 200
-#: Bytes of text labelled at once.
-GROUP_BYTES = 4 << 20
+#: Bytes of text labelled at once, words from which on a text is labelled in blocks, words of a block, and numbers that blocks may take at once.
+GROUP_BYTES, LONG, BLOCK, HELD = 4 << 20, 8192, 512, 1 << 22
 UNKNOWN = "und"
 
 # First and last code point of script ranges.
@@ -91,20 +90,20 @@ def analysed(texts: list[bytes], bits: int = BITS) -> Words:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", texts: int = TRAIN_TEXTS) -> Model:
-    """Learns from about `texts` of each language's documents. Only tables of fixed size reach the driver."""
+    """Learns from about `texts` of each language's documents. What reaches the driver, and later each worker, is a table of
+    2^BITS numbers for each language, however many documents there are. Null labels and null texts teach nothing."""
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    found = sorted((r[0], r[1]) for r in labelled.groupBy(lang_col).count().limit(MAX_LANGUAGES + 1).collect())
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = sorted((r[0], r[1]) for r in labelled.groupBy(lang_col).count().collect())  # a row for each language
     languages = [x for x, _ in found]
     number = {x: k for k, x in enumerate(languages)}
-    bits = BITS - max(0, (len(languages) - 1).bit_length() - 4)
+    bits = BITS
     if not languages:
         return Model([], np.zeros((0, 1 << bits), np.float32), np.zeros((len(NAMES), 0), bool))
     spark = docs.sparkSession
-    share = F.broadcast(spark.createDataFrame([(x, min(1.0, texts / n)) for x, n in found], "__lang string, __share double"))
+    of, part = common.free_name(docs, "lang"), common.free_name(docs, "share")
+    share = F.broadcast(spark.createDataFrame([(x, min(1.0, texts / n)) for x, n in found], f"`{of}` string, `{part}` double"))
     lot = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("lot")), F.lit(1 << 20)) / float(1 << 20)
-    chosen = labelled.join(share, F.col(lang_col) == F.col("__lang")).filter(lot < F.col("__share"))
+    chosen = labelled.join(share, F.col(lang_col) == F.col(of)).filter(lot < F.col(part))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         trigrams, scripts = np.zeros((len(languages), 1 << bits), np.int64), np.zeros((len(languages), len(NAMES)), np.int64)
@@ -124,42 +123,101 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         yield {"kind": np.ones(len(lang), np.int8), "lang": lang, "at": script, "n": scripts[lang, script]}
 
     made = common.map_batches(chosen, [text_col, lang_col], run, "kind byte, lang int, at int, n long")
-    sums = made.groupBy("kind", "lang", "at").agg(F.sum("n").alias("n")).toPandas()
+    sums = made.groupBy("kind", "lang", "at").agg(F.sum("n").alias("n")).toArrow()
+    kinds, langs, places, n = (sums.column(k).to_numpy() for k in range(4))
     trigrams, scripts = np.zeros((len(languages), 1 << bits)), np.zeros((len(languages), len(NAMES)))
     for kind, table in ((0, trigrams), (1, scripts)):
-        own = sums[sums["kind"] == kind]
-        table[own["lang"], own["at"]] = own["n"]
+        own = kinds == kind
+        table[langs[own], places[own]] = n[own]
     trigrams = np.log((trigrams + 0.5) / (trigrams.sum(axis=1, keepdims=True) + 0.5 * (1 << bits)))
     return Model(languages, trigrams.astype(np.float32), (scripts >= LEAST_SHARE * np.maximum(scripts.sum(axis=1, keepdims=True), 1)).T.copy())
 
 
-def viterbi(scores: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float = PENALTY) -> np.ndarray:
-    """The best label of each word: the sum of scores less the penalty for each switch is largest. All texts step together."""
-    bound = np.searchsorted(doc, np.arange(n_docs + 1))
-    length = np.diff(bound)
-    order = np.argsort(-length, kind="stable")
-    first, length = bound[:-1][order], length[order]
-    stay, leader = np.ones(scores.shape, bool), np.zeros(len(scores), np.int16)
-    value = np.zeros((n_docs, scores.shape[1]))
-    alive = np.searchsorted(-length, -np.arange(length[0] if n_docs else 0), "left")
+def switched(value: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values after a possible switch, where staying is as good, and the label that a switch comes from. The last axis is labels."""
+    leader = value.argmax(axis=-1)
+    other = np.take_along_axis(value, leader[..., None], -1) - penalty
+    return np.maximum(value, other), value >= other, leader
+
+
+def stepped(scores: np.ndarray, first: np.ndarray, length: np.ndarray, value: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of words that step together, the longest first: for each word where staying was as good, and the leader before it. value:
+    before each run's first word, in place after its last."""
+    stay, leader = np.ones(scores.shape, bool), np.zeros(len(scores), np.int32)
+    alive = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), "left")
     for t, k in enumerate(alive):
-        at, v = first[:k] + t, value[:k]
+        at = first[:k] + t
         if t:
-            best = v.argmax(axis=1)
-            switched = v[np.arange(k), best][:, None] - penalty
-            stay[at], leader[at] = v >= switched, best
-            v = np.maximum(v, switched)
-        value[:k] = v + scores[at]
-    label = np.zeros(len(scores), np.int16)
-    state = value.argmax(axis=1)
+            value[:k], stay[at], leader[at] = switched(value[:k], penalty)
+        value[:k] += scores[at]
+    return stay, leader
+
+
+def traced(stay: np.ndarray, leader: np.ndarray, first: np.ndarray, length: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """The labels that lead to each run's last state."""
+    label = np.zeros(len(stay), np.int32)
+    alive = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), "left")
     for t in range(len(alive) - 1, -1, -1):
-        at = first[: alive[t]] + t
-        now = state[: alive[t]]
+        at, now = first[: alive[t]] + t, state[: alive[t]]
         label[at] = now
         state[: alive[t]] = np.where(stay[at, now], now, leader[at])
     return label
 
 
+def in_blocks(scores: np.ndarray, penalty: float) -> np.ndarray:
+    """The best labels of one long text, exactly, in blocks that step together.
+
+    For each block and each label of its first word, the best value of each label of its last one; then the best labels at
+    the blocks' ends, block by block; then each block's labels between them. This takes as many times the work as there
+    are labels, but the steps of one block only.
+    """
+    n, labels = scores.shape
+    first = np.arange(0, n, BLOCK)
+    length = np.minimum(BLOCK, n - first)
+    many = max(1, HELD // labels**2)
+    through = np.empty((len(first), labels, labels))
+    for at in range(0, len(first), many):
+        value = np.where(np.eye(labels, dtype=bool), 0.0, -np.inf)[None].repeat(len(first[at : at + many]), axis=0)
+        for t in range(length[at]):
+            k = int((length[at : at + many] > t).sum())
+            if t:
+                value[:k] = switched(value[:k], penalty)[0]
+            value[:k] += scores[first[at : at + k] + t][:, None, :]
+        through[at : at + many] = value
+    begins, ends = np.zeros((len(first), labels), np.int64), np.zeros(len(first), np.int64)
+    before, stays, leaders = np.zeros(labels), [], []
+    for k in range(len(first)):
+        start, stay, leader = switched(before, penalty) if k else (before, np.ones(labels, bool), np.int64(0))
+        stays.append(stay), leaders.append(int(leader))
+        whole = start[:, None] + through[k]
+        begins[k], before = whole.argmax(axis=0), whole.max(axis=0)
+    state, starts = int(before.argmax()), np.zeros(len(first), np.int64)
+    for k in range(len(first) - 1, -1, -1):
+        ends[k], starts[k] = state, begins[k, state]
+        state = int(starts[k]) if stays[k][starts[k]] else leaders[k]
+    value = np.where(np.arange(labels) == starts[:, None], 0.0, -np.inf)
+    stay, leader = stepped(scores, first, length, value, penalty)
+    return traced(stay, leader, first, length, ends.copy())
+
+
+def viterbi(scores: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float = PENALTY) -> np.ndarray:
+    """The best label of each word: the sum of scores less the penalty for each switch is largest. All texts step together, but
+    those of more than LONG words."""
+    bound = np.searchsorted(doc, np.arange(n_docs + 1))
+    label = np.zeros(len(scores), np.int32)
+    for k in np.flatnonzero(np.diff(bound) > LONG):
+        label[bound[k] : bound[k + 1]] = in_blocks(scores[bound[k] : bound[k + 1]].astype(np.float64), penalty)
+    short = np.flatnonzero((np.diff(bound) <= LONG) & (np.diff(bound) > 0))
+    order = short[np.argsort(-np.diff(bound)[short], kind="stable")]
+    first, length = bound[:-1][order], np.diff(bound)[order]
+    value = np.zeros((len(order), scores.shape[1]))
+    stay, leader = stepped(scores, first, length, value, penalty)
+    made = traced(stay, leader, first, length, value.argmax(axis=1))
+    own = np.repeat(np.diff(bound) <= LONG, np.diff(bound))
+    label[own] = made[own]
+    return label
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
     """Spans and the language of every text.
 
@@ -170,6 +228,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """
     languages, bits = model.languages, int(model.trigrams.shape[1]).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    group = GROUP_BYTES * 16 // max(16, len(languages))  # a number for each word and language
 
     def label(texts: list[bytes]) -> list[tuple[str, float, list]]:
         model = shared.value
@@ -215,7 +274,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             waiting += texts
             ids.append(batch.column(0))
             held += sum(map(len, texts))
-            if held >= GROUP_BYTES:
+            if held >= group:
                 yield close()
                 waiting, ids, held = [], [], 0
         if ids:

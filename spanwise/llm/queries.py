@@ -53,11 +53,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.identified(table(spark, sf_dir, "documents")).drop("spans")
+    made = language.identified(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat(x["lang"], F.lit(":"), x["words"])), " ")
+    return made.withColumn("spans", spans)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = pii.pseudonymised(table(spark, sf_dir, "documents"))
+    made = pii.pseudonymised(table(spark, sf_dir, "documents"), pii.session_key(spark))
     kinds = F.array_join(F.transform("found", lambda x: F.concat(x["kind"], F.lit("@"), x["start"], F.lit("+"), x["length"])), " ")
     return made.select("doc_id", "text", "n_chars", "n_found", kinds.alias("found"))
 
@@ -90,7 +92,7 @@ _RULES = rf"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(te
  i AS (SELECT row, len(words) AS n, words, unnest(range(1, len(words) - 3)) AS k FROM w WHERE len(words) >= 5),
  g AS (SELECT row, k, count(*) OVER (PARTITION BY row, words[k:k+4]) AS many FROM i),
  c AS (SELECT row, count(DISTINCT k + j) AS repeated FROM g, (VALUES (0),(1),(2),(3),(4)) o(j) WHERE many > 1 GROUP BY row),
- b AS (SELECT w.row, doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[ 	-]', '', 'g'))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+ b AS (SELECT w.row, doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(repeated, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
   len(list_filter(words, lambda x: (length(x) > 1 AND upper(x) = x AND lower(x) <> x) OR suffix(x, '!!'))) AS loud, len(list_filter(words, lambda x: regexp_matches(x, '\p{{L}}'))) AS lettered,
   len(list_filter(range(2, len(words) + 1), lambda x: words[x] = words[x - 1])) AS stutters FROM w LEFT JOIN c ON c.row = w.row)

@@ -27,6 +27,37 @@ def test_viterbi_is_best(seed):
         assert worth(labels[doc == d].tolist()) == pytest.approx(most)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_long_texts_in_blocks_are_labelled_as_well(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    monkeypatch.setattr(language, "BLOCK", int(rng.integers(1, 12)))
+    monkeypatch.setattr(language, "HELD", 40)
+    n, labels = int(rng.integers(1, 80)), int(rng.integers(1, 5))
+    scores, doc = rng.normal(size=(n, labels)) * 2, np.zeros(n, np.int64)
+    whole = language.viterbi(scores, doc, 1, 1.0)
+    monkeypatch.setattr(language, "LONG", 0)
+    parts = language.viterbi(scores, doc, 1, 1.0)
+
+    def worth(path):
+        return scores[np.arange(n), path].sum() - (path[1:] != path[:-1]).sum()
+
+    assert worth(parts) == pytest.approx(worth(whole))
+    assert np.array_equal(whole, parts)  # no ties here
+
+
+def test_many_languages(spark):
+    rows = [(k, " ".join(f"{chr(97 + k // 26)}{chr(97 + k % 26)}{'xyz'[j % 3]}" for j in range(30)), f"l{k:03d}") for k in range(260)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.predict(docs, language.fit(docs)).collect()
+    assert sum(r["lang_pred"] == f"l{r['doc_id']:03d}" for r in got) > 250
+
+
+def test_a_long_text(spark, model):
+    text = f"{EN} " * 3000 + f"{ES} " * 3000
+    (row,) = language.predict(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()
+    assert [(s["lang"], s["words"]) for s in row["spans"]] == [("en", 39_000), ("es", 42_000)]
+
+
 def test_held_out_accuracy(documents):
     rows = language.identified(documents).join(documents.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r["held_out"]]

@@ -23,3 +23,14 @@ def test_matches_sql(spark, sf_dir, name):
 def test_registered():
     names = set(entry.queries())
     assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if x.startswith("op")} and "pipeline" in names
+
+
+def test_quality_sql_at_all_white_space(spark):
+    texts = [" a\vb\fc\rd\te\nf ", "\x0b\x0c\r", None, "", "x\x1cy\x85z \u00a0", "one two three four five six seven eight nine ten\rten\v"]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", documents.toPandas())
+    found = con.execute(queries.ORACLES["op8_quality"])
+    columns = [d[0] for d in found.description]
+    df = queries.quality.judge(documents)
+    assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(found.fetchall(), columns)
