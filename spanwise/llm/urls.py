@@ -2,7 +2,8 @@
 
 A rule names a host, which stands for all its subdomains, and a path prefix. The trie is keyed by the host's labels
 from the last to the first and then by the path's whole segments; a rule whose path ends within a segment hangs at
-the segment before, with the beginning it asks for. Rules are a parameter of bounded size and travel with the task.
+the segment before, with the beginning it asks for. The trie is built once and broadcast; it is as large as the rules, which
+are a parameter and do not grow with the pages.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ RULES = (
     ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"),
     ("block", "example.net", "/de/8"), ("block", "org", "/es/"),
 )
-MAX_RULES = 1_000_000
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -36,46 +36,44 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 class Trie:
-    """Nodes are dicts of labels; None holds the rules at a node: (beginning of the next segment, verdict, rule)."""
+    """Nodes are numbers, the root 0. edges: (node, label) to node; rules: node to its rules (beginning of the next segment,
+    verdict, rule, host's length). A flat trie can be sent however deep it is."""
 
     def __init__(self, rules):
-        self.root: dict = {}
-        if len(rules) > MAX_RULES:
-            raise ValueError(f"more than {MAX_RULES} rules")
+        self.edges: dict[tuple[int, str], int] = {}
+        self.rules: dict[int, list[tuple[str, str, str, int]]] = {}
         for verdict, host, path in rules:
             if verdict not in ("allow", "block"):
                 raise ValueError(f"unknown verdict {verdict!r}")
             host = host.translate(LOWER)
-            node = self.root
-            for label in reversed(host.split(".")) if host else ():
-                node = node.setdefault(label, {})
-            node = node.setdefault("/", {})  # no label has a slash: from here on, segments
             *whole, last = path.split("/")
-            for segment in whole:
-                node = node.setdefault(segment, {})
-            node.setdefault(None, []).append((last, verdict, host + path, len(host)))
+            node = 0
+            # no label has a slash: after it come segments
+            for label in (*(reversed(host.split(".")) if host else ()), "/", *whole):
+                node = self.edges.setdefault((node, label), len(self.edges) + 1)
+            self.rules.setdefault(node, []).append((last, verdict, host + path, len(host)))
 
     def match(self, host: str, path: str) -> tuple[str | None, str | None]:
         """Rule and verdict: of the rules that fit, the one with the longest text; of equals the longer host, then block."""
         best, found = None, (None, None)
-        node, hosts = self.root, [self.root]
+        hosts, edge = [0], self.edges.get
         if host:
             for label in reversed(host.split(".")):
-                node = node.get(label)
+                node = edge((hosts[-1], label))
                 if node is None:
                     break
                 hosts.append(node)
         segments = path.split("/")
         for node in hosts:
-            node = node.get("/")
+            node = edge((node, "/"))
             for segment in segments:
                 if node is None:
                     break
-                for begins, verdict, rule, n in node.get(None, ()):
+                for begins, verdict, rule, n in self.rules.get(node, ()):
                     rank = (len(rule), n, verdict == "block")
                     if segment.startswith(begins) and (best is None or rank > best):
                         best, found = rank, (rule, verdict)
-                node = node.get(segment)
+                node = edge((node, segment))
         return found
 
 
@@ -86,8 +84,10 @@ def judge(pages: DataFrame, rules=RULES, default: str = "allow", id_col: str = "
     rows give repeated results; null ids stay null; an empty table gives none; other columns are left out.
     """
 
+    shared = pages.sparkSession.sparkContext.broadcast(Trie(rules))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        trie = Trie(rules)
+        trie = shared.value
         for batch in batches:
             split = [split_url(u) for u in batch.column(1).to_pylist()]
             found = [trie.match(*x) for x in split]

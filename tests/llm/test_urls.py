@@ -32,3 +32,11 @@ def test_table(spark):
     assert urls.judge(pages.limit(0)).collect() == []
     with pytest.raises(ValueError):
         urls.Trie([("maybe", "a", "/")])
+
+
+def test_many_and_deep_rules(spark):
+    deep = "/" + "a/" * 3000
+    rules = [("block", "deep.org", deep), *(("block" if k % 2 else "allow", f"h{k}.com", "/x") for k in range(20_000))]
+    pages = spark.createDataFrame([(1, f"x://deep.org{deep}y"), (2, "x://a.h7.com/xy"), (3, "x://h8.com/x"), (4, "x://h8.com/y")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"] and r["rule"][:8], r["verdict"]) for r in urls.judge(pages, rules, "allow").collect()}
+    assert got == {1: ("deep.org", "block"), 2: ("h7.com/x", "block"), 3: ("h8.com/x", "allow"), 4: (None, "allow")}
