@@ -1,16 +1,19 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule looks at one document and may reject it. On a sample the operator measures what each rule costs and how much
-it rejects, and orders rules by rejections per cost; a document is then judged until the first rule rejects it. The
-order changes the time only: a document is kept if no rule rejects it.
+Each rule looks at one document and may reject it. On a sample the operator measures what each rule and each measure that
+rules share cost, and which documents each rule rejects. The cascade begins with the rule that rejects most for its cost; each
+next one is that which rejects most of the documents still left for what it costs once the measures before it are
+there. A document is then judged until the first rule rejects it. The order changes the time only: a document is kept
+if no rule rejects it.
 """
 
 from __future__ import annotations
 
 import time
 from collections import Counter
-from collections.abc import Callable, Iterator
-from functools import cached_property
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property, reduce
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -23,8 +26,8 @@ from spanwise.llm import common
 WINDOW = 5
 SYMBOLS, WHITE = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 LEADING = bytes(b for b in range(256) if b & 0xC0 != 0x80)
-#: Documents whose rules are timed; at most this many, chosen by hash.
-SAMPLE = 400
+#: Documents whose rules are timed, at most, and partitions that they come from.
+SAMPLE, PARTITIONS = 400, 8
 
 
 class Document:
@@ -109,29 +112,103 @@ RULES = (
 )
 
 
-def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample: int = SAMPLE) -> tuple[Rule, ...]:
-    """The rules by rejections per second on a sample of about `sample` documents, the given order among equals.
+#: What rules may share.
+MEASURES = ("words", "decoded", "word_chars", "n_symbols", "lines", "n_dup_lines", "n_repeat_words")
 
-    Only sums for each rule reach the driver. Without documents the order stays.
-    """
-    total = docs.select(F.lit(1)).count()
-    if not total:
-        return rules
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        spent, rejected = [0.0] * len(rules), [0] * len(rules)
-        for batch in batches:
-            for text in common.utf8(batch.column(0)):
-                for k, rule in enumerate(rules):
-                    began = time.perf_counter()
-                    rejected[k] += bool(rule.rejects(Document(text)))
-                    spent[k] += time.perf_counter() - began
-        yield {"k": range(len(rules)), "spent": spent, "rejected": rejected}
+def _timed(name: str) -> cached_property:
+    measure = getattr(Document, name).func
+
+    def value(self):
+        began = time.perf_counter()
+        self.inner.append(0.0)
+        found = measure(self)
+        took = time.perf_counter() - began
+        within = self.inner.pop()
+        if self.inner:
+            self.inner[-1] += took
+        self.spent[name] = took - within
+        return found
+
+    made = cached_property(value)
+    made.__set_name__(None, name)
+    return made
+
+
+class Timed(Document):
+    """A document that knows how long each of its measures took, without those that it used."""
+
+    def __init__(self, text: bytes):
+        super().__init__(text)
+        self.spent: dict[str, float] = {}
+        self.inner: list[float] = []
+
+
+for _name in MEASURES:
+    setattr(Timed, _name, _timed(_name))
+
+
+class Costs(NamedTuple):
+    """By rule: its seconds without measures, and the measures it used. By measure: its seconds each time. And how many documents
+    were rejected by which rules (as bits)."""
 
-    chosen = docs.select(text_col).sample(min(1.0, sample / total), seed=7)
-    sums = common.map_batches(chosen, [text_col], run, "k int, spent double, rejected long").groupBy("k").agg(F.sum("spent"), F.sum("rejected")).collect()
-    worth = {k: rejected / max(spent, 1e-9) for k, spent, rejected in sums}
-    return tuple(rules[k] for k in sorted(range(len(rules)), key=lambda k: -worth.get(k, 0.0)))
+    own: list[float]
+    used: list[frozenset[str]]
+    measures: dict[str, float]
+    rejected: Counter
+
+    def plus(self, other: Costs) -> Costs:
+        own, used = [a + b for a, b in zip(self.own, other.own, strict=True)], [a | b for a, b in zip(self.used, other.used, strict=True)]
+        return Costs(own, used, {k: max(self.measures.get(k, 0.0), v) for k, v in (self.measures | other.measures).items()}, self.rejected + other.rejected)
+
+
+def costs(texts: Iterable[bytes], rules: tuple[Rule, ...]) -> Costs:
+    """What the rules cost and reject, each on a document of its own."""
+    own, used, spent, times, rejected = [0.0] * len(rules), [frozenset()] * len(rules), Counter(), Counter(), Counter()
+    for text in texts:
+        bits = 0
+        for k, rule in enumerate(rules):
+            document = Timed(text)
+            began = time.perf_counter()
+            bits |= bool(rule.rejects(document)) << k
+            own[k] += time.perf_counter() - began - sum(document.spent.values())
+            used[k] |= document.spent.keys()
+            spent.update(document.spent)
+            times.update(document.spent.keys())
+        rejected[bits] += 1
+    return Costs(own, used, {k: spent[k] / times[k] for k in spent}, rejected)
+
+
+def by_worth(found: Costs) -> list[int]:
+    """The rules, each next one that with the most rejections of what is left by cost, given the measures that are there."""
+    left, ready, order, many = dict(found.rejected), set(), [], sum(found.rejected.values())
+
+    def worth(k: int) -> float:
+        cost = max(found.own[k], 0.0) + many * sum(found.measures.get(m, 0.0) for m in found.used[k] - ready)
+        return sum(n for bits, n in left.items() if bits >> k & 1) / max(cost, 1e-9)
+
+    open_ = list(range(len(found.own)))
+    while open_:
+        best = max(open_, key=lambda k: (worth(k), -k))
+        open_.remove(best)
+        order.append(best)
+        ready |= found.used[best]
+        left = {bits: n for bits, n in left.items() if not bits >> best & 1}
+    return order
+
+
+def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample: int = SAMPLE) -> tuple[Rule, ...]:
+    """The rules in the order of the cascade, estimated on the first documents of a few partitions spread over the table.
+
+    Only those partitions are read, and only as far as the sample goes; sums reach the driver. Without documents the order
+    stays.
+    """
+    rows = docs.select(F.col(text_col).cast("binary")).rdd
+    parts = rows.getNumPartitions()
+    chosen = sorted({k * parts // PARTITIONS for k in range(PARTITIONS)}) if parts else []
+    each = -(-sample // max(1, len(chosen)))
+    found = rows.context.runJob(rows, lambda own: [costs((bytes(r[0] or b"") for r in islice(own, each)), rules)], chosen) if chosen else []
+    return tuple(rules[k] for k in by_worth(reduce(Costs.plus, found))) if found else rules
 
 
 def verdict(document: Document, cascade: tuple[Rule, ...]) -> str | None:
@@ -163,7 +240,11 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_i
 
 
 def kept(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """The documents that no rule rejects, with all their columns; each is judged until the first rule that rejects it."""
+    """The documents that no rule rejects, with all their columns; each is judged until the first rule that rejects it.
+
+    Null and empty texts have too few words and go; null ids and repeated rows are judged like any other; an empty table
+    gives no rows.
+    """
     common.prepare(docs.sparkSession)
     cascade = ordered(docs, rules, text_col)
     place = docs.columns.index(text_col)

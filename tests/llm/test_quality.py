@@ -43,12 +43,41 @@ def test_order_by_rejections_per_cost(spark):
     import time
 
     slow = quality.Rule("slow", lambda d: bool(time.sleep(0.001)) or True)
-    fast, idle = quality.Rule("fast", lambda d: True), quality.Rule("idle", lambda d: False)
-    docs = spark.createDataFrame([(k, "x") for k in range(20)], "doc_id long, text string")
+    fast, idle = quality.Rule("fast", lambda d: d.text == b"x"), quality.Rule("idle", lambda d: False)
+    docs = spark.createDataFrame([(k, "xy"[k % 2]) for k in range(20)], "doc_id long, text string")
     assert [r.name for r in quality.ordered(docs, (idle, slow, fast))] == ["fast", "slow", "idle"]
     assert quality.ordered(docs.limit(0), (idle, slow)) == (idle, slow)
 
 
+def test_order_counts_shared_measures_and_what_is_left():
+    """The second rule by itself rejects more for its cost than the third, but all of that the first has rejected already."""
+    rejected = quality.Counter({0b011: 50, 0b100: 10, 0b000: 40})
+    found = quality.Costs([1.0, 1.5, 1.0], [frozenset("a"), frozenset("a"), frozenset("ab")], {"a": 0.01, "b": 0.001}, rejected)
+    assert quality.by_worth(found) == [0, 2, 1]
+    alone = quality.Costs([0.0, 0.0], [frozenset("a"), frozenset("b")], {"a": 1.0, "b": 0.5}, quality.Counter({0b11: 4}))
+    assert quality.by_worth(alone) == [1, 0]
+
+
+def test_costs_of_measures_are_told_apart():
+    found = quality.costs([b"some words here " * 200] * 3, quality.RULES)
+    assert {"words", "n_repeat_words"} <= set(found.measures) and found.used[0] == {"words"} and "words" in found.used[1]
+    assert sum(found.rejected.values()) == 3 and found.plus(found).rejected == quality.Counter({k: 2 * n for k, n in found.rejected.items()})
+    assert found.measures["n_repeat_words"] > 0 and all(x > -1e-3 for x in found.own)
+
+
+def test_sample_reads_a_few_partitions(spark, documents):
+    met = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            met.add(b.num_rows)
+            yield b
+
+    many = documents.repartition(40).mapInArrow(seen, documents.schema)
+    assert len(quality.ordered(many, sample=16)) == len(quality.RULES)
+    assert 0 < met.value <= documents.count() / 2
+
+
 def test_kept_passes_columns_on(odd_docs, no_docs):
     got = quality.kept(odd_docs)
     judged = {r["doc_id"]: r["kept"] for r in quality.judge(odd_docs).collect()}
