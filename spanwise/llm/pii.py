@@ -10,19 +10,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from datetime import date
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from spanwise.llm import common
 
 ROUNDS = 8
-#: Setting that holds the key; the default is for tests and demonstrations only.
-KEY_SETTING, DEFAULT_KEY = "spark.spanwise.pii.key", "change me"
+#: Setting that holds the key. There is no default: who has the key can go back.
+KEY_SETTING = "spark.spanwise.pii.key"
 #: Values a task remembers the pseudonyms of.
 CACHE = 100_000
 
@@ -222,11 +223,11 @@ KINDS = (
     Kind("secret", re.compile(rf"(?i:(?<![a-z]){LABELS})[\"']?\s?[:=]\s?(?:[\"'](?P<v>[^\s\"']{{8,}})[\"']|(?P<u>(?=[A-Za-z_+/-]*\d)[A-Za-z0-9_+/-]{{8,}}))|(?<![A-Za-z0-9])(?P<w>(?:AKIA|ASIA)[0-9A-Z]{{16}})(?![A-Za-z0-9])"), secret),
     Kind("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), iban),
     Kind("mac", re.compile(r"(?<![\w:-])[0-9A-Fa-f]{2}(?:([:-])[0-9A-Fa-f]{2})(?:\1[0-9A-Fa-f]{2}){4}(?![\w:-])"), mac),
-    Kind("date", re.compile(r"(?<![\w./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?!\w|[-/.]\d)"), calendar),
+    Kind("date", re.compile(r"(?<![\w./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?!(?!T\d\d:?\d\d)\w|[-/.]\d)"), calendar),
     Kind("ip", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"), ipv4),
     Kind("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,}(?!\w|[-.]\d)"), card),
     Kind("social", re.compile(r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?!\w|[-.]\d)"), social),
-    Kind("phone", re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{3,4}[ .-]?\d{3,4}(?!\w|[-.]\d)|(?<![\w.+-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w|[-.]\d)|(?<![\w.+-])(?:1[ .-])?\d{3}([ .-])\d{3}\1\d{4}(?!\w|[-.]\d)"), phone),
+    Kind("phone", re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{3,4}[ .-]?\d{3,4}(?!\w|[-.]\d)|(?<![\w.+-])\+\d{1,3}(?:[ .-]?\d{1,4}){2,6}(?!\w|[-.]\d)|(?<![\w.+-])(?:1[ .-])?\d{3}([ .-])\d{3}\1\d{4}(?!\w|[-.]\d)"), phone),
 )
 CLUE = re.compile(r"[0-9@]|(?i:password|passwd|pwd|secret|token|key|auth)")
 
@@ -266,7 +267,7 @@ def replaced(text: str, known: Pseudonyms) -> tuple[str, list[tuple[str, int, in
     """The text with pseudonyms, and each one's kind, start and length in the result (code points)."""
     if not CLUE.search(text):
         return text, []
-    found: list[tuple[int, int, str, str]] = []
+    found: list[tuple[int, int, str, str]] = []  # sorted, and none overlaps another
     for k, kind in enumerate(KINDS):
         if kind.name == "email" and "@" not in text:
             continue
@@ -274,13 +275,13 @@ def replaced(text: str, known: Pseudonyms) -> tuple[str, list[tuple[str, int, in
             group = m.lastgroup or 0  # only secrets have named groups
             start, end = m.span(group)
             for a, b in card_places(m[0]) if kind.name == "card" else ((0, end - start),):
-                if any(start + a < e and s < start + b for s, e, _, _ in found):
+                at = bisect_left(found, (start + b,))
+                if at and found[at - 1][1] > start + a:
                     continue
                 if (made := known[k, text[start + a : start + b]]) is not None:
-                    found.append((start + a, start + b, kind.name, made))
+                    found.insert(at, (start + a, start + b, kind.name, made))
     if not found:
         return text, []
-    found.sort()
     out, spans, at, size = [], [], 0, 0
     for start, end, name, made in found:
         out += [text[at:start], made]
@@ -292,8 +293,21 @@ def replaced(text: str, known: Pseudonyms) -> tuple[str, list[tuple[str, int, in
 
 
 def key_of(docs: DataFrame, key: str | None) -> bytes:
-    """The given key, or the session's, or the default; any length."""
-    return hashlib.blake2b((key or docs.sparkSession.conf.get(KEY_SETTING, DEFAULT_KEY)).encode()).digest()
+    """The given key, or the session's, of any length; without one it is an error."""
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"pseudonyms need a key: set {KEY_SETTING}")
+    return hashlib.blake2b(key.encode()).digest()
+
+
+def session_key(spark: SparkSession) -> str:
+    """The session's key. Where none is set, one is drawn that only this session has: pseudonyms then link its own results, and
+    nobody can go back."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
 
 
 def pseudonymised(docs: DataFrame, key: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,7 +333,10 @@ def pseudonymised(docs: DataFrame, key: str | None = None, id_col: str = "doc_id
 
 
 def replaced_in(docs: DataFrame, key: str | None = None, text_col: str = "text") -> DataFrame:
-    """docs with pseudonyms in text_col; all other columns, whatever their names, stay as they are."""
+    """docs with pseudonyms in text_col; all other columns, whatever their names, stay as they are.
+
+    Null and empty texts stay; repeated rows give repeated results; an empty table gives none.
+    """
     common.prepare(docs.sparkSession)
     secret_key, place = key_of(docs, key), docs.columns.index(text_col)
 

@@ -22,3 +22,8 @@ def no_docs(spark):
 @pytest.fixture(scope="session")
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@pytest.fixture(scope="session", autouse=True)
+def a_key(spark):
+    spark.conf.set("spark.spanwise.pii.key", "only for tests")

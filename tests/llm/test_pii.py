@@ -87,3 +87,43 @@ def test_odd_documents(odd_docs, no_docs):
     assert sorted(repr((r["doc_id"], r["text"])) for r in rows) == want
     assert sorted(map(repr, pii.replaced_in(odd_docs).collect())) == sorted(map(repr, odd_docs.collect()))
     assert pii.pseudonymised(no_docs).collect() == [] and pii.replaced_in(no_docs).collect() == []
+
+
+@pytest.mark.parametrize("text,old", [("at 2020-01-02T10:00:00 or", "2020-01-02"), ("at 2020-01-02T100000Z", "2020-01-02"), ("ring +33 6 12 34 56 78 now", "6 12 34 56 78"), ("+33 6 12 34 56 78", "6 12 34 56 78")])
+def test_timestamps_and_short_groups(text, old):
+    out, spans = pii.replaced(text, pii.Pseudonyms(KEY))
+    assert old not in out and len(spans) == 1 and len(out) == len(text)
+    if "T10" in text:
+        assert out[13:] == text[13:] and re.match(r"at \d{4}-\d\d-\d\dT10", out)
+
+
+def test_no_date_before_a_word():
+    assert pii.replaced("2020-01-02Total 2020-01-02T", pii.Pseudonyms(KEY))[1] == []
+
+
+def test_many_values_in_one_text():
+    import time
+
+    def seconds(n):
+        text = " ".join(f"10.{k // 250 % 250}.{k % 250}.7 on 2001-02-{1 + k % 28:02d}" for k in range(n))
+        known = pii.Pseudonyms(KEY)
+        pii.replaced(text, known)
+        began = time.perf_counter()
+        out, spans = pii.replaced(text, known)
+        assert len(spans) == 2 * n
+        return time.perf_counter() - began
+
+    assert seconds(16_000) < 40 * seconds(2000)  # eight times the values; comparing all with all takes sixty-four times as long
+
+
+def test_a_key_is_needed(spark):
+    kept = spark.conf.get(pii.KEY_SETTING, None)
+    docs = spark.createDataFrame([(1, "a@b.org")], "doc_id long, text string")
+    try:
+        spark.conf.unset(pii.KEY_SETTING)
+        with pytest.raises(ValueError, match="key"):
+            pii.pseudonymised(docs)
+        drawn = pii.session_key(spark)
+        assert len(drawn) == 64 and pii.session_key(spark) == drawn and pii.pseudonymised(docs).first()["n_found"] == 1
+    finally:
+        spark.conf.set(pii.KEY_SETTING, kept)
