@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.llm import common
@@ -28,7 +28,9 @@ RATE = 8000
 HEADER = 44
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
-SOURCE = re.compile(r"""\bsrc\s*=\s*["']?(?:media:)?sha256[:/]([0-9a-f]{64})""")
+SOURCE = re.compile(r"""\bsrc\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+DIGEST = re.compile(r"(?:media:)?sha256[:/]([0-9a-f]{64})\Z")
+LENGTH = re.compile(r"""\bdata-bytes\s*=\s*["']?(\d{1,18})\b""")
 BREAKS = frozenset("p div h1 h2 h3 h4 h5 h6 li tr section article figure figcaption blockquote pre ul ol table br hr".split())
 MEDIA = frozenset("img audio video source embed".split())
 
@@ -105,22 +107,43 @@ def read_back(stored: DataFrame) -> DataFrame:
 
 
 def sequence(page: str) -> list[dict]:
-    """A page's texts and media references in order; a figure's caption is kept with its reference."""
+    """A page's texts and media references in order.
+
+    A reference has its source, the digest if the source names one, and the length in bytes if the tag tells it. A figure's
+    caption, wherever in the figure it stands, is kept with each of the figure's references; one without a reference is text.
+    """
     parts: list[dict] = []
     words: list[str] = []
-    caption: list[str] | None = None
-    figure: list[dict] = []
+    told: list[str] | None = None  # a caption that is open
+    caption, figure, depth = "", [], 0
     skip, at = "", 0
 
     def flush() -> None:
         text = " ".join("".join(words).split())
         words.clear()
         if text:
-            parts.append({"kind": "text", "text": text, "digest": None, "caption": None})
+            parts.append({"kind": "text", "text": text, "source": None, "digest": None, "length": None, "caption": None})
+
+    def close_caption() -> None:
+        nonlocal told, caption
+        if told is not None:
+            caption = " ".join([caption, *"".join(told).split()]).strip()
+            told = None
+
+    def close_figure() -> None:
+        nonlocal caption
+        close_caption()
+        for x in figure:
+            x["caption"] = caption or None
+        if caption and not figure:
+            words.append(caption)
+        flush()
+        figure.clear()
+        caption = ""
 
     def add(raw: str) -> None:
         if not skip:
-            (words if caption is None else caption).append(html.unescape(raw))
+            (words if told is None else told).append(html.unescape(raw))
 
     for m in TAG.finditer(page):
         add(page[at : m.start()])
@@ -131,32 +154,38 @@ def sequence(page: str) -> list[dict]:
         elif tag in ("script", "style") and not m[1]:
             skip = tag
         elif tag == "figcaption":
-            if m[1] and caption is not None:
-                told = " ".join("".join(caption).split())
-                for x in figure:
-                    x["caption"] = told
-                caption = None
-            elif not m[1]:
+            if m[1]:
+                close_caption()
+            else:
                 flush()
-                caption = []
-        elif tag in MEDIA and not m[1] and (found := SOURCE.search(m[3])):
-            flush()
-            parts.append({"kind": "media", "text": None, "digest": found[1], "caption": None})
-            figure.append(parts[-1])
+                told = []
+        elif tag in MEDIA and not m[1]:
+            if source := SOURCE.search(m[3]):
+                close_caption()
+                flush()
+                name = html.unescape(source[1] or source[2] or source[3] or "")
+                digest, length = DIGEST.match(name), LENGTH.search(m[3])
+                parts.append({"kind": "media", "text": None, "source": name, "digest": digest and digest[1], "length": length and int(length[1]), "caption": None})
+                if depth:
+                    figure.append(parts[-1])
+        elif tag == "figure":
+            close_figure()
+            depth = 0 if m[1] else 1
         elif tag in BREAKS:
-            if caption is None:
+            if told is None:
                 flush()
-            if tag == "figure":
-                figure.clear()
+            else:
+                told.append(" ")
     add(page[at:])
-    flush()
+    close_figure()
     return parts
 
 
 def interleave(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """Parses pages into sequences: id_col and elements, an array of (position, kind, text, digest, caption).
+    """Parses pages into sequences: id_col and elements, an array of (position, kind, text, source, digest, length, caption).
 
-    Null or empty html has no elements; a reference without a digest is dropped as it names no payload in the store.
+    Null or empty html has no elements; a reference without a digest stays in its place, with a null digest. Repeated rows
+    give repeated sequences, null ids stay null, an empty table gives none, other columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -164,14 +193,23 @@ def interleave(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
             made = [[{"position": k, **x} for k, x in enumerate(sequence(p.decode("utf-8", "replace")))] for p in common.utf8(batch.column(1))]
             yield {id_col: batch.column(0), "elements": made}
 
-    schema = f"`{id_col}` {common.type_of(pages, id_col)}, elements array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
+    schema = f"`{id_col}` {common.type_of(pages, id_col)}, elements array<struct<position:int,kind:string,text:string,source:string,digest:string,length:long,caption:string>>"
     return common.map_batches(pages, [id_col, html_col], run, schema)
 
 
 def references(sequences: DataFrame, id_col: str) -> DataFrame:
-    """A row for each media reference: id_col, position, digest, caption."""
+    """A row for each media reference: id_col, position, digest, length, caption, how many elements its sequence has, and the crc32 of
+    the texts before and after it (joined by line ends)."""
+
+    def texts(kept) -> Column:
+        return F.crc32(F.array_join(F.transform(F.filter("elements", kept), lambda y: y["text"]), "\n").cast("binary"))
+
     media = F.filter("elements", lambda x: x["kind"] == "media")
-    return sequences.select(id_col, F.inline(F.transform(media, lambda x: F.struct(x["position"].alias("position"), x["digest"].alias("digest"), x["caption"].alias("caption")))))
+    row = F.transform(media, lambda x: F.struct(*(x[k].alias(k) for k in ("position", "digest", "length", "caption"))))
+    each = sequences.select(id_col, "elements", F.inline(row))
+    before = texts(lambda y: (y["kind"] == "text") & (y["position"] < F.col("position")))
+    after = texts(lambda y: (y["kind"] == "text") & (y["position"] > F.col("position")))
+    return each.select(id_col, "position", "digest", "length", "caption", F.size("elements").alias("n_elements"), before.alias("before_crc32"), after.alias("after_crc32"))
 
 
 def resolve(refs: DataFrame, contents: DataFrame) -> DataFrame:
@@ -184,33 +222,44 @@ def resolve(refs: DataFrame, contents: DataFrame) -> DataFrame:
 
 
 def assemble(sequences: DataFrame, resolved: DataFrame, id_col: str) -> DataFrame:
-    """Puts resolved payload columns back into the sequences' media elements, in order; id_col must be unique."""
-    payloads = resolved.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("position", F.struct("payload_bytes", "media_bytes", "feature").alias("p")))).alias("__p"))
-    whole = F.transform("elements", lambda x: F.struct(x["position"].alias("position"), x["kind"].alias("kind"), x["text"].alias("text"), x["caption"].alias("caption"), x["digest"].alias("digest"), F.col("__p")[x["position"]].alias("payload")))
+    """Puts resolved payload columns back into the sequences' media elements, in order.
+
+    id_col must be unique and not null; a reference whose payload is missing has a null payload; a sequence without media stays
+    as it is, and an empty table gives no rows.
+    """
+    found = F.struct("position", F.struct("payload_bytes", "media_bytes", "feature").alias("p"))
+    payloads = resolved.groupBy(id_col).agg(F.map_from_entries(F.collect_list(found)).alias("payloads"))
+    names = ("position", "kind", "text", "source", "caption", "digest", "length")
+    whole = F.transform("elements", lambda x: F.struct(*(x[k].alias(k) for k in names), F.col("payloads")[x["position"]].alias("payload")))
     return sequences.join(payloads, id_col, "left").select(id_col, whole.alias("elements"))
 
 
 def document_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document as a page: its text, and a figure that names the text's payload by digest with the length as caption."""
+    """Each document as a page: a paragraph for each line and, after the first, a figure that names the whole text's payload by
+    digest, with its length and the first line as caption."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             made = []
             for t in common.utf8(batch.column(1)):
-                told = html.escape(t.decode("utf-8", "replace")).replace("\n", "</p><p>")
-                made.append(f'<p>{told}</p><figure><audio src="media:sha256/{hashlib.sha256(payload(t)).hexdigest()}"></audio><figcaption>{len(t)}</figcaption></figure>')
+                first, _, rest = html.escape(t.decode("utf-8", "replace")).partition("\n")
+                named = f'<audio src="media:sha256/{hashlib.sha256(payload(t)).hexdigest()}" data-bytes="{len(t)}"></audio>'
+                made.append(f"<p>{first}</p><figure>{named}<figcaption>{first}</figcaption></figure><p>{rest.replace(chr(10), '</p><p>')}</p>")
             yield {id_col: batch.column(0), "html": made}
 
     return common.map_batches(docs, [id_col, text_col], run, f"`{id_col}` {common.type_of(docs, id_col)}, html string")
 
 
 def media_features(docs: DataFrame) -> DataFrame:
-    """op3: stores every document's text as media, parses its page, resolves the reference and returns the features.
+    """op3: stores every document's text as media, parses its page, resolves the reference and returns the features, with the
+    reference's place in the sequence: position, n_elements, caption_crc32, before_crc32 and after_crc32.
 
-    Repeated rows give repeated results; null and empty texts are 64 zero bytes; null ids stay null.
+    Repeated rows give repeated results; null and empty texts are 64 zero bytes; null ids stay null; an empty table gives no rows.
     """
     contents = read_back(store(docs))
     refs = references(interleave(document_pages(docs), "doc_id", "html"), "doc_id")
+    refs = refs.withColumn("caption_crc32", F.crc32(F.coalesce("caption", F.lit("")).cast("binary"))).drop("caption")
     return resolve(refs, contents).select(
-        "doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position"
-    )
+        "doc_id", F.col("length").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
+        "position", "n_elements", "caption_crc32", "before_crc32", "after_crc32",
+    )
