@@ -72,9 +72,9 @@ class WordEncoder(dict):
 
     def short_way(self, text: str) -> bytes:
         text = "".join(c.lower() for c in unicodedata.normalize("NFC", text)) if not text.isascii() else text.lower()
-        if text.isascii() and text.isalpha():  # most words: letters alone, or letters and a sign after them
+        if text.isalpha():  # most words: letters alone, or letters and a sign after them
             found = (text,)
-        elif text.isascii() and text[:-1].isalpha() and text[-1] in ".,;:!?)":
+        elif text[:-1].isalpha() and text[-1] in ".,;:!?)":
             found = (text[:-1], text[-1])
         else:
             found = self.split(text)
@@ -85,8 +85,8 @@ class WordEncoder(dict):
             return True
         for c in set(text) - self.plain - self.odd:
             # between letters, doubled, and after a digit: tells letters, numbers, marks, white space and all else apart
-            probe = f"a{c}{c}b1{c}"
-            (self.plain if self.by_tokenizer(probe) == self.short_way(probe) else self.odd).add(c)
+            probes = (f"a{c}{c}b", f"a{c}{c}b1{c}", f"{c}.")
+            (self.plain if all(self.by_tokenizer(p) == self.short_way(p) for p in probes) else self.odd).add(c)
         return self.plain.issuperset(text)
 
     def piece(self, piece: str) -> bytes:
