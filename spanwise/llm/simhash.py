@@ -38,7 +38,7 @@ SLICE, FRONTIER, READ_AHEAD = 1 << 16, 1 << 20, 200_000
 #: candidates may differ.
 NEAR_WIDTH, NEAR_WORDS, NEAR_RADIUS = 5, 8, 128
 #: Sketches and texts that one task compares within a shard; larger shards are dealt out and what is left of each part meets again.
-SKETCHES, TEXTS = 1 << 15, 1 << 12
+SKETCHES, TEXTS = 1 << 15, 1 << 8
 #: Two sets are similar if they share SIMILAR[0] parts in SIMILAR[1] of what either has; shingles compared at once.
 SIMILAR, COMPARED = (4, 5), 1 << 21
 #: Bands of minima of the five-word shingles that bring candidates together, minima in a band, and each minimum's multiplier.
@@ -322,13 +322,14 @@ def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return common.map_batches(docs, [id_col, text_col], run, f"`{id_col}` {common.type_of(docs, id_col)}, print string, fp long, near binary, bands array<long>")
 
 
-def linked(shards: DataFrame, payload: DataFrame, column: str, limit: int, roots: Callable[[np.ndarray, pa.ChunkedArray], np.ndarray]) -> DataFrame:
-    """Links (a, b) between nodes that roots() puts into one group. shards: stored (key, node); payload: (node, column).
+def linked(shards: DataFrame, payload: DataFrame, column: str, limit: int, roots: Callable[[np.ndarray, pa.ChunkedArray], np.ndarray]) -> tuple[DataFrame, DataFrame | None]:
+    """Links (a, b) between nodes that roots() puts into one group, and what is left. shards: stored (key, node); payload: (node, column).
 
     roots() gets sorted keys and the column and returns for each row the position of the first row of its group. A
     shard of more than `limit` nodes is dealt out by lot; the first node of each group of each part then meets those of the
     other parts, again and again while there are too many and each round leaves out a quarter at least. So no task
-    holds more than about `limit` nodes of a shard. A node that left such a shard was linked to one that stayed.
+    holds more than about `limit` nodes of a shard. A node that left such a shard was linked to one that stayed. Where the
+    rounds ended because nodes are too unlike one another, those that stayed are left, as (key, node).
     """
     made, level = [], 0
     while True:
@@ -351,13 +352,12 @@ def linked(shards: DataFrame, payload: DataFrame, column: str, limit: int, roots
         out = common.stored(sharded(rows, ["node", "whole", column], run, "a long, b long, whole long", min(limit, READ_AHEAD)), "linked")
         made.append(out.filter("a <> b").select("a", "b"))
         if last:
-            break
+            return reduce(DataFrame.unionByName, made).distinct(), None
         left = common.stored(out.filter("a = b and whole is not null").select(F.col("whole").alias("key"), F.col("a").alias("node")), "left")
         before = dealt.filter("whole is not null").count()
         shards, level = left, level + 1
         if 4 * left.count() > 3 * before:
-            break
-    return reduce(DataFrame.unionByName, made).distinct()
+            return reduce(DataFrame.unionByName, made).distinct(), left
 
 
 def met(nodes: DataFrame) -> DataFrame:
@@ -457,18 +457,17 @@ def similar_groups(sets: list[np.ndarray]) -> np.ndarray:
 def confirmed(candidates: DataFrame, shards: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Links (a, b) between candidates (node, root: its component) by exact similarity.
 
-    The texts of a component of up to TEXTS nodes meet in one shard, so a pair that might be similar is compared. Those of a
-    larger one meet by the bands in which they met first (shards), each text as often as it has such bands.
+    The texts of a component meet in one shard, so a pair that might be similar is compared; of a component of more than
+    TEXTS nodes they meet in parts. What is left of a large component whose nodes are unlike one another meets by the bands
+    that brought it together (shards).
     """
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
-    every = common.stored(candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct()).select(F.col("root").alias("key"), "node"), "every")
-    large = common.stored(every.groupBy("key").count().filter(F.col("count") > TEXTS).select("key"), "large")
-    if large.isEmpty():
-        return linked(every, texts, "text", TEXTS, text_roots)
-    small = common.stored(every.join(large, "key", "left_anti"), "small")
-    inside = every.join(large, "key", "left_semi").select("node")
-    rest = common.stored(shards.join(inside, "node", "left_semi").select("key", "node"), "rest")
-    return linked(small, texts, "text", TEXTS, text_roots).unionByName(linked(rest, texts, "text", TEXTS, text_roots)).distinct()
+    every = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())
+    found, left = linked(common.stored(every.select(F.col("root").alias("key"), "node"), "every"), texts, "text", TEXTS, text_roots)
+    if left is None:
+        return found
+    rest = common.stored(shards.join(left.select("node").distinct(), "node", "left_semi").select("key", "node"), "rest")
+    return found.unionByName(linked(rest, texts, "text", TEXTS, text_roots)[0]).distinct()
 
 
 def grouped(prints: DataFrame, member: str, radius: int = RADIUS) -> DataFrame:
@@ -516,7 +515,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     by_tree = close.join(first, F.col("a") == F.col("fp")).select(F.col("of").alias("a"), "b").join(first, F.col("b") == F.col("fp")).select("a", F.col("of").alias("b"))
     same = nodes.join(first, "fp").filter("node <> of").select(F.col("of").alias("a"), F.col("node").alias("b"))
     shards = met(nodes)
-    by_bands = linked(shards, nodes.select("node", "near"), "near", SKETCHES, sketch_roots)
+    by_bands, _ = linked(shards, nodes.select("node", "near"), "near", SKETCHES, sketch_roots)
     candidates = common.stored(components(by_tree.unionByName(same).unionByName(by_bands)), "candidates")
     roots = common.stored(components(confirmed(candidates, shards, docs, id_col, text_col)), "confirmed")
     named = common.stored(nodes.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("first")), "named")

@@ -263,3 +263,15 @@ def test_recall_of_a_query_set_against_all(spark, sf_dir):
     got = {r["doc_id"]: r["first"] for r in simhash.near_groups(docs).collect()}
     pairs = [(a, b) for a in sets if a % 50 == 0 for b in sets if a != b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     assert len(pairs) > 3 and sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
+
+
+def test_unlike_texts_of_a_large_component_meet_by_bands(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TEXTS", 12)
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(60)]
+    texts += [changed(rng, t.split(), 0.004) for t in texts[:20]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    candidates = simhash.common.stored(spark.createDataFrame([(k, 0) for k in range(1, 80)], "node long, root long"), "c")
+    bands = simhash.common.stored(spark.createDataFrame([(1000 + k % 60, k) for k in range(80)], "key long, node long"), "b")
+    found = simhash.confirmed(candidates, bands, rows, "id", "text").collect()
+    assert {tuple(sorted((r["a"], r["b"]))) for r in found} == {(k, 60 + k) for k in range(20)}
