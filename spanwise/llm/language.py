@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.llm import common
+from spanwise.llm import common, words
 
 #: Trigram buckets as a power of two, the penalty (in nats) of a switch, and the least share of a script that makes a language a candidate.
 BITS, PENALTY, LEAST_SHARE = 16, 12.0, 0.002
@@ -230,35 +230,46 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
     group = GROUP_BYTES * 16 // max(16, len(languages))  # a number for each word and language
 
+    def scored(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word the text, the size, and the score in each language; a piece of a long text at a time."""
+        model, made = shared.value, []
+        for group in words.groups(texts, 0):
+            w = analysed([piece for _, piece, _, _ in group], bits)
+            scores, end = np.empty((len(w.start), len(languages)), np.float32), w.start + w.size
+            for k in range(len(languages)):
+                sums = np.concatenate(([0.0], np.cumsum(model.trigrams[k][w.bucket], dtype=np.float64)))
+                scores[:, k] = sums[end] - sums[w.start]
+            scores -= scores.max(axis=1, keepdims=True)
+            allowed = model.scripts[w.script]
+            allowed[~allowed.any(axis=1)] = True
+            own = np.array([k for k, *_ in group], np.int64)
+            made.append((own[w.doc], w.size, np.where(allowed, np.maximum(scores, -30.0), -60.0)))
+        return tuple(np.concatenate(x) for x in zip(*made, strict=True))
+
+    def has_letter(text: bytes) -> bool:
+        return any(any(map(str.isalpha, piece.decode("utf-8", "replace"))) for _, piece, _, _ in words.pieces([text], 0))
+
     def label(texts: list[bytes]) -> list[tuple[str, float, list]]:
-        model = shared.value
         n = len(texts)
-        w = analysed(texts, bits)
         out: list[tuple[str, float, list]] = [(UNKNOWN, 0.0, [])] * n
-        if not len(w.start) or not languages:
+        if not n or not languages:
+            return out
+        doc, sizes, scores = scored(texts)
+        if not len(doc):
             return out
-        scores = np.empty((len(w.start), len(languages)), np.float32)
-        end = w.start + w.size
-        for k in range(len(languages)):
-            sums = np.concatenate(([0.0], np.cumsum(model.trigrams[k][w.bucket], dtype=np.float64)))
-            scores[:, k] = sums[end] - sums[w.start]
-        scores -= scores.max(axis=1, keepdims=True)
-        allowed = model.scripts[w.script]
-        allowed[~allowed.any(axis=1)] = True
-        scores = np.where(allowed, np.maximum(scores, -30.0), -60.0)
-        labels = viterbi(scores, w.doc, n, penalty)
+        labels = viterbi(scores, doc, n, penalty)
         new = np.ones(len(labels), bool)
-        new[1:] = (labels[1:] != labels[:-1]) | (w.doc[1:] != w.doc[:-1])
+        new[1:] = (labels[1:] != labels[:-1]) | (doc[1:] != doc[:-1])
         begin = np.flatnonzero(new)
         many = np.diff(np.concatenate((begin, [len(labels)])))
-        size = np.add.reduceat(w.size, begin)
-        weight = np.bincount(w.doc * len(languages) + labels, w.size, n * len(languages)).reshape(n, -1)
+        size = np.add.reduceat(sizes, begin)
+        weight = np.bincount(doc * len(languages) + labels, sizes, n * len(languages)).reshape(n, -1)
         best, total = weight.argmax(axis=1), weight.sum(axis=1)
         spans: list[list] = [[] for _ in range(n)]
-        for d, x, words, octets in zip(w.doc[begin].tolist(), labels[begin].tolist(), many.tolist(), size.tolist(), strict=True):
-            spans[d].append({"lang": languages[x], "words": words, "bytes": octets})
+        for d, x, many_words, octets in zip(doc[begin].tolist(), labels[begin].tolist(), many.tolist(), size.tolist(), strict=True):
+            spans[d].append({"lang": languages[x], "words": many_words, "bytes": octets})
         for d in np.flatnonzero(total).tolist():
-            if any(map(str.isalpha, texts[d].decode("utf-8", "replace"))):
+            if has_letter(texts[d]):
                 out[d] = (languages[best[d]], float(weight[d, best[d]] / total[d]), spans[d])
         return out
 

@@ -24,8 +24,8 @@ from spanwise.llm import common
 ROUNDS = 8
 #: Setting that holds the key. There is no default: who has the key can go back.
 KEY_SETTING = "spark.spanwise.pii.key"
-#: Values a task remembers the pseudonyms of.
-CACHE = 100_000
+#: Values a task remembers the pseudonyms of, and groups of digits of one run that are looked at together.
+CACHE, STRETCH = 100_000, 500
 
 
 def permuted(number: int, size: int, key: bytes, kind: str, back: bool = False) -> int:
@@ -248,9 +248,15 @@ class Pseudonyms(dict):
 def card_places(run: str) -> Iterator[tuple[int, int]]:
     """Where a card may be in a run of digit groups: 13 to 19 digits from the start of a group to the end of one.
 
-    The whole run comes first, then single groups, then the longer before the shorter ones.
+    The whole run comes first, then single groups, then the longer before the shorter ones; a run of very many groups is
+    looked at in overlapping stretches, one after the other.
     """
     groups = [m.span() for m in re.finditer(r"\d+", run)]
+    if len(groups) > 2 * STRETCH:
+        for at in range(0, len(groups), STRETCH):
+            some = groups[at : at + STRETCH + 19]
+            yield from ((some[0][0] + a, some[0][0] + b) for a, b in card_places(run[some[0][0] : some[-1][1]]))
+        return
     places = []
     for k, (start, _) in enumerate(groups):
         digits = 0
@@ -260,7 +266,7 @@ def card_places(run: str) -> Iterator[tuple[int, int]]:
                 break
             if digits >= 13:
                 places.append((j - k + 1 < len(groups), j > k, -digits, start, groups[j][1]))
-    return ((start, end) for *_, start, end in sorted(places))
+    yield from ((start, end) for *_, start, end in sorted(places))
 
 
 def replaced(text: str, known: Pseudonyms) -> tuple[str, list[tuple[str, int, int]]]:

@@ -28,6 +28,22 @@ SYMBOLS, WHITE = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 LEADING = bytes(b for b in range(256) if b & 0xC0 != 0x80)
 #: Documents whose rules are timed, at most, and partitions that they come from.
 SAMPLE, PARTITIONS = 400, 8
+#: Words from which on a text's windows are counted by numbers.
+LONG = 50_000
+
+
+def repeated_in_windows(words: list[bytes]) -> int:
+    """Words in windows found twice or more, by numbers for words and windows, which take less room than tuples."""
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(x, len(number)) for x in words), np.int64, len(words))
+    window = ids[: len(ids) - WINDOW + 1]
+    for k in range(1, WINDOW):
+        _, window = np.unique(window * len(number) + ids[k : len(ids) - WINDOW + 1 + k], return_inverse=True)
+    hit = np.bincount(window)[window] > 1
+    covered = np.zeros(len(ids), bool)
+    for k in range(WINDOW):
+        covered[k : k + len(hit)] |= hit
+    return int(covered.sum())
 
 
 class Document:
@@ -64,6 +80,8 @@ class Document:
     @cached_property
     def n_repeat_words(self) -> int:
         w = self.words
+        if len(w) > LONG:
+            return repeated_in_windows(w)
         windows = list(zip(*(w[k:] for k in range(WINDOW)), strict=False))
         if len(set(windows)) == len(windows):
             return 0

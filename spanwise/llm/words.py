@@ -67,7 +67,7 @@ def pieces(texts: Iterable[bytes], before: int, size: int = PIECE) -> Iterator[t
         while len(text) - at > size and (found := SPACE.search(text, at + size)):
             piece = b" ".join([*known, text[at : found.start()]])
             yield k, piece, len(known), False
-            at, known = found.start(), piece.split()[-before:]
+            at, known = found.start(), piece.split()[-before:] if before else []
         yield k, b" ".join([*known, text[at:]]) if at else text, len(known), True
 
 

@@ -25,6 +25,15 @@ def test_base_against_brute_force(table, request):
     assert want == sorted(repr(tuple(r)[:-1]) for r in quality.judge(docs).collect())
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_windows_of_long_texts(seed):
+    import random
+
+    rng = random.Random(seed)
+    words = [b"w%d" % rng.randrange(4 + 10 * (seed % 4)) for _ in range(rng.randrange(5, 300))]
+    assert quality.repeated_in_windows(words) == brute(" ".join(x.decode() for x in words))[4]
+
+
 def test_labels(spark, sf_dir, documents):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumnRenamed("doc_id", "id")
     rows = quality.judge(documents).join(labels, F.col("doc_id") == F.col("id")).collect()
