@@ -6,6 +6,7 @@ return sums as decimal(38,0); queries return them as longs, as their SQL does.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -17,6 +18,7 @@ from spanwise.functions import values
 from spanwise.operators import aggregates as agg
 from spanwise.operators import bandjoin, blocking, joins, workload
 from spanwise.plans import cost, experiments
+from spanwise.session import session_dir
 from spanwise.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -706,6 +708,39 @@ def bj_naive(spark, sf_dir):
     return bandjoin.band_aggregate(bandjoin.Side(a, "x", "x_payload"), bandjoin.Side(b, "y", "y_payload"), 30, strategy=bandjoin.NESTED)
 
 
+@query(f"WITH {BK} SELECT granularity, count(*) AS buckets, CAST(sum(n_b) AS BIGINT) AS n, CAST(sum(m_b) AS BIGINT) AS m, CAST(sum(work) AS BIGINT) AS work FROM bk WHERE granularity = 'fine' GROUP BY 1")
+def s_bucket_csv(spark, sf_dir):
+    """Bucket sizes written to CSV files and read again."""
+    path = f"{session_dir(spark)}/csv-{uuid.uuid4().hex}"
+    buckets(spark, sf_dir).filter("granularity = 'fine'").select("n_b", "m_b").write.option("header", True).csv(path)
+    read = tables.bucket_sizes(spark, path, "fine")
+    return read.groupBy("granularity").agg(F.count("*").alias("buckets"), *(agg.total(F.expr(x)).alias(k) for k, x in (("n", "n_b"), ("m", "m_b"), ("work", "n_b * m_b"))))
+
+
+@query("SELECT 175.0::DOUBLE AS lt_s, 0.112::DOUBLE AS rot_s, 7.41::DOUBLE AS ct_mb")
+def s_calibration(spark, sf_dir):
+    """A calibration written and read again."""
+    path = f"{session_dir(spark)}/calibration-{uuid.uuid4().hex}"
+    tables.write_calibration({"lt_s": cost.COMPARE, "rot_s": cost.ROTATE, "ct_mb": 7.41}, spark, path)
+    return tables.calibration(spark, path)
+
+
+@query(
+    f"WITH {BK}, c AS (SELECT n_b, m_b, {_naive_sql('naive', 'n_b', 'm_b')}, {_naive_sql('fixed', _INNER, _OUTER)} FROM bk WHERE granularity = 'coarse'), "
+    "r AS (SELECT n_b, m_b, '1-Naive' AS backend, naive_comparisons AS cmp_tot, naive_rotations AS he_rot FROM c UNION ALL SELECT n_b, m_b, '2-FixedOrient', fixed_comparisons, fixed_rotations FROM c) "
+    "SELECT n_b, m_b, backend, cmp_tot, he_rot, 'analytic' AS correct FROM r"
+)
+def s_results(spark, sf_dir):
+    """Counts of the layouts that compare value by value, added to a results file in two runs and read again."""
+    path = f"{session_dir(spark)}/results-{uuid.uuid4().hex}"
+    made = cost.naive_counts(buckets(spark, sf_dir).filter("granularity = 'coarse'"), SLOTS)
+    for backend, prefix in (("1-Naive", "naive"), ("2-FixedOrient", "fixed")):
+        run = made.select("n_b", "m_b", F.lit(backend).alias("backend"), F.col(f"{prefix}_comparisons").alias("cmp_tot"), F.col(f"{prefix}_rotations").alias("he_rot"), F.lit("analytic").alias("correct"))
+        tables.append_results(run, path)
+    read = spark.read.option("header", True).csv(path)
+    return read.select(*(F.col(c).cast("long") for c in ("n_b", "m_b")), "backend", *(F.col(c).cast("long") for c in ("cmp_tot", "he_rot")), "correct")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The block-keyed band join, and beside it what the cost model says of its buckets."""
     events, is_a, is_b = _clicks_and_purchases(spark, sf_dir)
