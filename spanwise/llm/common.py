@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanwise.session import session_dir, shared_dir  # noqa: F401
+
 #: Rows an Arrow batch may hold. Long texts make few-row batches heavy, so it is far below Spark's default.
 BATCH_ROWS = 512
 #: Bytes an Arrow batch may hold, where this Spark version knows the setting.
@@ -26,33 +26,6 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(value))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where that is unset, a temporary folder stands in for it if all runs on this machine; on a cluster it is an error, as
-    each executor would write to a disk of its own.
-    """
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.spanwise.shared", None)
-    if not set_dir:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = tempfile.TemporaryDirectory(prefix="spanwise-")
-        atexit.register(folder.cleanup)
-        set_dir = f"file://{folder.name}"
-        spark.conf.set("spark.spanwise.shared", set_dir)
-    return set_dir.rstrip("/")
-
-
-def session_dir(spark: SparkSession) -> str:
-    """This session's own part of the shared folder."""
-    name = spark.conf.get("spark.spanwise.session", None)
-    if not name:
-        name = uuid.uuid4().hex
-        spark.conf.set("spark.spanwise.session", name)
-    return f"{shared_dir(spark)}/spanwise/{name}"
-
-
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name, from stem, that df does not have."""
     taken, name = {c.lower() for c in df.columns}, f"__{stem}"
