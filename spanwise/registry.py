@@ -120,31 +120,45 @@ def a_sum(spark, sf_dir):
     return _li(spark, sf_dir).filter(p.lt("qty", F.lit(24))).agg(agg.total(F.col("price")).alias("total"))
 
 
-@query(f"WITH {LI} SELECT l_returnflag, CAST(sum(qty) AS BIGINT) AS sum_qty, count(qty) AS count_qty, CAST(sum(qty) AS DOUBLE) / count(qty) AS avg_qty FROM li GROUP BY 1")
+@query(
+    f"WITH {LI} SELECT l_returnflag, CAST(sum(qty) AS BIGINT) AS sum_qty, count(qty) AS count_qty, CAST(sum(qty) AS DOUBLE) / count(qty) AS avg_qty FROM li "
+    f"GROUP BY 1"
+)
 def a_avg_parts(spark, sf_dir):
     return _li(spark, sf_dir).groupBy("l_returnflag").agg(*agg.average_parts("qty", F.col("qty")))
 
 
-@query(f"WITH {LI} SELECT d.f AS l_returnflag, count(l.l_orderkey) AS n FROM (VALUES ('A'), ('N'), ('R'), ('Z')) d(f) LEFT JOIN li l ON l.l_returnflag = d.f GROUP BY 1")
+@query(
+    f"WITH {LI} SELECT d.f AS l_returnflag, count(l.l_orderkey) AS n FROM (VALUES ('A'), ('N'), ('R'), ('Z')) d(f) LEFT JOIN li l ON l.l_returnflag = d.f "
+    f"GROUP BY 1"
+)
 def a_group1(spark, sf_dir):
     return agg.group_by_domain(_li(spark, sf_dir), {"l_returnflag": ["A", "N", "R", "Z"]}, {"n": F.count("*")}).drop("domain_order")
 
 
 @query(
-    f"WITH {LI}, d AS (SELECT a.k * 3 + b.k AS domain_order, a.f AS l_returnflag, b.s AS l_linestatus FROM (VALUES (0,'A'),(1,'N'),(2,'R')) a(k,f), (VALUES (0,'F'),(1,'O'),(2,'X')) b(k,s)) "
-    "SELECT CAST(d.domain_order AS BIGINT) AS domain_order, d.l_returnflag, d.l_linestatus, count(l.l_orderkey) AS n, CAST(coalesce(sum(l.qty), 0) AS BIGINT) AS total "
+    f"WITH {LI}, d AS (SELECT a.k * 3 + b.k AS domain_order, a.f AS l_returnflag, b.s AS l_linestatus "
+    f"FROM (VALUES (0,'A'),(1,'N'),(2,'R')) a(k,f), (VALUES (0,'F'),(1,'O'),(2,'X')) b(k,s)) "
+    "SELECT CAST(d.domain_order AS BIGINT) AS domain_order, d.l_returnflag, d.l_linestatus, count(l.l_orderkey) AS n, "
+    "CAST(coalesce(sum(l.qty), 0) AS BIGINT) AS total "
     "FROM d LEFT JOIN li l ON l.l_returnflag = d.l_returnflag AND l.l_linestatus = d.l_linestatus GROUP BY 1, 2, 3"
 )
 def a_group2_domain(spark, sf_dir):
     return agg.group_by_domain(_li(spark, sf_dir), {"l_returnflag": ["A", "N", "R"], "l_linestatus": ["F", "O", "X"]}, {"n": F.count("*"), "total": F.sum("qty")})
 
 
-@query(f"WITH {LI} SELECT CAST(sum(CASE WHEN disc >= 5 THEN price ELSE 0 END) AS BIGINT) AS high, CAST(sum(CASE WHEN disc < 5 THEN price ELSE 0 END) AS BIGINT) AS low FROM li")
+@query(
+    f"WITH {LI} SELECT CAST(sum(CASE WHEN disc >= 5 THEN price ELSE 0 END) AS BIGINT) AS high, CAST(sum(CASE WHEN disc < 5 THEN price ELSE 0 "
+    f"END) AS BIGINT) AS low FROM li"
+)
 def a_cond_sum(spark, sf_dir):
     return _li(spark, sf_dir).agg(agg.sum_if(F.col("disc") >= 5, F.col("price")).alias("high"), agg.sum_if(F.col("disc") < 5, F.col("price")).alias("low"))
 
 
-@query(f"WITH {LI} SELECT num, den, CAST(num AS DOUBLE) / den AS share FROM (SELECT CAST(sum(CASE WHEN disc >= 5 THEN price ELSE 0 END) AS BIGINT) AS num, CAST(sum(price) AS BIGINT) AS den FROM li)")
+@query(
+    f"WITH {LI} SELECT num, den, CAST(num AS DOUBLE) / den AS share FROM (SELECT CAST(sum(CASE WHEN disc >= 5 THEN price ELSE 0 END) AS BIGINT) AS num, "
+    f"CAST(sum(price) AS BIGINT) AS den FROM li)"
+)
 def a_ratio(spark, sf_dir):
     sums = _li(spark, sf_dir).agg(agg.sum_if(F.col("disc") >= 5, F.col("price")).alias("num"), agg.total(F.col("price")).alias("den"))
     return sums.withColumn("share", agg.ratio(F.col("num"), F.col("den")))
@@ -179,7 +193,10 @@ def j_flag_key(spark, sf_dir):
     return joined.groupBy("promo").agg(F.count("*").alias("n"), F.sum("price").alias("price"))
 
 
-@query("SELECT r_name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+@query(
+    "SELECT r_name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey "
+    "JOIN region ON n_regionkey = r_regionkey GROUP BY 1"
+)
 def j_star(spark, sf_dir):
     read = lambda name: tables.table(spark, sf_dir, name)
     joined = joins.star_join(read("orders"), (read("customer"), "o_custkey", "c_custkey"), (read("nation"), "c_nationkey", "n_nationkey"), (read("region"), "n_regionkey", "r_regionkey"))
@@ -187,7 +204,8 @@ def j_star(spark, sf_dir):
 
 
 @query(
-    "SELECT n1.n_name AS c_n_name, n2.n_name AS s_n_name, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation n1 ON c_nationkey = n1.n_nationkey "
+    "SELECT n1.n_name AS c_n_name, n2.n_name AS s_n_name, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
+    "JOIN customer ON o_custkey = c_custkey JOIN nation n1 ON c_nationkey = n1.n_nationkey "
     "JOIN supplier ON l_suppkey = s_suppkey JOIN nation n2 ON s_nationkey = n2.n_nationkey GROUP BY 1, 2"
 )
 def j_dual_role(spark, sf_dir):
@@ -199,7 +217,10 @@ def j_dual_role(spark, sf_dir):
     return joined.groupBy("c_n_name", "s_n_name").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE (p_size <= 10 AND l_quantity < 10) OR (p_size > 40 AND l_quantity > 40) OR (p_brand = 'Brand#12' AND l_quantity < 20)")
+@query(
+    "SELECT count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey "
+    "WHERE (p_size <= 10 AND l_quantity < 10) OR (p_size > 40 AND l_quantity > 40) OR (p_brand = 'Brand#12' AND l_quantity < 20)"
+)
 def j_or_branches(spark, sf_dir):
     conditions = [(F.col("p_size") <= 10) & (F.col("l_quantity") < 10), (F.col("p_size") > 40) & (F.col("l_quantity") > 40), (F.col("p_brand") == "Brand#12") & (F.col("l_quantity") < 20)]
     return joins.branches_join(tables.table(spark, sf_dir, "lineitem"), tables.table(spark, sf_dir, "part"), "l_partkey", "p_partkey", conditions).agg(F.count("*").alias("n"))
@@ -231,8 +252,14 @@ ORACLES |= {
       CAST(coalesce(sum(price*(100-disc)*(100+tax)),0) AS BIGINT) AS sum_charge, CAST(coalesce(sum(disc),0) AS BIGINT) AS sum_disc, count(l.l_orderkey) AS n
       FROM d LEFT JOIN (SELECT * FROM li WHERE shipdate <= DATE '1998-09-02') l ON l.l_returnflag = d.l_returnflag AND l.l_linestatus = d.l_linestatus GROUP BY 1, 2)
      SELECT *, CAST(sum_qty AS DOUBLE)/nullif(n,0) AS avg_qty, CAST(sum_base AS DOUBLE)/nullif(n,0) AS avg_base, CAST(sum_disc AS DOUBLE)/nullif(n,0) AS avg_disc FROM g""",
-    "q4_exists": f"WITH {LI}, o AS (SELECT * FROM orders WHERE {_QUARTER} AND EXISTS (SELECT 1 FROM li WHERE l_orderkey = o_orderkey AND commitdate < receiptdate)) SELECT d.o_orderpriority, count(o_orderkey) AS n FROM {_PRIORITIES} LEFT JOIN o ON o.o_orderpriority = d.o_orderpriority GROUP BY 1",
-    "q4_join_count": f"WITH {LI}, o AS (SELECT * FROM orders JOIN li ON l_orderkey = o_orderkey AND commitdate < receiptdate WHERE {_QUARTER}) SELECT d.o_orderpriority, count(o_orderkey) AS n FROM {_PRIORITIES} LEFT JOIN o ON o.o_orderpriority = d.o_orderpriority GROUP BY 1",
+    "q4_exists": (
+        f"WITH {LI}, o AS (SELECT * FROM orders WHERE {_QUARTER} AND EXISTS (SELECT 1 FROM li WHERE l_orderkey = o_orderkey AND commitdate < receiptdate)) "
+        f"SELECT d.o_orderpriority, count(o_orderkey) AS n FROM {_PRIORITIES} LEFT JOIN o ON o.o_orderpriority = d.o_orderpriority GROUP BY 1"
+    ),
+    "q4_join_count": (
+        f"WITH {LI}, o AS (SELECT * FROM orders JOIN li ON l_orderkey = o_orderkey AND commitdate < receiptdate WHERE {_QUARTER}) SELECT d.o_orderpriority, "
+        f"count(o_orderkey) AS n FROM {_PRIORITIES} LEFT JOIN o ON o.o_orderpriority = d.o_orderpriority GROUP BY 1"
+    ),
     "q6": f"WITH {LI} SELECT CAST(coalesce(sum(price * disc), 0) AS BIGINT) AS revenue {_FORECAST}",
     "q6_net": f"WITH {LI} SELECT CAST(coalesce(sum(price * (100 - disc) // 100), 0) AS BIGINT) AS revenue {_FORECAST}",
     "q8": f"""WITH {LI}, g AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(sum(CASE WHEN n2.n_name = 'NATION_9' THEN price*(100-disc) ELSE 0 END) AS BIGINT) AS num, CAST(sum(price*(100-disc)) AS BIGINT) AS den
@@ -241,10 +268,25 @@ ORACLES |= {
      WHERE p_type = 'ECONOMY' AND r_name = 'AMERICA' AND CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' GROUP BY 1) SELECT *, CAST(num AS DOUBLE) / den AS share FROM g""",
     "q12": f"""WITH {LI}, j AS (SELECT shipmode, o_orderpriority IN ('1-URGENT','2-HIGH') AS urgent FROM li JOIN orders ON l_orderkey = o_orderkey WHERE commitdate < receiptdate AND shipdate < commitdate AND receiptdate >= DATE '1997-01-01' AND receiptdate < DATE '1998-01-01')
      SELECT d.shipmode, CAST(coalesce(sum(CAST(urgent AS BIGINT)),0) AS BIGINT) AS high, CAST(coalesce(sum(CAST(NOT urgent AS BIGINT)),0) AS BIGINT) AS low FROM (VALUES ('MAIL'),('SHIP')) d(shipmode) LEFT JOIN j ON j.shipmode = d.shipmode GROUP BY 1""",
-    "q14": f"WITH {LI}, g AS (SELECT CAST(coalesce(sum(CASE WHEN p_type LIKE 'PROMO%' THEN price*(100-disc) END),0) AS BIGINT) AS num, CAST(coalesce(sum(price*(100-disc)),0) AS BIGINT) AS den FROM li JOIN part ON l_partkey = p_partkey WHERE shipdate >= DATE '1996-09-01' AND shipdate < DATE '1996-10-01') SELECT *, CAST(num AS DOUBLE) / nullif(den, 0) AS share FROM g",
-    "q17_global_avg": f"WITH {LI}, {PA} SELECT CAST(coalesce(sum(price),0) AS BIGINT) AS sum_price, count(*) AS n FROM li JOIN pa ON l_partkey = p_partkey WHERE p_brand = 'Brand#23' AND container = 'MED BOX' AND 10 * qty < 2 * (SELECT sum(qty) // count(qty) FROM li)",
-    "q17_correlated": f"WITH {LI} SELECT CAST(coalesce(sum(price),0) AS BIGINT) AS sum_price, count(*) AS n FROM li JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#23' AND 5 * qty * (SELECT count(qty) FROM li i WHERE i.l_partkey = p_partkey) < (SELECT sum(qty) FROM li i WHERE i.l_partkey = p_partkey)",
-    "q17_container": f"WITH {LI}, {PA} SELECT CAST(coalesce(sum(price),0) AS BIGINT) AS sum_price, count(*) AS n FROM li JOIN pa ON l_partkey = p_partkey WHERE p_brand = 'Brand#23' AND container = 'MED BOX' AND 5 * qty * (SELECT count(qty) FROM li i WHERE i.l_partkey = p_partkey) < (SELECT sum(qty) FROM li i WHERE i.l_partkey = p_partkey)",
+    "q14": (
+        f"WITH {LI}, g AS (SELECT CAST(coalesce(sum(CASE WHEN p_type LIKE 'PROMO%' THEN price*(100-disc) END),0) AS BIGINT) AS num, "
+        f"CAST(coalesce(sum(price*(100-disc)),0) AS BIGINT) AS den FROM li JOIN part ON l_partkey = p_partkey "
+        f"WHERE shipdate >= DATE '1996-09-01' AND shipdate < DATE '1996-10-01') SELECT *, CAST(num AS DOUBLE) / nullif(den, 0) AS share FROM g"
+    ),
+    "q17_global_avg": (
+        f"WITH {LI}, {PA} SELECT CAST(coalesce(sum(price),0) AS BIGINT) AS sum_price, count(*) AS n FROM li JOIN pa ON l_partkey = p_partkey "
+        f"WHERE p_brand = 'Brand#23' AND container = 'MED BOX' AND 10 * qty < 2 * (SELECT sum(qty) // count(qty) FROM li)"
+    ),
+    "q17_correlated": (
+        f"WITH {LI} SELECT CAST(coalesce(sum(price),0) AS BIGINT) AS sum_price, count(*) AS n FROM li JOIN part ON l_partkey = p_partkey "
+        f"WHERE p_brand = 'Brand#23' AND 5 * qty * (SELECT count(qty) FROM li i WHERE i.l_partkey = p_partkey) < (SELECT sum(qty) FROM li i "
+        f"WHERE i.l_partkey = p_partkey)"
+    ),
+    "q17_container": (
+        f"WITH {LI}, {PA} SELECT CAST(coalesce(sum(price),0) AS BIGINT) AS sum_price, count(*) AS n FROM li JOIN pa ON l_partkey = p_partkey "
+        f"WHERE p_brand = 'Brand#23' AND container = 'MED BOX' AND 5 * qty * (SELECT count(qty) FROM li i WHERE i.l_partkey = p_partkey) < (SELECT sum(qty) "
+        f"FROM li i WHERE i.l_partkey = p_partkey)"
+    ),
     "q19": f"""WITH {LI}, {PA} SELECT CAST(coalesce(sum(price*(100-disc)),0) AS BIGINT) AS revenue, count(*) AS n FROM li JOIN pa ON l_partkey = p_partkey WHERE shipmode IN ('AIR','REG AIR') AND shipinstruct = 'DELIVER IN PERSON' AND (
      (p_brand IN ('Brand#12','Brand#1','Brand#2','Brand#3') AND container IN ('SM CASE','SM BOX','SM PACK','SM PKG') AND qty BETWEEN 1 AND 11 AND p_size BETWEEN 1 AND 15) OR
      (p_brand IN ('Brand#23','Brand#4','Brand#5','Brand#6') AND container IN ('MED BAG','MED BOX','MED PKG','MED PACK') AND qty BETWEEN 10 AND 20 AND p_size BETWEEN 1 AND 25) OR
@@ -296,7 +338,10 @@ def bj_two_tables(spark, sf_dir):
     return bandjoin.band_aggregate(*_sides(spark, sf_dir), 5, ["user_id"], ["user_id"])
 
 
-@query(f"WITH {EV} SELECT a.event_id AS a_id, b.event_id AS b_id FROM ev a JOIN ev b ON a.user_id = b.user_id AND abs(a.day - b.day) <= 3 WHERE a.event_type = 'click' AND b.event_type = 'purchase'")
+@query(
+    f"WITH {EV} SELECT a.event_id AS a_id, b.event_id AS b_id FROM ev a JOIN ev b ON a.user_id = b.user_id AND abs(a.day - b.day) <= 3 "
+    f"WHERE a.event_type = 'click' AND b.event_type = 'purchase'"
+)
 def bj_pairs(spark, sf_dir):
     a, b = _sides(spark, sf_dir)
     left = a.rows.select(F.col("event_id").alias("a_id"), F.col("user_id").alias("a_user"), F.col("day").alias("a_day"))
@@ -312,7 +357,8 @@ def bj_auto(spark, sf_dir):
 
 
 @query(
-    f"WITH {EV} SELECT pairs, CAST(pairs AS DOUBLE) / ((SELECT count(*) FROM ev WHERE event_type = 'click') * (SELECT count(*) FROM ev WHERE event_type = 'purchase')) AS rate "
+    f"WITH {EV} SELECT pairs, CAST(pairs AS DOUBLE) / ((SELECT count(*) FROM ev WHERE event_type = 'click') * (SELECT count(*) FROM ev "
+    f"WHERE event_type = 'purchase')) AS rate "
     "FROM (SELECT count(*) AS pairs FROM ev a JOIN ev b ON abs(a.day - b.day) <= 3 WHERE a.event_type = 'click' AND b.event_type = 'purchase')"
 )
 def bj_match_rate(spark, sf_dir):
@@ -323,7 +369,8 @@ def bj_match_rate(spark, sf_dir):
 
 
 @query(
-    f"WITH {EV}, c AS (SELECT a.event_id AS a_id, a.payload, count(*) AS n FROM ev a JOIN ev b ON a.user_id = b.user_id AND abs(a.day - b.day) <= 3 WHERE a.event_type = 'click' AND b.event_type = 'purchase' GROUP BY 1, 2) "
+    f"WITH {EV}, c AS (SELECT a.event_id AS a_id, a.payload, count(*) AS n FROM ev a JOIN ev b ON a.user_id = b.user_id AND abs(a.day - b.day) <= 3 "
+    f"WHERE a.event_type = 'click' AND b.event_type = 'purchase' GROUP BY 1, 2) "
     "SELECT count(*) AS matched, CAST(sum(n) AS BIGINT) AS pairs, CAST(sum(n * payload) AS BIGINT) AS sum_a, max(n) AS most FROM c"
 )
 def bj_per_outer(spark, sf_dir):
@@ -372,7 +419,8 @@ _SOUNDS = (("AUTOMOBILE", "A351"), ("BUILDING", "B435"), ("FURNITURE", "F653"),
 
 @query(
     "WITH s(name, sound) AS (VALUES " + ", ".join(map(str, _SOUNDS)) + "), c AS (SELECT c_custkey, sound, lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS postcode, CAST(year(DATE '1950-01-01' + CAST(c_custkey % 9000 AS INTEGER)) AS VARCHAR) AS born "
-    "FROM customer LEFT JOIN s ON c_mktsegment = name) SELECT c_custkey, born AS coarse, sound || '|' || born AS medium, substr(postcode, 1, 3) || '|' || sound || '|' || born AS fine FROM c"
+    "FROM customer LEFT JOIN s ON c_mktsegment = name) "
+    "SELECT c_custkey, born AS coarse, sound || '|' || born AS medium, substr(postcode, 1, 3) || '|' || sound || '|' || born AS fine FROM c"
 )
 def bk_soundex(spark, sf_dir):
     who = tables.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("name"), F.lpad(F.col("c_custkey").cast("string"), 5, "0").alias("postcode"), F.date_add(F.lit("1950-01-01").cast("date"), (F.col("c_custkey") % 9000).cast("int")).alias("born"))
@@ -396,7 +444,10 @@ _PRICE = "(2 * {0} * 175.0::DOUBLE + 15 * 0.112::DOUBLE * {0})"
 _BIG = 1 << 62
 
 
-@query(f"WITH {BK} SELECT granularity, bucket, {_NB} AS batches, 2 * {_NB} AS comparisons, round({_PRICE.format(_NB)}, 6) AS cost, {_INNER} <= {SLOTS // 2} AS feasible FROM bk")
+@query(
+    f"WITH {BK} SELECT granularity, bucket, {_NB} AS batches, 2 * {_NB} AS comparisons, round({_PRICE.format(_NB)}, 6) AS cost, {_INNER} <= {SLOTS // 2} AS "
+    f"feasible FROM bk"
+)
 def pl_tiled_cost(spark, sf_dir):
     made = cost.tiled(buckets(spark, sf_dir), SLOTS)
     return made.select("granularity", "bucket", "batches", "comparisons", F.round("cost_minmax", 6).alias("cost"), "feasible")
@@ -422,7 +473,10 @@ def _naive_sql(prefix: str, outer: str, inner: str) -> str:
     up = f"(CASE WHEN {part} <= 1 THEN 0 ELSE length(bin(CAST({part} - 1 AS BIGINT))) END)"
     chunks = f"({inner} // {SLOTS} + CASE WHEN {part} > 0 THEN 1 ELSE 0 END)"
     turns = f"CAST({outer} * ({spread} + {inner} // {SLOTS} * {spread} + CASE WHEN {part} > 0 THEN {up} + 1 ELSE 0 END) AS BIGINT)"
-    return f"2 * {outer} * {chunks} AS {prefix}_comparisons, {outer} * {chunks} AS {prefix}_products, CASE WHEN {part} > 0 THEN {outer} ELSE 0 END AS {prefix}_plain_products, {turns} AS {prefix}_rotations, {turns} AS {prefix}_additions"
+    return (
+        f"2 * {outer} * {chunks} AS {prefix}_comparisons, {outer} * {chunks} AS {prefix}_products, CASE WHEN {part} > 0 THEN {outer} ELSE 0 "
+        f"END AS {prefix}_plain_products, {turns} AS {prefix}_rotations, {turns} AS {prefix}_additions"
+    )
 
 
 @query(f"WITH {BK} SELECT granularity, bucket, {_naive_sql('naive', 'n_b', 'm_b')}, {_naive_sql('fixed', _INNER, _OUTER)} FROM bk")
@@ -431,7 +485,8 @@ def pl_naive_counts(spark, sf_dir):
 
 
 @query(
-    f"WITH {BK}, x AS (SELECT *, nullif(least({_FA}, {_FB}), {_BIG}) AS nb FROM bk) SELECT granularity, bucket, n_b + (m_b + {SLOTS - 1}) // {SLOTS} + 6 AS naive_resident, "
+    f"WITH {BK}, x AS (SELECT *, nullif(least({_FA}, {_FB}), {_BIG}) AS nb FROM bk) "
+    f"SELECT granularity, bucket, n_b + (m_b + {SLOTS - 1}) // {SLOTS} + 6 AS naive_resident, "
     f"{_INNER} + ({_OUTER} + {SLOTS - 1}) // {SLOTS} + 6 AS fixed_resident, 7 + 2 * nb AS tiled_resident, 7 + nb AS fused_resident FROM x"
 )
 def pl_memory(spark, sf_dir):
@@ -447,16 +502,25 @@ def _sweep_sql() -> str:
         f"SELECT granularity, {s} AS slots, CAST(sum({_batches_sql(_OUTER, _INNER, s)}) AS BIGINT) AS batches, CAST(sum({_OUTER} * (({_INNER} + {s - 1}) // {s})) AS BIGINT) AS vectors FROM bk GROUP BY 1" for s in _SLOTS
     )
     factors = ", ".join(f"({f}::DOUBLE)" for f in _FACTORS)
-    return f"{BK}, t AS ({each}), sw AS (SELECT granularity, slots, batches, factor, 2 * batches AS comparisons, 2 * batches * (factor * 175.0) + batches * (15 * 0.112::DOUBLE) AS tiled, 2 * vectors * (factor * 175.0) AS naive FROM t, (VALUES {factors}) f(factor))"
+    return (
+        f"{BK}, t AS ({each}), sw AS (SELECT granularity, slots, batches, factor, 2 * batches AS comparisons, 2 * batches * (factor * 175.0) + batches * (15 * "
+        f"0.112::DOUBLE) AS tiled, 2 * vectors * (factor * 175.0) AS naive FROM t, (VALUES {factors}) f(factor))"
+    )
 
 
-@query(f"WITH {_sweep_sql()} SELECT granularity, slots, factor, batches, comparisons, round(tiled, 4) AS tiled, round(naive, 4) AS naive, round(naive / tiled, 6) AS speedup FROM sw")
+@query(
+    f"WITH {_sweep_sql()} SELECT granularity, slots, factor, batches, comparisons, round(tiled, 4) AS tiled, round(naive, 4) AS naive, "
+    f"round(naive / tiled, 6) AS speedup FROM sw"
+)
 def pl_sweep(spark, sf_dir):
     made = experiments.sweep(buckets(spark, sf_dir), _SLOTS, _FACTORS)
     return made.select("granularity", "slots", "factor", "batches", "comparisons", F.round("tiled", 4).alias("tiled"), F.round("naive", 4).alias("naive"), F.round("speedup", 6).alias("speedup"))
 
 
-@query(f"WITH {_sweep_sql()} SELECT slots, factor, granularity, round(tiled, 4) AS tiled FROM (SELECT *, row_number() OVER (PARTITION BY slots, factor ORDER BY tiled, granularity) AS k FROM sw) WHERE k = 1")
+@query(
+    f"WITH {_sweep_sql()} SELECT slots, factor, granularity, round(tiled, 4) AS tiled "
+    f"FROM (SELECT *, row_number() OVER (PARTITION BY slots, factor ORDER BY tiled, granularity) AS k FROM sw) WHERE k = 1"
+)
 def pl_winner(spark, sf_dir):
     return experiments.winners(experiments.sweep(buckets(spark, sf_dir), _SLOTS, _FACTORS)).select("slots", "factor", "granularity", F.round("tiled", 4).alias("tiled"))
 
@@ -465,8 +529,12 @@ _TINY = f"n_b * m_b < {SLOTS}"
 
 
 @query(
-    f"WITH {BK}, s AS (SELECT granularity, count(*) FILTER ({_TINY}) AS tiny, count(*) FILTER (NOT {_TINY}) AS large, CAST(coalesce(sum(work) FILTER ({_TINY}), 0) AS BIGINT) AS tiny_pairs, CAST(coalesce(sum({_NB}) FILTER (NOT {_TINY}), 0) AS BIGINT) AS large_batches FROM bk GROUP BY 1) "
-    f"SELECT granularity, gamma, tiny, large, (tiny_pairs + {SLOTS - 1}) // {SLOTS} AS packed, round(((tiny_pairs + {SLOTS - 1}) // {SLOTS}) * (350.0::DOUBLE + gamma * 0.112::DOUBLE) + (2 * large_batches * 175.0::DOUBLE + large_batches * 1.68::DOUBLE), 4) AS cost_packed, round(tiny * 351.68::DOUBLE + (2 * large_batches * 175.0::DOUBLE + large_batches * 1.68::DOUBLE), 4) AS cost_alone "
+    f"WITH {BK}, s AS (SELECT granularity, count(*) FILTER ({_TINY}) AS tiny, count(*) FILTER (NOT {_TINY}) AS large, "
+    f"CAST(coalesce(sum(work) FILTER ({_TINY}), 0) AS BIGINT) AS tiny_pairs, CAST(coalesce(sum({_NB}) FILTER (NOT {_TINY}), 0) AS BIGINT) AS large_batches "
+    f"FROM bk GROUP BY 1) "
+    f"SELECT granularity, gamma, tiny, large, (tiny_pairs + {SLOTS - 1}) // {SLOTS} AS packed, round(((tiny_pairs + {SLOTS - 1}) // {SLOTS}) * "
+    f"(350.0::DOUBLE + gamma * 0.112::DOUBLE) + (2 * large_batches * 175.0::DOUBLE + large_batches * 1.68::DOUBLE), 4) AS cost_packed, "
+    f"round(tiny * 351.68::DOUBLE + (2 * large_batches * 175.0::DOUBLE + large_batches * 1.68::DOUBLE), 4) AS cost_alone "
     "FROM s, (VALUES (0),(1),(5),(15),(30)) g(gamma)"
 )
 def pl_copack(spark, sf_dir):
@@ -475,8 +543,11 @@ def pl_copack(spark, sf_dir):
 
 
 @query(
-    f"WITH {BK}, s AS (SELECT granularity, {_INNER} AS inner_, CAST(sum(work) AS BIGINT) AS pairs, count(*) AS buckets FROM bk WHERE {_TINY} GROUP BY 1, 2), g AS (SELECT granularity, CAST(sum(pairs) AS BIGINT) AS pairs, CAST(sum(buckets) AS BIGINT) AS buckets, count(*) AS shapes, CAST(sum((pairs + {SLOTS - 1}) // {SLOTS}) AS BIGINT) AS by_shape FROM s GROUP BY 1) "
-    f"SELECT granularity, buckets, shapes, pairs, by_shape, (pairs + {SLOTS - 1}) // {SLOTS} AS greedy, round(CAST(pairs AS DOUBLE) / (by_shape * {SLOTS}), 9) AS by_shape_used FROM g"
+    f"WITH {BK}, s AS (SELECT granularity, {_INNER} AS inner_, CAST(sum(work) AS BIGINT) AS pairs, count(*) AS buckets FROM bk WHERE {_TINY} "
+    f"GROUP BY 1, 2), g AS (SELECT granularity, CAST(sum(pairs) AS BIGINT) AS pairs, CAST(sum(buckets) AS BIGINT) AS buckets, count(*) AS shapes, "
+    f"CAST(sum((pairs + {SLOTS - 1}) // {SLOTS}) AS BIGINT) AS by_shape FROM s GROUP BY 1) "
+    f"SELECT granularity, buckets, shapes, pairs, by_shape, (pairs + {SLOTS - 1}) // {SLOTS} AS greedy, "
+    f"round(CAST(pairs AS DOUBLE) / (by_shape * {SLOTS}), 9) AS by_shape_used FROM g"
 )
 def pl_grouping(spark, sf_dir):
     return experiments.grouping(buckets(spark, sf_dir), SLOTS).select("granularity", "buckets", "shapes", "pairs", "by_shape", "greedy", F.round("by_shape_used", 9).alias("by_shape_used"))
@@ -501,11 +572,18 @@ _CROSS = "CAST(CAST('0x' || substr(md5(bucket), 1, 8) AS BIGINT) % 4 AS INTEGER)
 
 
 def _classes_sql(cls: str, source: str = "bk") -> str:
-    return f"cl AS (SELECT *, {cls} AS class FROM {source}), cc AS (SELECT granularity, class, CAST(coalesce(sum(work) FILTER ({_TINY}), 0) AS BIGINT) AS tiny_pairs, CAST(coalesce(sum({_NB}) FILTER (NOT {_TINY}), 0) AS BIGINT) AS large_batches FROM cl GROUP BY 1, 2)"
+    return (
+        f"cl AS (SELECT *, {cls} AS class FROM {source}), cc AS (SELECT granularity, class, "
+        f"CAST(coalesce(sum(work) FILTER ({_TINY}), 0) AS BIGINT) AS tiny_pairs, CAST(coalesce(sum({_NB}) FILTER (NOT {_TINY}), 0) AS BIGINT) AS large_batches "
+        f"FROM cl GROUP BY 1, 2)"
+    )
 
 
 _PACKED = f"((tiny_pairs + {SLOTS - 1}) // {SLOTS})"
-_CC_OUT = f"SELECT granularity, class, tiny_pairs, large_batches, {_PACKED} AS packed, round({_PACKED} * (350.0::DOUBLE + 5 * 0.112::DOUBLE) + large_batches * 351.68::DOUBLE, 4) AS seconds FROM cc"
+_CC_OUT = (
+    f"SELECT granularity, class, tiny_pairs, large_batches, {_PACKED} AS packed, round({_PACKED} * (350.0::DOUBLE + 5 * 0.112::DOUBLE) + large_batches * "
+    f"351.68::DOUBLE, 4) AS seconds FROM cc"
+)
 
 
 def _classed(classed: DataFrame) -> DataFrame:
@@ -519,7 +597,10 @@ def pl_predclass(spark, sf_dir):
     return _classed(experiments.crosscut(buckets(spark, sf_dir), 4))
 
 
-@query(f"WITH {BK}, {_classes_sql('CAST(least(3, (row_number() OVER (PARTITION BY granularity ORDER BY work DESC, substr(md5(bucket), 1, 3), bucket) - 1) * 4 // count(*) OVER (PARTITION BY granularity)) AS INTEGER)')} {_CC_OUT}")
+@query(
+    f"WITH {BK}, "
+    f"{_classes_sql('CAST(least(3, (row_number() OVER (PARTITION BY granularity ORDER BY work DESC, substr(md5(bucket), 1, 3), bucket) - 1) * 4 // count(*) OVER (PARTITION BY granularity)) AS INTEGER)')} {_CC_OUT}"
+)
 def pl_predclass_aligned(spark, sf_dir):
     return _classed(experiments.aligned(buckets(spark, sf_dir), 4))
 
@@ -533,10 +614,19 @@ def pl_predclass_proportional(spark, sf_dir):
 
 
 @query(
-    f"WITH RECURSIVE {BK}, {_classes_sql(_CROSS)}, n AS (SELECT granularity, tiny_pairs, row_number() OVER (PARTITION BY granularity ORDER BY class) AS k, count(*) OVER (PARTITION BY granularity) AS classes FROM cc), "
-    f"w AS (SELECT granularity, 0::BIGINT AS k, 0::BIGINT AS pool, 0::BIGINT AS vectors, 0::BIGINT AS merges FROM n WHERE k = 1 UNION ALL SELECT w.granularity, n.k, CASE WHEN w.pool > 0 AND ceil(w.pool / {SLOTS}.0) + ceil(n.tiny_pairs / {SLOTS}.0) > ceil((w.pool + n.tiny_pairs) / {SLOTS}.0) THEN w.pool + n.tiny_pairs ELSE n.tiny_pairs END, "
-    f"CASE WHEN w.pool > 0 AND ceil(w.pool / {SLOTS}.0) + ceil(n.tiny_pairs / {SLOTS}.0) > ceil((w.pool + n.tiny_pairs) / {SLOTS}.0) THEN w.vectors ELSE w.vectors + CAST(ceil(w.pool / {SLOTS}.0) AS BIGINT) END, w.merges + CASE WHEN w.pool > 0 AND ceil(w.pool / {SLOTS}.0) + ceil(n.tiny_pairs / {SLOTS}.0) > ceil((w.pool + n.tiny_pairs) / {SLOTS}.0) THEN 1 ELSE 0 END FROM w JOIN n ON n.granularity = w.granularity AND n.k = w.k + 1) "
-    f"SELECT w.granularity, CAST(n.classes AS INTEGER) AS classes, a.apart, w.vectors + CAST(ceil(w.pool / {SLOTS}.0) AS BIGINT) AS merged, w.merges FROM w JOIN n ON n.granularity = w.granularity AND n.k = w.k AND n.k = n.classes JOIN (SELECT granularity, CAST(sum((tiny_pairs + {SLOTS - 1}) // {SLOTS}) AS BIGINT) AS apart FROM cc GROUP BY 1) a ON a.granularity = w.granularity"
+    f"WITH RECURSIVE {BK}, {_classes_sql(_CROSS)}, "
+    f"n AS (SELECT granularity, tiny_pairs, row_number() OVER (PARTITION BY granularity ORDER BY class) AS k, count(*) OVER (PARTITION BY granularity) AS "
+    f"classes FROM cc), "
+    f"w AS (SELECT granularity, 0::BIGINT AS k, 0::BIGINT AS pool, 0::BIGINT AS vectors, 0::BIGINT AS merges FROM n WHERE k = 1 UNION ALL "
+    f"SELECT w.granularity, n.k, CASE WHEN w.pool > 0 AND ceil(w.pool / {SLOTS}.0) + ceil(n.tiny_pairs / {SLOTS}.0) > ceil((w.pool + n.tiny_pairs) / "
+    f"{SLOTS}.0) THEN w.pool + n.tiny_pairs ELSE n.tiny_pairs END, "
+    f"CASE WHEN w.pool > 0 AND ceil(w.pool / {SLOTS}.0) + ceil(n.tiny_pairs / {SLOTS}.0) > ceil((w.pool + n.tiny_pairs) / {SLOTS}.0) THEN w.vectors "
+    f"ELSE w.vectors + CAST(ceil(w.pool / {SLOTS}.0) AS BIGINT) END, w.merges + CASE "
+    f"WHEN w.pool > 0 AND ceil(w.pool / {SLOTS}.0) + ceil(n.tiny_pairs / {SLOTS}.0) > ceil((w.pool + n.tiny_pairs) / {SLOTS}.0) THEN 1 ELSE 0 END FROM w "
+    f"JOIN n ON n.granularity = w.granularity AND n.k = w.k + 1) "
+    f"SELECT w.granularity, CAST(n.classes AS INTEGER) AS classes, a.apart, w.vectors + CAST(ceil(w.pool / {SLOTS}.0) AS BIGINT) AS merged, w.merges FROM w "
+    f"JOIN n ON n.granularity = w.granularity AND n.k = w.k AND n.k = n.classes JOIN (SELECT granularity, "
+    f"CAST(sum((tiny_pairs + {SLOTS - 1}) // {SLOTS}) AS BIGINT) AS apart FROM cc GROUP BY 1) a ON a.granularity = w.granularity"
 )
 def pl_predmerge(spark, sf_dir):
     return experiments.merged_classes(experiments.class_costs(experiments.crosscut(buckets(spark, sf_dir), 4), SLOTS), SLOTS)
@@ -549,7 +639,8 @@ _LEAK = """w0 AS (SELECT width, 100000 * width / 3650::DOUBLE AS rows, greatest(
 
 
 @query(
-    f"WITH {_LEAK} SELECT width::INTEGER AS width, n_blocks, n_block, work, regime, vectors, round(CASE regime WHEN 'tiny' THEN vectors * 350.56::DOUBLE WHEN 'large' THEN vectors * 351.68::DOUBLE ELSE 0 END / 3600, 6) AS hours, "
+    f"WITH {_LEAK} SELECT width::INTEGER AS width, n_blocks, n_block, work, regime, vectors, round(CASE regime WHEN 'tiny' THEN vectors * 350.56::DOUBLE "
+    f"WHEN 'large' THEN vectors * 351.68::DOUBLE ELSE 0 END / 3600, 6) AS hours, "
     "n_blocks AS leakage, least(1.0::DOUBLE, 60.0::DOUBLE / width) AS recall_loss_bound FROM leak"
 )
 def pl_leakage(spark, sf_dir):
@@ -562,7 +653,9 @@ def pl_plan_flip(spark, sf_dir):
 
 
 @query(
-    f"WITH {EV} SELECT count(*) AS all_pairs, count(*) FILTER (a.day // 7 = b.day // 7) AS kept_pairs, 1 - CAST(count(*) FILTER (a.day // 7 = b.day // 7) AS DOUBLE) / count(*) AS recall_lost FROM ev a JOIN ev b ON abs(a.day - b.day) <= 3 WHERE a.event_type = 'click' AND b.event_type = 'purchase'"
+    f"WITH {EV} SELECT count(*) AS all_pairs, count(*) FILTER (a.day // 7 = b.day // 7) AS kept_pairs, 1 - "
+    f"CAST(count(*) FILTER (a.day // 7 = b.day // 7) AS DOUBLE) / count(*) AS recall_lost FROM ev a JOIN ev b ON abs(a.day - b.day) <= 3 "
+    f"WHERE a.event_type = 'click' AND b.event_type = 'purchase'"
 )
 def pl_true_recall(spark, sf_dir):
     events, is_a, is_b = _clicks_and_purchases(spark, sf_dir)
@@ -570,7 +663,10 @@ def pl_true_recall(spark, sf_dir):
     return experiments.block_recall(bandjoin.band_within(events, is_a, is_b, "day", None, 3), bandjoin.band_within(weeks, is_a, is_b, "day", None, 3, ["week"]))
 
 
-@query(f"WITH {_sweep_sql()} SELECT granularity, CASE WHEN naive/tiled >= 20 THEN 'STRONG' WHEN naive/tiled >= 10 THEN 'GOOD' WHEN naive/tiled >= 5 THEN 'OK' WHEN naive/tiled >= 2 THEN 'MARGINAL' ELSE 'WEAK' END AS gate FROM sw WHERE slots = 64 AND factor = 1.0")
+@query(
+    f"WITH {_sweep_sql()} SELECT granularity, CASE WHEN naive/tiled >= 20 THEN 'STRONG' WHEN naive/tiled >= 10 THEN 'GOOD' WHEN naive/tiled >= 5 THEN 'OK' "
+    f"WHEN naive/tiled >= 2 THEN 'MARGINAL' ELSE 'WEAK' END AS gate FROM sw WHERE slots = 64 AND factor = 1.0"
+)
 def pl_gate_label(spark, sf_dir):
     return experiments.sweep(buckets(spark, sf_dir), (SLOTS,), (1.0,)).select("granularity", cost.gate(F.col("speedup")).alias("gate"))
 
@@ -591,7 +687,9 @@ _PRICES = {"comparisons": 175.0, "rotations": 0.125, "products": 0.375, "plain_p
 
 
 @query(
-    f"WITH {BK}, c AS (SELECT granularity, bucket, {_naive_sql('fixed', _INNER, _OUTER)} FROM bk) SELECT granularity, bucket, fixed_comparisons * 175.0::DOUBLE + fixed_rotations * 0.125::DOUBLE + fixed_products * 0.375::DOUBLE + fixed_plain_products * 0.0009765625::DOUBLE + fixed_additions * 0.00048828125::DOUBLE AS seconds FROM c"
+    f"WITH {BK}, c AS (SELECT granularity, bucket, {_naive_sql('fixed', _INNER, _OUTER)} FROM bk) "
+    f"SELECT granularity, bucket, fixed_comparisons * 175.0::DOUBLE + fixed_rotations * 0.125::DOUBLE + fixed_products * 0.375::DOUBLE + "
+    f"fixed_plain_products * 0.0009765625::DOUBLE + fixed_additions * 0.00048828125::DOUBLE AS seconds FROM c"
 )
 def pl_seconds(spark, sf_dir):
     """Time from counts and the price of each operation; prices are sums of powers of two here, so that both engines agree to the bit."""
@@ -600,7 +698,9 @@ def pl_seconds(spark, sf_dir):
 
 
 @query(
-    f"WITH {BK}, c AS (SELECT granularity, CASE WHEN work < {SLOTS} THEN 'tiny' ELSE 'large' END AS size, count(*) AS buckets, CAST(sum(2 * {_NB}) AS BIGINT) AS comparisons FROM bk GROUP BY 1, 2) SELECT *, CAST(comparisons AS DOUBLE) / sum(comparisons) OVER (PARTITION BY granularity) AS share FROM c"
+    f"WITH {BK}, c AS (SELECT granularity, CASE WHEN work < {SLOTS} THEN 'tiny' ELSE 'large' END AS size, count(*) AS buckets, "
+    f"CAST(sum(2 * {_NB}) AS BIGINT) AS comparisons FROM bk GROUP BY 1, 2) SELECT *, CAST(comparisons AS DOUBLE) / "
+    f"sum(comparisons) OVER (PARTITION BY granularity) AS share FROM c"
 )
 def pl_breakdown(spark, sf_dir):
     """Which buckets the comparisons go to."""
@@ -612,13 +712,19 @@ def pl_rotation_steps(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in cost.rotation_steps(SLOTS)], "step int")
 
 
-@query(f"WITH {BK}, v AS (SELECT granularity, (CAST(sum(work) AS BIGINT) + {SLOTS - 1}) // {SLOTS} AS vectors FROM bk WHERE {_TINY} GROUP BY 1) SELECT granularity, vectors, 3 / vectors::DOUBLE AS by_merges, 4 / vectors::DOUBLE AS by_classes FROM v")
+@query(
+    f"WITH {BK}, v AS (SELECT granularity, (CAST(sum(work) AS BIGINT) + {SLOTS - 1}) // {SLOTS} AS vectors FROM bk WHERE {_TINY} GROUP BY 1) "
+    f"SELECT granularity, vectors, 3 / vectors::DOUBLE AS by_merges, 4 / vectors::DOUBLE AS by_classes FROM v"
+)
 def pl_merge_bound(spark, sf_dir):
     made = experiments.grouping(buckets(spark, sf_dir), SLOTS).select("granularity", F.col("greedy").alias("vectors"))
     return made.withColumns(experiments.merge_bound(4, F.col("vectors")))
 
 
-@query("SELECT workers, wall, 100.0::DOUBLE / wall AS speedup, 100.0::DOUBLE / (workers * wall) AS efficiency, workers * 3600 / wall AS throughput FROM (VALUES (1::BIGINT, 100.0::DOUBLE), (2, 52.0), (4, 28.0), (8, 16.0)) r(workers, wall)")
+@query(
+    "SELECT workers, wall, 100.0::DOUBLE / wall AS speedup, 100.0::DOUBLE / (workers * wall) AS efficiency, workers * 3600 / wall AS throughput "
+    "FROM (VALUES (1::BIGINT, 100.0::DOUBLE), (2, 52.0), (4, 28.0), (8, 16.0)) r(workers, wall)"
+)
 def pl_scaling(spark, sf_dir):
     return experiments.scaling(spark.createDataFrame([(1, 100.0), (2, 52.0), (4, 28.0), (8, 16.0)], "workers long, wall double"))
 
@@ -650,7 +756,8 @@ _RUNS = ((256, 512, 1286.99), (256, 512, 1282.56), (512, 256, 1292.07), (512, 25
 
 @query(
     "WITH r AS (SELECT n_b::BIGINT AS n_b, m_b::BIGINT AS m_b, wall::DOUBLE AS wall FROM (VALUES " + ", ".join(map(str, _RUNS)) + ") v(n_b, m_b, wall)), "
-    "n AS (SELECT *, 2 * least((n_b + 2 * (16384 // m_b) - 1) // (2 * (16384 // m_b)), (m_b + 2 * (16384 // n_b) - 1) // (2 * (16384 // n_b))) AS comparisons FROM r) "
+    "n AS (SELECT *, 2 * least((n_b + 2 * (16384 // m_b) - 1) // (2 * (16384 // m_b)), (m_b + 2 * (16384 // n_b) - 1) // (2 * (16384 // n_b))) AS "
+    "comparisons FROM r) "
     "SELECT *, comparisons * 175.0::DOUBLE AS predicted, round(wall / (comparisons * 175.0::DOUBLE), 6) AS ratio FROM n"
 )
 def pl_measured(spark, sf_dir):
@@ -683,7 +790,9 @@ def z_lt_wrap(spark, sf_dir):
 
 
 @query(
-    f"WITH {LI}, x AS (SELECT l_orderkey, l_linenumber, [price, qty, disc, tax] AS a, [qty, disc, price, price] AS b FROM li) SELECT l_orderkey, l_linenumber, (a[1]+b[1]) % 65537 AS add_1, ((a[2]-b[2]) % 65537 + 65537) % 65537 AS sub_2, (a[3]*b[3]) % 65537 AS mul_3, a[2] AS left_1, a[4] AS right_1 FROM x"
+    f"WITH {LI}, x AS (SELECT l_orderkey, l_linenumber, [price, qty, disc, tax] AS a, [qty, disc, price, price] AS b FROM li) "
+    f"SELECT l_orderkey, l_linenumber, (a[1]+b[1]) % 65537 AS add_1, ((a[2]-b[2]) % 65537 + 65537) % 65537 AS sub_2, (a[3]*b[3]) % 65537 AS mul_3, a[2] AS "
+    f"left_1, a[4] AS right_1 FROM x"
 )
 def z_vectors(spark, sf_dir):
     x = _li(spark, sf_dir).select("l_orderkey", "l_linenumber", F.array("price", "qty", "disc", "tax").alias("a"), F.array("qty", "disc", "price", "price").alias("b"))
@@ -698,7 +807,8 @@ def z_vectors(spark, sf_dir):
 
 
 @query(
-    "WITH a AS (SELECT 10000 + i * 7 % 3650 AS x, i % 100 + 1 AS p FROM range(1974) r(i)), b AS (SELECT 10000 + i * 11 % 3650 AS y, i % 100 + 1 AS q FROM range(1028) r(i)) SELECT count(*) AS pairs, CAST(sum(p) AS BIGINT) AS sum_a, CAST(sum(q) AS BIGINT) AS sum_b FROM a JOIN b ON abs(x - y) <= 30"
+    "WITH a AS (SELECT 10000 + i * 7 % 3650 AS x, i % 100 + 1 AS p FROM range(1974) r(i)), b AS (SELECT 10000 + i * 11 % 3650 AS y, i % 100 + 1 AS q "
+    "FROM range(1028) r(i)) SELECT count(*) AS pairs, CAST(sum(p) AS BIGINT) AS sum_a, CAST(sum(q) AS BIGINT) AS sum_b FROM a JOIN b ON abs(x - y) <= 30"
 )
 def s_date_band(spark, sf_dir):
     a, b = tables.date_band(spark, 1974, 7, "x"), tables.date_band(spark, 1028, 11, "y")
@@ -706,7 +816,8 @@ def s_date_band(spark, sf_dir):
 
 
 @query(
-    "WITH a AS (SELECT 10000 + i * 7 % 3650 AS x, i % 100 + 1 AS p FROM range(256) r(i)), b AS (SELECT 10000 + i * 11 % 3650 AS y, i % 100 + 1 AS q FROM range(512) r(i)) "
+    "WITH a AS (SELECT 10000 + i * 7 % 3650 AS x, i % 100 + 1 AS p FROM range(256) r(i)), b AS (SELECT 10000 + i * 11 % 3650 AS y, i % 100 + 1 AS q "
+    "FROM range(512) r(i)) "
     "SELECT count(*) AS pairs, CAST(sum(p) AS BIGINT) AS sum_a, CAST(sum(q) AS BIGINT) AS sum_b FROM a JOIN b ON abs(x - y) <= 30"
 )
 def bj_naive(spark, sf_dir):
@@ -715,7 +826,10 @@ def bj_naive(spark, sf_dir):
     return bandjoin.band_aggregate(bandjoin.Side(a, "x", "x_payload"), bandjoin.Side(b, "y", "y_payload"), 30, strategy=bandjoin.NESTED)
 
 
-@query(f"WITH {BK} SELECT granularity, count(*) AS buckets, CAST(sum(n_b) AS BIGINT) AS n, CAST(sum(m_b) AS BIGINT) AS m, CAST(sum(work) AS BIGINT) AS work FROM bk WHERE granularity = 'fine' GROUP BY 1")
+@query(
+    f"WITH {BK} SELECT granularity, count(*) AS buckets, CAST(sum(n_b) AS BIGINT) AS n, CAST(sum(m_b) AS BIGINT) AS m, CAST(sum(work) AS BIGINT) AS work "
+    f"FROM bk WHERE granularity = 'fine' GROUP BY 1"
+)
 def s_bucket_csv(spark, sf_dir):
     """Bucket sizes written to CSV files and read again."""
     path = f"{session_dir(spark)}/csv-{uuid.uuid4().hex}"
@@ -734,7 +848,8 @@ def s_calibration(spark, sf_dir):
 
 @query(
     f"WITH {BK}, c AS (SELECT n_b, m_b, {_naive_sql('naive', 'n_b', 'm_b')}, {_naive_sql('fixed', _INNER, _OUTER)} FROM bk WHERE granularity = 'coarse'), "
-    "r AS (SELECT n_b, m_b, '1-Naive' AS backend, naive_comparisons AS cmp_tot, naive_rotations AS he_rot FROM c UNION ALL SELECT n_b, m_b, '2-FixedOrient', fixed_comparisons, fixed_rotations FROM c) "
+    "r AS (SELECT n_b, m_b, '1-Naive' AS backend, naive_comparisons AS cmp_tot, naive_rotations AS he_rot FROM c UNION ALL "
+    "SELECT n_b, m_b, '2-FixedOrient', fixed_comparisons, fixed_rotations FROM c) "
     "SELECT n_b, m_b, backend, cmp_tot, he_rot, 'analytic' AS correct FROM r"
 )
 def s_results(spark, sf_dir):
@@ -758,8 +873,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {BK}, j AS (SELECT count(*) AS pairs, CAST(coalesce(sum(a.payload),0) AS BIGINT) AS sum_a, CAST(coalesce(sum(b.payload),0) AS BIGINT) AS sum_b FROM ev a JOIN ev b ON a.user_id = b.user_id AND abs(a.day - b.day) <= 3 WHERE a.event_type = 'click' AND b.event_type = 'purchase') "
-    f"SELECT j.*, t.* FROM j, (SELECT count(*) AS buckets, CAST(sum(work) AS BIGINT) AS work, CAST(sum(2 * {_NB}) AS BIGINT) AS comparisons, CAST(sum(least({_FA}, {_FB})) AS BIGINT) AS batches_best FROM bk WHERE granularity = 'medium') t"
+    f"WITH {BK}, j AS (SELECT count(*) AS pairs, CAST(coalesce(sum(a.payload),0) AS BIGINT) AS sum_a, CAST(coalesce(sum(b.payload),0) AS BIGINT) AS sum_b "
+    f"FROM ev a JOIN ev b ON a.user_id = b.user_id AND abs(a.day - b.day) <= 3 WHERE a.event_type = 'click' AND b.event_type = 'purchase') "
+    f"SELECT j.*, t.* FROM j, (SELECT count(*) AS buckets, CAST(sum(work) AS BIGINT) AS work, CAST(sum(2 * {_NB}) AS BIGINT) AS comparisons, "
+    f"CAST(sum(least({_FA}, {_FB})) AS BIGINT) AS batches_best FROM bk WHERE granularity = 'medium') t"
 )
 def f_flagship(spark, sf_dir):
     return flagship(spark, sf_dir)
