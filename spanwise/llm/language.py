@@ -218,6 +218,25 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float = P
     return label
 
 
+def word_scores(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word its text, its size, and its score in each language: the sum of its trigrams' log-probabilities less that of the
+    best language, -30 at least; -60 in languages that do not use its script, unless none does. A piece of a long text at a time."""
+    languages, bits = len(model.languages), int(model.trigrams.shape[1]).bit_length() - 1
+    made = []
+    for group in words.groups(texts, 0):
+        w = analysed([piece for _, piece, _, _ in group], bits)
+        scores, end = np.empty((len(w.start), languages), np.float32), w.start + w.size
+        for k in range(languages):
+            sums = np.concatenate(([0.0], np.cumsum(model.trigrams[k][w.bucket], dtype=np.float64)))
+            scores[:, k] = sums[end] - sums[w.start]
+        scores -= scores.max(axis=1, keepdims=True)
+        allowed = model.scripts[w.script]
+        allowed[~allowed.any(axis=1)] = True
+        own = np.array([k for k, *_ in group], np.int64)
+        made.append((own[w.doc], w.size, np.where(allowed, np.maximum(scores, -30.0), -60.0)))
+    return tuple(np.concatenate(x) for x in zip(*made, strict=True))
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
     """Spans and the language of every text.
 
@@ -226,26 +245,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     spans, as is every text if nothing was learnt. Ties go to the language that sorts first. Repeated rows give
     repeated results; null ids stay null; an empty table gives none; other columns are left out.
     """
-    languages, bits = model.languages, int(model.trigrams.shape[1]).bit_length() - 1
+    languages = model.languages
     shared = docs.sparkSession.sparkContext.broadcast(model)
     group = GROUP_BYTES * 16 // max(16, len(languages))  # a number for each word and language
 
-    def scored(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each word the text, the size, and the score in each language; a piece of a long text at a time."""
-        model, made = shared.value, []
-        for group in words.groups(texts, 0):
-            w = analysed([piece for _, piece, _, _ in group], bits)
-            scores, end = np.empty((len(w.start), len(languages)), np.float32), w.start + w.size
-            for k in range(len(languages)):
-                sums = np.concatenate(([0.0], np.cumsum(model.trigrams[k][w.bucket], dtype=np.float64)))
-                scores[:, k] = sums[end] - sums[w.start]
-            scores -= scores.max(axis=1, keepdims=True)
-            allowed = model.scripts[w.script]
-            allowed[~allowed.any(axis=1)] = True
-            own = np.array([k for k, *_ in group], np.int64)
-            made.append((own[w.doc], w.size, np.where(allowed, np.maximum(scores, -30.0), -60.0)))
-        return tuple(np.concatenate(x) for x in zip(*made, strict=True))
-
     def has_letter(text: bytes) -> bool:
         return any(any(map(str.isalpha, piece.decode("utf-8", "replace"))) for _, piece, _, _ in words.pieces([text], 0))
 
@@ -254,7 +257,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         out: list[tuple[str, float, list]] = [(UNKNOWN, 0.0, [])] * n
         if not n or not languages:
             return out
-        doc, sizes, scores = scored(texts)
+        doc, sizes, scores = word_scores(shared.value, texts)
         if not len(doc):
             return out
         labels = viterbi(scores, doc, n, penalty)

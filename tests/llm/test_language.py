@@ -75,6 +75,37 @@ def model(spark):
     return language.fit(spark.createDataFrame([*rows, (99, "null language", None), (98, None, "en")], "doc_id long, text string, lang string"))
 
 
+def test_word_scores_against_plain_python(model):
+    """Counts, smoothing and sums in plain Python, from the texts that were learnt from."""
+
+    def words_of(text):
+        return "".join(c if ord(c) >= 128 or c.isalpha() else " " for c in text.lower()).encode().split()
+
+    def buckets(word):
+        padded = b" " + word + b" "
+        for k in range(1, len(padded) - 1):
+            key = padded[k - 1] << 16 | padded[k] << 8 | padded[k + 1]
+            yield (key * 2654435761 % (1 << 32)) >> (32 - language.BITS)
+
+    tables = []
+    for text in (EN, ES, RU):  # in the order of their names
+        counts = {}
+        for word in words_of(text) * 8:
+            for b in buckets(word):
+                counts[b] = counts.get(b, 0) + 1
+        whole = sum(counts.values()) + 0.5 * (1 << language.BITS)
+        tables.append(lambda b, counts=counts, whole=whole: np.log((counts.get(b, 0) + 0.5) / whole))
+    text = "The cat, el perro; кошка kata 12 collar"
+    doc, sizes, scores = language.word_scores(model, ["".encode(), text.encode()])
+    assert doc.tolist() == [1] * 7 and sizes.tolist() == [len(w) for w in words_of(text)]
+    for word, got in zip(words_of(text), scores, strict=True):
+        sums = [sum(float(t(b)) for b in buckets(word)) for t in tables]
+        cyrillic = word[0] > 0xC8
+        allowed = [not cyrillic, not cyrillic, cyrillic]
+        want = [max(x - max(sums), -30.0) if a else -60.0 for x, a in zip(sums, allowed, strict=True)]
+        assert got.tolist() == pytest.approx(want, abs=1e-3)
+
+
 def test_scripts_and_mixed_text(spark, model):
     texts = [EN, RU, ES, f"{EN} {EN} {ES} {ES}", "соба cat кот", "123 456", "", None, "日本語", "ñ"]
     rows = language.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
