@@ -36,9 +36,9 @@ CROWDED = 1 << 12
 SLICE, FRONTIER, READ_AHEAD = 1 << 16, 1 << 20, 200_000
 #: For near-duplicates by similarity: words in a shingle, 64-bit fingerprints that are compared, and of their 512 bits those in which
 #: candidates may differ.
-NEAR_WIDTH, NEAR_WORDS, NEAR_RADIUS = 5, 8, 128
+NEAR_WIDTH, NEAR_WORDS, NEAR_RADIUS = 5, 8, 104
 #: Sketches and texts that one task compares within a shard; larger shards are dealt out and what is left of each part meets again.
-SKETCHES, TEXTS = 1 << 15, 1 << 8
+SKETCHES, TEXTS = 1 << 15, 1 << 9
 #: Two sets are similar if they share SIMILAR[0] parts in SIMILAR[1] of what either has; shingles compared at once.
 SIMILAR, COMPARED = (4, 5), 1 << 21
 #: Bands of minima of the five-word shingles that bring candidates together, minima in a band, and each minimum's multiplier.
@@ -322,14 +322,40 @@ def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return common.map_batches(docs, [id_col, text_col], run, f"`{id_col}` {common.type_of(docs, id_col)}, print string, fp long, near binary, bands array<long>")
 
 
-def linked(shards: DataFrame, payload: DataFrame, column: str, limit: int, roots: Callable[[np.ndarray, pa.ChunkedArray], np.ndarray]) -> tuple[DataFrame, DataFrame | None]:
-    """Links (a, b) between nodes that roots() puts into one group, and what is left. shards: stored (key, node); payload: (node, column).
+def centres(members: DataFrame, prints: DataFrame) -> DataFrame:
+    """Stored (key, pivot): the node of each key whose wide fingerprint is nearest to the majority of the key's, bit by bit; the least
+    of equals. members: stored (key, node, parts); the majority is taken over one in `parts` nodes, by lot."""
+
+    def majorities(keys: np.ndarray, rows: pa.Table) -> dict:
+        bits = np.unpackbits(np.frombuffer(b"".join(rows.column(1).to_pylist()), np.uint8).reshape(len(keys), -1), axis=1)
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        sums = np.add.reduceat(bits, first, axis=0, dtype=np.int64) if len(keys) else bits[:0]
+        centre = np.packbits(2 * sums > np.diff(np.append(first, len(keys)))[:, None], axis=1)
+        return {"key": keys[first], "centre": [x.tobytes() for x in centre]}
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (2, 3))
+            yield {"key": batch.column(0), "node": batch.column(1), "d": np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)}
+
+    some = members.filter(F.pmod(F.xxhash64("node", F.lit("centre")), F.col("parts")) == 0).join(prints, "node")
+    middle = common.stored(sharded(some, ["near"], majorities, "key long, centre binary"), "centres")
+    each = common.map_batches(members.join(prints, "node").join(middle, "key"), ["key", "node", "near", "centre"], distances, "key long, node long, d long")
+    return common.stored(each.groupBy("key").agg(F.min(F.struct("d", "node")).alias("m")).select("key", F.col("m.node").alias("pivot")), "pivots")
+
+
+def linked(
+    shards: DataFrame, payload: DataFrame, column: str, prints: DataFrame, limit: int, roots: Callable[[np.ndarray, pa.ChunkedArray], np.ndarray],
+) -> tuple[DataFrame, DataFrame | None]:
+    """Links (a, b) between nodes that roots() puts into one group, and what is left. shards: stored (key, node); payload: (node,
+    column); prints: (node, near).
 
     roots() gets sorted keys and the column and returns for each row the position of the first row of its group. A
-    shard of more than `limit` nodes is dealt out by lot; the first node of each group of each part then meets those of the
-    other parts, again and again while there are too many and each round leaves out a quarter at least. So no task
-    holds more than about `limit` nodes of a shard. A node that left such a shard was linked to one that stayed. Where the
-    rounds ended because nodes are too unlike one another, those that stayed are left, as (key, node).
+    shard of more than `limit` nodes is dealt out by lot, and the node in its middle (see centres) goes to every part, so that copies
+    of one text, which may be less like one another than like that text, are linked by it. The first node of each group
+    of each part then meets those of the other parts, again and again while there are too many and each round leaves out a quarter at
+    least. So no task holds more than about `limit` nodes of a shard. A node that left such a shard was linked to one that
+    stayed. Where the rounds ended because nodes are too unlike one another, those that stayed are left, as (key, node).
     """
     made, level = [], 0
     while True:
@@ -338,9 +364,14 @@ def linked(shards: DataFrame, payload: DataFrame, column: str, limit: int, roots
         if last:
             dealt = shards.select("key", "node", F.lit(None).cast("long").alias("whole"))
         else:
-            part = F.xxhash64("key", F.pmod(F.xxhash64("node", F.lit(level)), F.col("parts")))
-            hot = F.col("parts").isNotNull()
-            dealt = shards.join(full, "key", "left").select(F.when(hot, part).otherwise(F.col("key")).alias("key"), "node", F.when(hot, F.col("key")).alias("whole"))
+            members = common.stored(shards.join(full, "key"), "members")
+            before = members.count()
+            of = lambda number: F.xxhash64("key", number).alias("key")
+            parts = members.select(of(F.pmod(F.xxhash64("node", F.lit(level)), F.col("parts"))), "node", F.col("key").alias("whole"))
+            none = F.lit(None).cast("long").alias("whole")
+            middle = centres(members, prints).join(full, "key").select("key", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+            small = shards.join(full, "key", "left_anti").select("key", "node", none)
+            dealt = small.unionByName(parts).unionByName(middle.select(of(F.col("part")), F.col("pivot").alias("node"), none))
 
         def run(keys: np.ndarray, rows: pa.Table) -> dict:
             node, whole = rows.column(1).to_numpy(), rows.column(2).combine_chunks()
@@ -353,8 +384,7 @@ def linked(shards: DataFrame, payload: DataFrame, column: str, limit: int, roots
         made.append(out.filter("a <> b").select("a", "b"))
         if last:
             return reduce(DataFrame.unionByName, made).distinct(), None
-        left = common.stored(out.filter("a = b and whole is not null").select(F.col("whole").alias("key"), F.col("a").alias("node")), "left")
-        before = dealt.filter("whole is not null").count()
+        left = common.stored(out.filter("a = b and whole is not null").select(F.col("whole").alias("key"), F.col("a").alias("node")).distinct(), "left")
         shards, level = left, level + 1
         if 4 * left.count() > 3 * before:
             return reduce(DataFrame.unionByName, made).distinct(), left
@@ -454,7 +484,7 @@ def similar_groups(sets: list[np.ndarray]) -> np.ndarray:
     return group
 
 
-def confirmed(candidates: DataFrame, shards: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def confirmed(candidates: DataFrame, shards: DataFrame, prints: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Links (a, b) between candidates (node, root: its component) by exact similarity.
 
     The texts of a component meet in one shard, so a pair that might be similar is compared; of a component of more than
@@ -463,11 +493,11 @@ def confirmed(candidates: DataFrame, shards: DataFrame, docs: DataFrame, id_col:
     """
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
     every = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())
-    found, left = linked(common.stored(every.select(F.col("root").alias("key"), "node"), "every"), texts, "text", TEXTS, text_roots)
+    found, left = linked(common.stored(every.select(F.col("root").alias("key"), "node"), "every"), texts, "text", prints, TEXTS, text_roots)
     if left is None:
         return found
     rest = common.stored(shards.join(left.select("node").distinct(), "node", "left_semi").select("key", "node"), "rest")
-    return found.unionByName(linked(rest, texts, "text", TEXTS, text_roots)[0]).distinct()
+    return found.unionByName(linked(rest, texts, "text", prints, TEXTS, text_roots)[0]).distinct()
 
 
 def grouped(prints: DataFrame, member: str, radius: int = RADIUS) -> DataFrame:
@@ -502,7 +532,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     of the set and whose wide fingerprints differ in at most NEAR_RADIUS of 512 bits. At 0.8 two documents share no band
     with a probability of (1 - 0.8^4)^16, 0.0002, wherever their differences are; the share of bits in which two fingerprints
     differ is the angle between the sets, in units of half a turn, 0.151 at a similarity of 0.8, and NEAR_RADIUS is over
-    five standard deviations more. At such a radius a BK-tree leaves out no edge, so wide fingerprints are compared without
+    three standard deviations more. At such a radius a BK-tree leaves out no edge, so wide fingerprints are compared without
     one, within a band only. id_col must be unique, and a long. Null and empty texts are one group; an empty table
     gives no rows; other columns are left out.
     """
@@ -515,9 +545,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     by_tree = close.join(first, F.col("a") == F.col("fp")).select(F.col("of").alias("a"), "b").join(first, F.col("b") == F.col("fp")).select("a", F.col("of").alias("b"))
     same = nodes.join(first, "fp").filter("node <> of").select(F.col("of").alias("a"), F.col("node").alias("b"))
     shards = met(nodes)
-    by_bands, _ = linked(shards, nodes.select("node", "near"), "near", SKETCHES, sketch_roots)
+    sketches = nodes.select("node", "near")
+    by_bands, _ = linked(shards, sketches, "near", sketches, SKETCHES, sketch_roots)
     candidates = common.stored(components(by_tree.unionByName(same).unionByName(by_bands)), "candidates")
-    roots = common.stored(components(confirmed(candidates, shards, docs, id_col, text_col)), "confirmed")
+    roots = common.stored(components(confirmed(candidates, shards, sketches, docs, id_col, text_col)), "confirmed")
     named = common.stored(nodes.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("first")), "named")
     # copies: as many rows as documents may share one set
     return common.split_join(prints.select(id_col, "print"), named, "print").select(id_col, "first")

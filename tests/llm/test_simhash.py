@@ -273,5 +273,23 @@ def test_unlike_texts_of_a_large_component_meet_by_bands(spark, monkeypatch):
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     candidates = simhash.common.stored(spark.createDataFrame([(k, 0) for k in range(1, 80)], "node long, root long"), "c")
     bands = simhash.common.stored(spark.createDataFrame([(1000 + k % 60, k) for k in range(80)], "key long, node long"), "b")
-    found = simhash.confirmed(candidates, bands, rows, "id", "text").collect()
+    prints = simhash.wide_fingerprints(rows, "id", "text").select(simhash.F.col("id").alias("node"), "near")
+    found = simhash.confirmed(candidates, bands, prints, rows, "id", "text").collect()
     assert {tuple(sorted((r["a"], r["b"]))) for r in found} == {(k, 60 + k) for k in range(20)}
+
+
+def test_copies_that_only_their_original_links(spark, monkeypatch):
+    """Each copy is similar to the original, hardly any to another: parts without the original would leave them apart."""
+    monkeypatch.setattr(simhash, "TEXTS", 16)
+    rng = random.Random(14)
+    words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    texts = []
+    for k in range(150):
+        at = rng.randrange(360)
+        texts.append(" ".join(words[:at] + [f"new{k}x{j}" for j in range(40)] + words[at + 40 :]))
+    texts.insert(70, " ".join(words))
+    sets = [set(simhash.shingle_set(t.encode().split()).tolist()) for t in texts]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(alike(k, 70) >= 0.8 for k in range(151)) and sum(alike(a, a + 1) < 0.8 for a in range(150)) > 100
+    got = simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id").collect()
+    assert {r["first"] for r in got} == {0}
