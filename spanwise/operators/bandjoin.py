@@ -11,6 +11,7 @@ one table (band_within) are read in one pass by the latter, and each with its ow
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -69,13 +70,7 @@ def _aggregated(rows: DataFrame, n_keys: int, delta: int, strategy: str) -> Data
             on = on & (F.col("bin_a") == F.col("bin_b"))
         return left.join(right, on).agg(*out(F.count("*").cast("decimal(38,0)"), _sum("pa"), _sum("pb")))
     if strategy == HISTOGRAM:
-        left = known.filter("in_a").groupBy(*own, F.col("v").alias("va")).agg(F.count("*").alias("na"), F.sum("pa").alias("sa"))
-        right = known.filter("in_b").groupBy(*(F.col(k).alias(f"b{k}") for k in own), F.col("v").alias("vb")).agg(F.count("*").alias("nb"), F.sum("pb").alias("sb"))
-        left, right = _binned(left, right, "va", "vb", delta)
-        on = (F.col("bin_a") == F.col("bin_b")) & F.col("va").between(F.col("vb") - delta, F.col("vb") + delta)
-        for k in own:
-            on = on & (F.col(k) == F.col(f"b{k}"))
-        return left.join(right, on).agg(*out(_sum("na", "nb"), _sum("sa", "nb"), _sum("sb", "na")))
+        return _met(known, own, delta).agg(*out(_sum("na", "nb"), _sum("sa", "nb"), _sum("sb", "na")))
     if strategy == WINDOW:
         if not n_keys:
             raise ValueError("a range frame needs block keys: without them it is one task")
@@ -88,6 +83,17 @@ def _aggregated(rows: DataFrame, n_keys: int, delta: int, strategy: str) -> Data
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
+def _met(known: DataFrame, own: list[str], delta: int) -> DataFrame:
+    """The values of both sides that are within the band, each with its rows (na, nb) and payload (sa, sb)."""
+    left = known.filter("in_a").groupBy(*own, F.col("v").alias("va")).agg(F.count("*").alias("na"), F.sum("pa").alias("sa"))
+    right = known.filter("in_b").groupBy(*(F.col(k).alias(f"b{k}") for k in own), F.col("v").alias("vb")).agg(F.count("*").alias("nb"), F.sum("pb").alias("sb"))
+    left, right = _binned(left, right, "va", "vb", delta)
+    on = (F.col("bin_a") == F.col("bin_b")) & F.col("va").between(F.col("vb") - delta, F.col("vb") + delta)
+    for k in own:
+        on = on & (F.col(k) == F.col(f"b{k}"))
+    return left.join(right, on)
+
+
 def _binned(left: DataFrame, right: DataFrame, va: str, vb: str, delta: int) -> tuple[DataFrame, DataFrame]:
     """left in the one or two bins that the bands of its values meet (bin_a), right in its values' own (bin_b)."""
     width = 2 * delta + 1
@@ -121,14 +127,29 @@ def band_aggregate(a: Side, b: Side, delta: int, a_keys: list[str] = (), b_keys:
     return _aggregated(_side(a, list(a_keys), True).unionByName(_side(b, list(b_keys), False)), len(a_keys), delta, strategy)
 
 
-def band_within(rows: DataFrame, is_a: Column, is_b: Column, value: str, payload: str | None, delta: int, keys: list[str] = (), strategy: str = HISTOGRAM) -> DataFrame:
-    """band_aggregate of two parts of one table, told apart by is_a and is_b (a row may be in both)."""
+def _parts(rows: DataFrame, is_a: Column, is_b: Column, value: str, payload: str | None, keys: list[str] = ()) -> DataFrame:
+    """As _side, of both sides, for two parts of one table."""
     held = F.col(payload).cast("long") if payload else F.lit(1).cast("long")
-    own = rows.filter(is_a | is_b).select(
+    return rows.filter(is_a | is_b).select(
         *(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(value).cast("long").alias("v"),
         F.coalesce(is_a, F.lit(False)).alias("in_a"), F.coalesce(is_b, F.lit(False)).alias("in_b"), held.alias("pa"), held.alias("pb"),
     )
-    return _aggregated(own, len(keys), delta, strategy)
+
+
+def band_within(
+    rows: DataFrame, is_a: Column, is_b: Column, value: str, payload: str | None, delta: int, keys: list[str] = (), strategy: str = HISTOGRAM
+) -> DataFrame:
+    """band_aggregate of two parts of one table, told apart by is_a and is_b (a row may be in both)."""
+    return _aggregated(_parts(rows, is_a, is_b, value, payload, keys), len(keys), delta, strategy)
+
+
+def band_recall(rows: DataFrame, is_a: Column, is_b: Column, value: str, delta: int, block: Callable[[Column], Column]) -> DataFrame:
+    """One row: all_pairs within the band, kept_pairs whose values have the same block, and recall_lost, the share of the others (null of
+    no pairs). Histograms of both sides meet once."""
+    met = _met(_parts(rows, is_a, is_b, value, None).filter(F.col("v").isNotNull()), [], delta)
+    same = met.withColumn("kept", F.when(block(F.col("va")) == block(F.col("vb")), F.col("na")).otherwise(0))
+    sums = same.agg(_sum("na", "nb").alias("all_pairs"), _sum("kept", "nb").alias("kept_pairs"))
+    return sums.withColumn("recall_lost", 1 - F.try_divide(F.col("kept_pairs").cast("double"), F.col("all_pairs").cast("double")))
 
 
 def statistics(a: Side, b: Side, a_keys: list[str] = (), b_keys: list[str] = ()) -> tuple[dict[str, int], dict[str, int]]:

@@ -199,12 +199,6 @@ def plan_flips(levels: DataFrame) -> DataFrame:
     return levels.agg(F.countDistinct("regime").alias("regimes"), (F.countDistinct("regime") > 1).alias("flips"))
 
 
-def block_recall(pairs_all: DataFrame, pairs_kept: DataFrame) -> DataFrame:
-    """Recall lost at block edges, measured: each argument is one row with the column pairs."""
-    a, b = pairs_all.select(F.col("pairs").alias("all_pairs")), pairs_kept.select(F.col("pairs").alias("kept_pairs"))
-    return a.crossJoin(F.broadcast(b)).withColumn("recall_lost", 1 - F.try_divide(F.col("kept_pairs").cast("double"), F.col("all_pairs").cast("double")))
-
-
 #: Gap between groupings (per cent) below which grouping does not matter, and gain of orientation below which that is small.
 SMALL_GAP, SMALL_GAIN = 5.0, 1.05
 

@@ -658,9 +658,7 @@ def pl_plan_flip(spark, sf_dir):
     f"WHERE a.event_type = 'click' AND b.event_type = 'purchase'"
 )
 def pl_true_recall(spark, sf_dir):
-    events, is_a, is_b = _clicks_and_purchases(spark, sf_dir)
-    weeks = events.withColumn("week", F.floor(F.col("day") / 7))
-    return experiments.block_recall(bandjoin.band_within(events, is_a, is_b, "day", None, 3), bandjoin.band_within(weeks, is_a, is_b, "day", None, 3, ["week"]))
+    return bandjoin.band_recall(*_clicks_and_purchases(spark, sf_dir), "day", 3, lambda day: F.floor(day / 7))
 
 
 @query(

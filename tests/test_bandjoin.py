@@ -99,3 +99,15 @@ def test_statistics(spark):
 def test_clashing_names(spark):
     a, b = spark.createDataFrame([(5, 7)], "x long, __bin_a long"), spark.createDataFrame([(6, 8)], "y long, __bin_b long")
     assert [tuple(r) for r in bj.band_pairs(a, b, "x", "y", 1).collect()] == [(5, 7, 6, 8)]
+
+
+def test_recall_of_blocks(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("abc"), rng.choice([None, *range(40)])) for _ in range(200)]
+    df = spark.createDataFrame(rows, "s string, v long")
+    met = [(x, y) for s, x in rows for t, y in rows if s == "a" and t == "b" and None not in (x, y) and abs(x - y) <= 3]
+    kept = sum(x // 7 == y // 7 for x, y in met)
+    r = bj.band_recall(df, F.col("s") == "a", F.col("s") == "b", "v", 3, lambda v: F.floor(v / 7)).first()
+    assert (r["all_pairs"], r["kept_pairs"]) == (len(met), kept) and r["recall_lost"] == pytest.approx(1 - kept / len(met))
+    none = bj.band_recall(df, F.col("s") == "x", F.col("s") == "b", "v", 3, lambda v: v).first()
+    assert tuple(none) == (0, 0, None)
