@@ -491,9 +491,11 @@ def confirmed(candidates: DataFrame, shards: DataFrame, prints: DataFrame, docs:
     TEXTS nodes they meet in parts. What is left of a large component whose nodes are unlike one another meets by the bands
     that brought it together (shards).
     """
-    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
     every = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())
-    found, left = linked(common.stored(every.select(F.col("root").alias("key"), "node"), "every"), texts, "text", prints, TEXTS, text_roots)
+    every = common.stored(every.select(F.col("root").alias("key"), "node"), "every")
+    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
+    texts = common.stored(texts.join(every.select("node"), "node"), "texts")  # of candidates: later joins read no others
+    found, left = linked(every, texts, "text", prints, TEXTS, text_roots)
     if left is None:
         return found
     rest = common.stored(shards.join(left.select("node").distinct(), "node", "left_semi").select("key", "node"), "rest")
