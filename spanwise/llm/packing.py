@@ -26,7 +26,7 @@ from spanwise.llm import common
 
 CAPACITY = 2048
 #: Words a Python worker remembers, over all its tasks, before it starts anew.
-CACHE = 800_000
+CACHE = 400_000
 
 
 class WordEncoder(dict):
