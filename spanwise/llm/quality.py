@@ -9,11 +9,11 @@ if no rule rejects it.
 
 from __future__ import annotations
 
+import pickle
 import time
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property, reduce
-from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -26,7 +26,7 @@ from spanwise.llm import common
 WINDOW = 5
 SYMBOLS, WHITE = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 LEADING = bytes(b for b in range(256) if b & 0xC0 != 0x80)
-#: Documents whose rules are timed, at most, and partitions that they come from.
+#: Documents whose rules are timed, about, and files that they come from.
 SAMPLE, PARTITIONS = 400, 8
 #: Words from which on a text's windows are counted by numbers.
 LONG = 50_000
@@ -215,18 +215,31 @@ def by_worth(found: Costs) -> list[int]:
     return order
 
 
-def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample: int = SAMPLE) -> tuple[Rule, ...]:
-    """The rules in the order of the cascade, estimated on the first documents of a few partitions spread over the table.
+def sampled(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """Texts to time the rules on, about `sample`: the first ones of a few files spread over the table, so that the rest is not read.
 
-    Only those partitions are read, and only as far as the sample goes; sums reach the driver. Without documents the order
-    stays.
+    Where docs does not come from Parquet files that have the column, rows are drawn from all of it.
     """
-    rows = docs.select(F.col(text_col).cast("binary")).rdd
-    parts = rows.getNumPartitions()
-    chosen = sorted({k * parts // PARTITIONS for k in range(PARTITIONS)}) if parts else []
-    each = -(-sample // max(1, len(chosen)))
-    found = rows.context.runJob(rows, lambda own: [costs((bytes(r[0] or b"") for r in islice(own, each)), rules)], chosen) if chosen else []
-    return tuple(rules[k] for k in by_worth(reduce(Costs.plus, found))) if found else rules
+    files = sorted(docs.inputFiles())
+    chosen = [files[k] for k in sorted({k * len(files) // PARTITIONS for k in range(PARTITIONS)})] if files else []
+    if chosen and all(f.endswith(".parquet") for f in chosen):
+        read = [docs.sparkSession.read.parquet(f) for f in chosen]
+        if all(text_col in r.columns for r in read):
+            return reduce(DataFrame.unionByName, [r.select(text_col).limit(-(-sample // len(read))) for r in read])
+    total = docs.select(F.lit(1)).count()
+    return docs.select(text_col).sample(min(1.0, sample / max(total, 1)), seed=7)
+
+
+def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample: int = SAMPLE) -> tuple[Rule, ...]:
+    """The rules in the order of the cascade, estimated on sampled(). Sums reach the driver. Without texts the order stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        texts = [t for batch in batches for t in common.utf8(batch.column(0))]
+        if texts:
+            yield {"found": [pickle.dumps(costs(texts, rules))]}
+
+    found = common.map_batches(sampled(docs, text_col, sample), [text_col], run, "found binary").collect()  # a row for each file
+    return tuple(rules[k] for k in by_worth(reduce(Costs.plus, [pickle.loads(r[0]) for r in found]))) if found else rules
 
 
 def verdict(document: Document, cascade: tuple[Rule, ...]) -> str | None:

@@ -74,17 +74,13 @@ def test_costs_of_measures_are_told_apart():
     assert found.measures["n_repeat_words"] > 0 and all(x > -1e-3 for x in found.own)
 
 
-def test_sample_reads_a_few_partitions(spark, documents):
-    met = spark.sparkContext.accumulator(0)
-
-    def seen(batches):
-        for b in batches:
-            met.add(b.num_rows)
-            yield b
-
-    many = documents.repartition(40).mapInArrow(seen, documents.schema)
-    assert len(quality.ordered(many, sample=16)) == len(quality.RULES)
-    assert 0 < met.value <= documents.count() / 2
+def test_sample_reads_a_few_files(spark, documents, tmp_path):
+    documents.repartition(40).write.parquet(str(tmp_path / "d"))
+    many = spark.read.parquet(str(tmp_path / "d"))
+    texts = quality.sampled(many, sample=16)
+    assert texts.count() == 16 and len(texts.inputFiles()) == 8 and len(quality.ordered(many)) == len(quality.RULES)
+    named = many.withColumnRenamed("text", "body")
+    assert 0 < quality.sampled(named, "body", 100).count() <= 200
 
 
 def test_kept_passes_columns_on(odd_docs, no_docs):
