@@ -55,9 +55,7 @@ def _aggregated(rows: DataFrame, n_keys: int, delta: int, strategy: str) -> Data
         raise ValueError("delta must not be negative")
     own = [f"k{i}" for i in range(n_keys)]
     out = lambda *c: [x.alias(n) for n, x in zip(("pairs", "sum_a", "sum_b"), c, strict=True)]
-    known = rows.filter(F.col("v").isNotNull())
-    if n_keys:
-        known = known.filter(" and ".join(f"{k} is not null" for k in own))
+    known = rows.filter(" and ".join(f"{c} is not null" for c in ("v", *own)))
     if strategy in (ROWS, NESTED):
         left, right = known.filter("in_a").select(*own, F.col("v").alias("va"), "pa"), known.filter("in_b").select(*(F.col(k).alias(f"b{k}") for k in own), F.col("v").alias("vb"), "pb")
         on = F.abs(F.col("va") - F.col("vb")) <= delta if strategy == NESTED else F.col("va").between(F.col("vb") - delta, F.col("vb") + delta)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spanwise.functions.values import cents
 
@@ -14,8 +15,19 @@ CONTAINER_SIZES = ["SM", "LG", "MED", "JUMBO", "WRAP"]
 CONTAINER_KINDS = ["CASE", "BOX", "BAG", "JAR", "PKG", "PACK", "CAN", "DRUM"]
 
 
+#: Schemas by path and the path's time of change, so that a table's footers are read once and not for every query.
+_schemas: dict[str, tuple[int, StructType]] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    changed = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).getModificationTime()
+    if path in _schemas and _schemas[path][0] == changed:
+        return spark.read.schema(_schemas[path][1]).parquet(path)
+    read = spark.read.parquet(path)
+    _schemas[path] = (changed, read.schema)
+    return read
 
 
 def _pick(values: list[str], index) -> F.Column:

@@ -54,3 +54,18 @@ def test_ratio_of_nothing(spark, rows):
     df = spark.createDataFrame(rows, "a long, b long")
     assert df.agg(agg.sum_if(F.col("a") > 0, F.col("b")).alias("s")).first()[0] == 0
     assert df.select(agg.ratio(F.col("a"), F.col("b"))).collect() in ([], [(None,)])
+
+
+def test_schemas_follow_the_files(spark, tmp_path):
+    import time
+
+    from spanwise.sources import tables
+
+    def write(df):
+        df.coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "t.parquet"))
+
+    write(spark.range(3))
+    assert [tables.table(spark, str(tmp_path), "t").columns for _ in range(2)] == [["id"]] * 2
+    time.sleep(1.1)
+    write(spark.range(4).withColumnRenamed("id", "other"))
+    assert tables.table(spark, str(tmp_path), "t").columns == ["other"] and tables.table(spark, str(tmp_path), "t").count() == 4
