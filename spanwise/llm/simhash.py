@@ -41,6 +41,9 @@ NEAR_WIDTH, NEAR_WORDS, NEAR_RADIUS = 5, 8, 104
 SKETCHES, TEXTS = 1 << 15, 1 << 9
 #: Two sets are similar if they share SIMILAR[0] parts in SIMILAR[1] of what either has; shingles compared at once.
 SIMILAR, COMPARED = (4, 5), 1 << 21
+#: Exact search for links between groups: bits of a parity sketch at most, nodes of a shingle that one task compares, shingles counted at
+#: once, how often one must then be met to be listed, and the most frequent ones that every task knows.
+PARITY_BITS, MEETING, COUNTED, OFTEN, FREQUENT = 1 << 15, 1 << 12, 1 << 21, 3, 1 << 16
 #: Bands of minima of the five-word shingles that bring candidates together, minima in a band, and each minimum's multiplier.
 BANDS, BAND_ROWS = 16, 4
 MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
@@ -306,9 +309,11 @@ def bands(values: np.ndarray) -> np.ndarray:
 
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id_col, `print` (a digest of the set of five-word shingles), `near` (NEAR_WORDS 64-bit fingerprints of that set, as bytes; the
-    first is the set's SimHash) and `bands` (keys of its minima)."""
+    first is the set's SimHash) and `bands` (keys of its minima). A few rows carry, in `often` and `times`, the shingles that
+    several sets among the rows before have, and in how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held, sets, counted = None, {}, 0
         for batch in batches:
             prints, near, minima = [], [], []
             for text in common.utf8(batch.column(1)):
@@ -316,10 +321,26 @@ def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 prints.append(hashlib.blake2b(values.tobytes(), digest_size=16).hexdigest())
                 near.append(np.array([majority(remixed(values, k)) for k in range(NEAR_WORDS)], "<u8"))
                 minima.append(bands(values))
-            first = np.array([x[0] for x in near], np.uint64).view(np.int64)
-            yield {id_col: batch.column(0), "print": prints, "fp": first, "near": [x.tobytes() for x in near], "bands": [m.tolist() for m in minima]}
+                if prints[-1] not in sets:
+                    sets[prints[-1]], counted = values, counted + len(values)
+            if held:
+                yield held
+            first, none = np.array([x[0] for x in near], np.uint64).view(np.int64), [None] * len(prints)
+            held = {id_col: batch.column(0), "print": prints, "fp": first, "near": [x.tobytes() for x in near], "bands": [m.tolist() for m in minima], "often": none, "times": none}
+            if counted >= COUNTED and prints:
+                held, sets, counted = held | repeated(sets, len(prints)), {}, 0
+        if held:
+            yield held | repeated(sets, len(held["print"])) if sets and held["print"] else held
 
-    return common.map_batches(docs, [id_col, text_col], run, f"`{id_col}` {common.type_of(docs, id_col)}, print string, fp long, near binary, bands array<long>")
+    kinds = "print string, fp long, near binary, bands array<long>, often array<long>, times array<long>"
+    return common.map_batches(docs, [id_col, text_col], run, f"`{id_col}` {common.type_of(docs, id_col)}, {kinds}")
+
+
+def repeated(sets: dict[str, np.ndarray], rows: int) -> dict:
+    """The shingles that OFTEN or more of the sets have, and in how many, as columns of so many rows, in the first."""
+    values, times = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+    some = times >= OFTEN
+    return {"often": [values[some].view(np.int64)] + [None] * (rows - 1), "times": [times[some]] + [None] * (rows - 1)}
 
 
 def centres(members: DataFrame, prints: DataFrame) -> DataFrame:
@@ -502,6 +523,178 @@ def confirmed(candidates: DataFrame, shards: DataFrame, prints: DataFrame, docs:
     return found.unionByName(linked(rest, texts, "text", prints, TEXTS, text_roots)[0]).distinct()
 
 
+def frequent(prints: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles met in most sets, by value, and in how many they were met: at most FREQUENT, from the lists in wide prints.
+
+    They only say which shingles are looked up last, so what the lists leave out costs time and loses no link.
+    """
+    each = prints.filter("often is not null").select(F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy("x.often").agg(F.sum("x.times").alias("n"))
+    each = common.stored(each.select("often", "n", F.floor(8 * F.log2("n")).alias("size")), "often")
+    least, many = 1 << 10, 0
+    for size, n in sorted(each.groupBy("size").count().collect(), reverse=True):
+        if (many := many + n) > FREQUENT:
+            break
+        least = size
+    table = each.filter(F.col("size") >= least).select("often", "n").toArrow()
+    values, times = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
+    order = np.argsort(values)
+    return values[order], times[order]
+
+
+def prefix(values: np.ndarray, often: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, frequent ones last: two sets that are similar have one of these in common.
+
+    A similar set shares ceil(n * part / whole) of n shingles at least, so of those it shares the first in any order that is the
+    same for all sets stands no later than this.
+    """
+    part, whole = SIMILAR
+    if len(often):
+        at = np.minimum(np.searchsorted(often, values), len(often) - 1)
+        values = values[np.argsort(np.where(often[at] == values, times[at], 0), kind="stable")]
+    return values[: len(values) + (-part * len(values) // whole) + 1]
+
+
+def parity(values: np.ndarray) -> bytes:
+    """Bits, two to four for each shingle (64 and PARITY_BITS are the limits), that tell if an odd number of shingles falls on each.
+
+    Two sets differ in as many shingles at least as these differ in bits. Half as many bits are the halves' exclusive or.
+    """
+    bits = min(PARITY_BITS, max(64, 1 << (2 * len(values) - 1).bit_length()))
+    counts = np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def marks(docs: DataFrame, id_col: str, text_col: str, often: np.ndarray, times: np.ndarray) -> DataFrame:
+    """node (the id), size of the set of shingles, its parity sketch, and its prefix as keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            sets = [shingle_set(t.lower().split()) for t in common.utf8(batch.column(1))]
+            keys = [prefix(x, often, times).view(np.int64) for x in sets]
+            yield {"node": batch.column(0), "size": [len(x) for x in sets], "parity": [parity(x) for x in sets], "keys": keys}
+
+    return common.map_batches(docs, [id_col, text_col], run, "node long, size long, parity binary, keys array<long>")
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """Stored (key, node): of rows (key, node, root) those whose key has several roots. Light rows only."""
+
+    def run(keys: np.ndarray, rows: pa.Table) -> dict:
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        root = rows.column(2).to_numpy()
+        several = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first) if len(keys) else np.zeros(0, bool)
+        own = np.repeat(several, np.diff(np.append(first, len(keys))))
+        return {"key": keys[own], "node": rows.column(1).to_numpy()[own]}
+
+    return common.stored(sharded(rows, ["node", "root"], run, "key long, node long"), "apart")
+
+
+def close_pairs(keys: np.ndarray, root: np.ndarray, size: np.ndarray, sketches: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions with equal keys and different roots that sizes and parity sketches do not show to be dissimilar."""
+    part, whole = SIMILAR
+    order = np.lexsort((size, keys))
+    keys, root, size = keys[order], root[order], size[order]
+    run = np.cumsum(np.concatenate(([False], keys[1:] != keys[:-1]))) << 40
+    many = np.searchsorted(run + size, run + size * whole // part, "right") - np.arange(len(keys)) - 1
+    width = np.array([len(sketches[k]) for k in order])
+    table = lambda rows, w: np.frombuffer(b"".join(sketches[order[k]] for k in rows), np.uint64).reshape(len(rows), w // 8)
+    tables, place = {}, {}
+    for w in np.unique(width).tolist():  # sketches of this width, and those of twice as much, folded
+        own, twice = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        wide = table(twice, 2 * w)
+        tables[w], place[w] = np.concatenate((table(own, w), wide[:, : w // 8] ^ wide[:, w // 8 :])), np.zeros(len(keys), np.int64)
+        place[w][np.concatenate((own, twice))] = np.arange(len(own) + len(twice))
+    upto, at = np.cumsum(many), 0
+    while at < len(keys):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + FRONTIER, "right")))
+        n = many[at:end]
+        q = np.repeat(np.arange(at, end), n)
+        node = q + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        other = root[q] != root[node]
+        q, node = q[other], node[other]
+        common_width = np.minimum(width[q], width[node])
+        for w in np.unique(common_width).tolist():
+            own = np.flatnonzero(common_width == w)
+            step = FRONTIER * 8 // w
+            for x in (own[k : k + step] for k in range(0, len(own), step)):
+                a, b = q[x], node[x]
+                d = np.bitwise_count(tables[w][place[w][a]] ^ tables[w][place[w][b]]).sum(axis=1, dtype=np.int64)
+                hit = (whole + part) * d <= (whole - part) * (size[a] + size[b])
+                yield order[a[hit]], order[b[hit]]
+        at = end
+
+
+def dealt_out(shards: DataFrame, rooted: DataFrame) -> DataFrame:
+    """shards (stored: key, node) with those of more than MEETING nodes replaced by blocks, in which each two nodes of different roots meet.
+
+    A root with many nodes of a shard makes parts of its own, the other roots share parts. Every part meets every other, and
+    itself if several roots share it, but not the other parts of its root.
+    """
+    half = MEETING // 2
+    full = common.stored(shards.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > MEETING).select("key"), "full")
+    if full.isEmpty():
+        return shards
+    hot = common.stored(shards.join(full, "key").join(rooted, "node"), "hot")
+    each = common.stored(hot.groupBy("key", "root").agg(F.count("*").alias("n")), "each")
+    small = each.filter(F.col("n") <= half).groupBy("key").agg(F.ceil(F.sum("n") / half).alias("parts"))
+    own = F.when(F.col("n") > half, F.xxhash64("root", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / half)))).otherwise(F.pmod(F.xxhash64("root"), F.col("parts")))
+    members = hot.join(each, ["key", "root"]).join(small, "key", "left").select("key", "node", own.alias("part"), F.when(F.col("n") > half, F.col("root")).alias("whole"))
+    members = common.stored(members, "members")
+    parts = common.stored(members.select("key", "part", "whole").distinct(), "parts")
+    other = parts.select("key", F.col("part").alias("with"), F.col("whole").alias("with_whole"))
+    met_by = parts.join(other, "key").filter(F.col("whole").isNull() | F.col("with_whole").isNull() | (F.col("whole") != F.col("with_whole")))
+    blocks = met_by.select("key", "part", F.xxhash64("key", F.least("part", "with"), F.greatest("part", "with")).alias("block"))
+    dealt = members.join(blocks.distinct(), ["key", "part"]).select(F.col("block").alias("key"), "node")
+    return shards.join(full, "key", "left_anti").unionByName(dealt)
+
+
+def similar_pairs(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Stored: of the pairs (stored: a, b, distinct) those whose sets are similar. A task compares a node with about TEXTS others."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / TEXTS).alias("parts"))
+    stars = common.stored(pairs.join(many, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("key"), "a", "b"), "stars")
+    middles = stars.select("key", F.col("a").alias("node"), F.lit(True).alias("middle")).distinct()
+    ends = common.stored(middles.unionByName(stars.select("key", F.col("b").alias("node"), F.lit(False).alias("middle"))), "ends")
+    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
+    texts = common.stored(texts.join(ends.select("node").distinct(), "node"), "texts")
+
+    def run(keys: np.ndarray, rows: pa.Table) -> dict:
+        part, whole = SIMILAR
+        node, middle = rows.column(1).to_numpy(), rows.column(2).to_numpy()
+        sets, found = [shingle_set(t.lower().split()) for t in common.utf8(rows.column(3))], []
+        for k in np.flatnonzero(middle):
+            start, end = np.searchsorted(keys, keys[k], "left"), np.searchsorted(keys, keys[k], "right")
+            for m in start + np.flatnonzero(~middle[start:end]):
+                shared = len(np.intersect1d(sets[k], sets[m], assume_unique=True))
+                if whole * shared >= part * (len(sets[k]) + len(sets[m]) - shared):
+                    found.append((node[k], node[m]))
+        return {"a": [a for a, _ in found], "b": [b for _, b in found]}
+
+    return common.stored(sharded(ends.join(texts, "node"), ["node", "middle", "text"], run, "a long, b long", TEXTS), "similar")
+
+
+def missed(docs: DataFrame, id_col: str, text_col: str, prints: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Stored links (a, b): all pairs of nodes of different groups whose sets are similar. rooted: stored (node, root).
+
+    Similar sets have a shingle of their prefixes in common, so nodes meet by these. Shingles that one group alone has are
+    left out, so a group of copies is not compared with itself. Pairs that the parity sketches leave are confirmed by the
+    sets themselves. Nothing here may lose a pair.
+    """
+    marked = common.stored(marks(docs, id_col, text_col, *frequent(prints)).join(rooted, "node"), "marked")
+    shards = dealt_out(apart(marked.select(F.explode("keys").alias("key"), "node", "root")), rooted)
+
+    def run(keys: np.ndarray, rows: pa.Table) -> dict:
+        node, found = rows.column(1).to_numpy(), [np.zeros((0, 2), np.int64)]
+        if len(keys):
+            for a, b in close_pairs(keys, rows.column(2).to_numpy(), rows.column(3).to_numpy(), rows.column(4).to_pylist()):
+                found.append(np.unique(np.sort(np.stack((node[a], node[b]), axis=1), axis=1), axis=0))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return {"a": pairs[:, 0], "b": pairs[:, 1]}
+
+    rows = shards.join(marked.select("node", "root", "size", "parity"), "node")
+    close = sharded(rows, ["node", "root", "size", "parity"], run, "a long, b long", 4 * MEETING)
+    return similar_pairs(common.stored(close.distinct(), "close"), docs, id_col, text_col)
+
+
 def grouped(prints: DataFrame, member: str, radius: int = RADIUS) -> DataFrame:
     """Stored rows (member, fp) with `first`, the smallest member of everything reachable by links.
 
@@ -529,8 +722,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id_col, first): the smallest id of the group of documents connected by pairs with a Jaccard similarity of 0.8 or
     more between their sets of five-word shingles.
 
-    Every link is confirmed by the sets themselves, so nothing below 0.8 is linked. Candidates are pairs whose SimHash
-    fingerprints of that set differ in at most RADIUS bits, found by BK-trees, and pairs that share one of BANDS bands of minima
+    Every link is confirmed by the sets themselves, so nothing below 0.8 is linked, and no pair of 0.8 or more is left apart: most groups
+    are found by a search that may miss pairs and compares large bands and components in parts, and what it left in different
+    groups then meets by an exact search (missed). Candidates of the first are pairs whose SimHash fingerprints of that set differ in at most RADIUS bits, found by BK-trees, and pairs that share one of BANDS bands of minima
     of the set and whose wide fingerprints differ in at most NEAR_RADIUS of 512 bits. At 0.8 two documents share no band
     with a probability of (1 - 0.8^4)^16, 0.0002, wherever their differences are; the share of bits in which two fingerprints
     differ is the angle between the sets, in units of half a turn, 0.151 at a similarity of 0.8, and NEAR_RADIUS is over
@@ -551,7 +745,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     by_bands, _ = linked(shards, sketches, "near", sketches, SKETCHES, sketch_roots)
     candidates = common.stored(components(by_tree.unionByName(same).unionByName(by_bands)), "candidates")
     roots = common.stored(components(confirmed(candidates, shards, sketches, docs, id_col, text_col)), "confirmed")
-    named = common.stored(nodes.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("first")), "named")
+    rooted = common.stored(nodes.join(roots, "node", "left").select("print", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    more = missed(docs, id_col, text_col, prints, rooted.select("node", "root"))
+    of = lambda end: rooted.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    tops = components(more.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    tops = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    named = common.stored(rooted.join(tops, "root", "left").select("print", F.coalesce("top", "root").alias("first")), "named")
     # copies: as many rows as documents may share one set
     return common.split_join(prints.select(id_col, "print"), named, "print").select(id_col, "first")
 

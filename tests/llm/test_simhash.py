@@ -293,3 +293,73 @@ def test_copies_that_only_their_original_links(spark, monkeypatch):
     assert all(alike(k, 70) >= 0.8 for k in range(151)) and sum(alike(a, a + 1) < 0.8 for a in range(150)) > 100
     got = simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id").collect()
     assert {r["first"] for r in got} == {0}
+
+
+def test_a_chain_longer_than_a_part_is_one_group(spark, monkeypatch):
+    """Each text is similar to its neighbours only: in parts most pairs are apart, and no node stands for another."""
+    monkeypatch.setattr(simhash, "TEXTS", 8)
+    rng = random.Random(21)
+    words, texts = [f"w{rng.randrange(5000)}" for _ in range(400)], []
+    for k in range(80):
+        at = 40 * (k % 10)
+        words = words[:at] + [f"new{k}x{j}" for j in range(30)] + words[at + 30 :]
+        texts.append(" ".join(words))
+    sets = [set(simhash.shingle_set(t.encode().split()).tolist()) for t in texts]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(alike(k, k + 1) >= 0.8 for k in range(79)) and all(alike(k, k + 2) < 0.8 for k in range(78))
+    got = simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id").collect()
+    assert {r["first"] for r in got} == {0}
+
+
+@pytest.mark.parametrize("meeting", [1 << 12, 8])
+def test_pairs_that_share_no_band_are_found(spark, monkeypatch, meeting):
+    met = simhash.met
+    monkeypatch.setattr(simhash, "met", lambda nodes: met(nodes.filter("node < 0")))
+    monkeypatch.setattr(simhash, "MEETING", meeting)
+    rng = random.Random(22)
+    start = " ".join(f"common{k}" for k in range(12))  # in the prefixes of many texts
+    texts = [f"{start} {t}" if k % 2 else t for k in range(60) for t in contiguous(rng, ("appended", "replaced")[k % 2], (0.7, 0.81)[k % 4 // 2], (0.79, 0.9)[k % 4 // 2])]
+    texts += ["", None, "one two", "one two three four five six", "one two three four five six seven", " ".join(f"v{k}" for k in range(12)), " ".join(f"v{k}" for k in range(13))]
+    texts += [f"{start} end{k}" for k in range(40)] + [f"{start} end{k} more{k}" for k in range(40)]
+    got = {r["id"]: r["first"] for r in simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id").collect()}
+    items = [(k, set(simhash.shingle_set((t or "").encode().split()).tolist())) for k, t in enumerate(texts)]
+    want = groups(items, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    assert [got[k] for k in range(len(texts))] == want and 30 < len(set(want)) < 180
+
+
+def similar_sets(rng, n):
+    base = [np.unique(rng.integers(0, 1 << 63, rng.integers(1, 300), dtype=np.uint64)) for _ in range(n)]
+    return base + [np.unique(np.concatenate((x[rng.random(len(x)) > share], rng.integers(0, 1 << 63, int(len(x) * share), dtype=np.uint64)))) for x in base for share in (0.02, 0.08, 0.1, 0.12)]
+
+
+@pytest.mark.parametrize("listed", [0, 50, 4000])
+def test_prefixes_and_parities_lose_no_similar_pair(listed, monkeypatch):
+    monkeypatch.setattr(simhash, "PARITY_BITS", 256)
+    monkeypatch.setattr(simhash, "FRONTIER", 1 << 8)
+    rng = np.random.default_rng(4)
+    sets = [x for x in similar_sets(rng, 40) if len(x)]
+    often = np.sort(rng.permutation(np.unique(np.concatenate(sets)))[:listed])
+    times = rng.integers(3, 9, len(often))
+    prefixes = [set(simhash.prefix(x, often, times).tolist()) for x in sets]
+    similar = {(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+    assert len(similar) > 50 and all(prefixes[i] & prefixes[j] for i, j in similar)
+    rows = sorted((key, i) for i, p in enumerate(prefixes) for key in p)
+    keys, at = (np.array(x) for x in zip(*rows, strict=True))
+    sketches = [simhash.parity(x) for x in sets]
+    size = np.array([len(x) for x in sets])
+    found = {tuple(sorted(p)) for a, b in simhash.close_pairs(keys, at, size[at], [sketches[k] for k in at]) for p in zip(at[a].tolist(), at[b].tolist(), strict=True)}
+    assert similar <= found
+
+
+def test_roots_of_a_large_shard_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MEETING", 10)
+    root = lambda n: 0 if n < 60 else n - n % 3
+    shards = simhash.common.stored(spark.createDataFrame([(7, n) for n in range(100)] + [(8, n) for n in range(5)], "key long, node long"), "s")
+    rooted = simhash.common.stored(spark.createDataFrame([(n, root(n)) for n in range(100)], "node long, root long"), "r")
+    blocks = {}
+    for r in simhash.dealt_out(shards, rooted).collect():
+        blocks.setdefault(r["key"], []).append(r["node"])
+    assert sorted(blocks.pop(8)) == list(range(5))
+    together = {(a, b) for x in blocks.values() for a in x for b in x if a < b}
+    assert all((a, b) in together for b in range(100) for a in range(b) if root(a) != root(b))
+    assert max(map(len, blocks.values())) <= 30 and sum((a, b) in together for b in range(60) for a in range(b)) < 600
